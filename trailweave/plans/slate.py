@@ -1,0 +1,4 @@
+"""The slate of registered queries."""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
