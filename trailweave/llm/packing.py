@@ -24,56 +24,31 @@ from pyspark.sql import functions as F
 from .common import stage
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, rank long, pid int"
-#: A space that a following non-space does not claim.
-_ODD = re.compile(r" (?=\s|$)")
 
 
-class _Chunks(dict):
-    """Token ids, as little-endian bytes, of a space and the chunk after it; forgets all when full."""
-
-    def __init__(self, encode: Callable[[str], list[int]], most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(" " + chunk), "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
-
-
-def byte_bpe(path: str, most: int = 400_000) -> Callable[[str], bytes]:
+def byte_bpe(path: str) -> Callable[[str], bytes]:
     """text -> little-endian uint32 ids of the byte-level BPE in `path` (a tokenizers JSON file).
 
-    The strings of special tokens are ordinary text. In this vocabulary's
-    pattern a space before a non-space always begins a token, so chunks cut
-    there are encoded alone, and known chunks are looked up.
+    The strings of special tokens are ordinary text. The same vocabulary as
+    ranks, where it lies beside the file, gives the same ids several times
+    faster.
     """
-    from tokenizers import Tokenizer
-
     try:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(re.sub(r"\.json$", ".tiktoken", path), "rb"))}  # noqa: SIM115
-        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: np.array(fast.encode_ordinary(text), "<u4").tobytes()
     except (ImportError, OSError):
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        encode = lambda text: whole.encode(text, add_special_tokens=False).ids
-    chunks = _Chunks(encode, most)
-
-    def ids(text: str) -> bytes:
-        if _ODD.search(text):
-            return np.array(encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(encode(first), "<u4").tobytes() + b"".join([chunks[c] for c in rest])
+        from tokenizers import Tokenizer
 
-    return ids
+        slow = Tokenizer.from_file(path)
+        slow.encode_special_tokens = True
+        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
@@ -81,13 +56,14 @@ _encoders: dict[str, Callable[[str], bytes]] = {}
 
 def _cut(path: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoders.setdefault(path, None) or _encoders.__setitem__(path, byte_bpe(path)) or _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = byte_bpe(path)
         pid, last = TaskContext.get().partitionId(), np.uint32(end).astype("<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = (ids_of(text) if text else b"") + last
+                ids = _encoders[path](text or "") + last
                 n = len(ids) // 4
                 at, size = 0, n % capacity or capacity
                 for piece in range(-(-n // capacity)):
@@ -95,9 +71,8 @@ def _cut(path: str, capacity: int, end: int) -> Callable[[Iterator[pa.RecordBatc
                     seen[size] += 1
                     at, size = at + size, capacity
             if rows:
-                cols = zip(*rows, strict=True)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32", "rank", "pid"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "piece", "start", "length", "ids_crc32", "rank", "pid"])
 
     return run
 
