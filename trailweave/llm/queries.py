@@ -8,11 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
+from .chat_format import REPLY, format_chats, turns_as_calls
 from .common import table
 from .exact_dedup import content_sort_dedup
 from .packing import pack
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY).drop("call_turn")
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
@@ -22,9 +32,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_tool_call_linking, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
+    "op3_tool_call_linking": """
+        WITH calls AS (
+            SELECT conv_id, turn::VARCHAR AS call_id, min(turn) AS call_turn
+            FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL
+        ), m AS (
+            SELECT *, CASE WHEN role = 'assistant' THEN (turn - 1)::VARCHAR END AS call_id FROM conversations
+        )
+        SELECT m.conv_id, turn, role, m.call_id,
+               m.call_id IS NOT NULL AND call_turn IS NULL AS orphan,
+               greatest(turn, call_turn) AS anchor,
+               CASE WHEN call_turn IS NULL THEN 0 ELSE 1 END AS depth,
+               CASE WHEN role = 'user' AND length(text) < 1 THEN turn::VARCHAR || ': n_chars: under 1' ELSE '' END AS errors,
+               CASE role
+                   WHEN 'user' THEN to_json({'content': text, 'role': role, 'tool_calls': [{'arguments': {'n_chars': length(text), 'turn': turn}, 'id': turn::VARCHAR, 'name': 'reply'}], 'turn': turn})
+                   WHEN 'assistant' THEN to_json({'content': text, 'role': role, 'tool_call_id': m.call_id, 'turn': turn})
+                   ELSE to_json({'content': text, 'role': role, 'turn': turn})
+               END::VARCHAR AS json
+        FROM m LEFT JOIN calls USING (conv_id, call_id)
+    """,
+    "op8_warc_derivatives": warc.oracle_sql(),
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
