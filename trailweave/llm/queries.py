@@ -12,9 +12,14 @@ from . import warc
 from .chat_format import REPLY, format_chats, turns_as_calls
 from .common import table
 from .exact_dedup import content_sort_dedup
+from .langid import learn_and_identify
 from .packing import pack
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY).drop("call_turn")
 
@@ -32,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_tool_call_linking, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
