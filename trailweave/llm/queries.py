@@ -14,6 +14,7 @@ from .common import table
 from .exact_dedup import content_sort_dedup
 from .langid import learn_and_identify
 from .packing import pack
+from .toxicity import train_and_score
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY).drop("call_turn")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -37,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
