@@ -13,6 +13,7 @@ from .chat_format import REPLY, format_chats, turns_as_calls
 from .common import table
 from .exact_dedup import content_sort_dedup
 from .langid import learn_and_identify
+from .near_dedup import minhash_dedup
 from .packing import pack
 from .toxicity import train_and_score
 
@@ -25,6 +26,10 @@ def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY).drop("call_turn")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op6_minhash_near_dedup, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
