@@ -44,18 +44,18 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (split at ASCII white space, A-Z lower-cased), and the text each belongs to."""
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (A-Z lower-cased, split at bytes in `between`), and the text each belongs to."""
     buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     ends = offsets(len(t) + 1 for t in texts)
     out, owners = [], []
     lo = 0
-    space = np.flatnonzero(_SPACE[buffer])
-    while lo < len(buffer):  # pieces that end in white space
+    space = np.flatnonzero(between[_LOWER[buffer]])
+    while lo < len(buffer):  # pieces that end between words
         k = np.searchsorted(space, min(lo + _CHUNK, len(buffer)) - 1)
         hi = int(space[k]) + 1
         part = _LOWER[buffer[lo:hi]]
-        inside = ~_SPACE[part]
+        inside = ~between[part]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         up, down = _power(len(part) + 1)

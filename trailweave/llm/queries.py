@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from . import warc
 from .chat_format import REPLY, format_chats, turns_as_calls
 from .common import table
+from .decontaminate import match_items
 from .exact_dedup import content_sort_dedup
 from .langid import learn_and_identify
+from .licenses import scan_licenses
 from .near_dedup import minhash_dedup
 from .packing import pack
 from .toxicity import train_and_score
@@ -22,10 +24,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns_as_calls(table(spark, sf_dir, "conversations")), REPLY).drop("call_turn")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("hits", lambda h: h["item"])
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
 
@@ -47,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_tool_call_linking, op6_minhash_near_dedup, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_tool_call_linking, op4_decontamination, op6_minhash_near_dedup, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
