@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Every stage but the last returns the columns of documents. A row with a null id
+cannot be named by a decision on ids and stays in the stages 2 and 3; rows that
+repeat id and text count once from stage 2 on. Null texts count as empty, and
+an empty table runs through.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +12,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import stage
+from trailweave.llm.common import stage, table
+from trailweave.llm.decontaminate import decontaminate
 from trailweave.llm.exact_dedup import content_sort_dedup
+from trailweave.llm.near_dedup import minhash_dedup
 from trailweave.llm.packing import pack
+from trailweave.llm.toxicity import drop_toxic
+
+
+def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """docs without the ids of which no row is kept."""
+    gone = decided.where("id is not null").groupBy("id").agg(F.bool_or("kept").alias("kept")).where("not kept")
+    return docs.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = content_sort_dedup(docs).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    return _without(docs, content_sort_dedup(docs)).dropDuplicates(["doc_id", "text"])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, minhash_dedup(docs))
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("exact dedup", exact), ("best-fit packing", packed)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", unseen),
+    ("best-fit packing", packed),
+]
 
-#: No stage before the last is expressible in SQL as a whole.
+#: A trained classifier and a tokenizer are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
-        if step is not STAGES[-1][1]:
-            docs = stage(docs, name.replace(" ", "-"))
+        if k < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{k}")
     return docs

@@ -214,7 +214,13 @@ def _verified(percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, collections: int = 24, width: int = 5, block: int = 256, weight: int = 400_000) -> DataFrame:
+def enough_collections(similarity: float, width: int, missed: float = 2e-5) -> int:
+    """The least number of collections that misses a pair of that similarity with a probability under `missed`."""
+    p = similarity**width
+    return next(m for m in range(2, 1 << 16) if (1 - p) ** m + m * p * (1 - p) ** (m - 1) < missed)
+
+
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, collections: int | None = None, width: int = 5, block: int = 256, weight: int = 400_000) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of distinct five-word shingles (A-Z
@@ -226,13 +232,15 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null component and is kept. An empty table gives an empty result.
 
     At the least similarity s a linked pair is missed with probability
-    (1-p)^m + m p (1-p)^(m-1), p = s^width, m = collections: 2e-5 for s = 0.85
-    and the defaults, and far less for more similar ones. A family of more than
+    (1-p)^m + m p (1-p)^(m-1), p = s^width, m = collections, and far less often
+    if it is more similar; by default m is the least for which that is under
+    2e-5 (24 for s = 0.85, 35 for s = 0.8). A family of more than
     2 * block documents or `weight` shingles is verified in pairs of blocks, so
     no group in a task outgrows that, and no link in it is left out.
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    collections = collections or enough_collections(percent / 100, width)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = stage(base.mapInArrow(_sketch(collections, width), "id long, n long, digest binary, keys array<long>"), "sketches")
     known = sketch.where("id is not null and n > 0")
