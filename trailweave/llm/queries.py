@@ -17,6 +17,7 @@ from .langid import learn_and_identify
 from .licenses import scan_licenses
 from .near_dedup import minhash_dedup
 from .packing import pack
+from .suffix_dedup import suffix_dedup
 from .toxicity import train_and_score
 
 
@@ -38,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
 
@@ -59,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_tool_call_linking, op4_decontamination, op6_minhash_near_dedup, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_tool_call_linking, op4_decontamination, op5_suffix_array_dedup, op6_minhash_near_dedup, op7_toxicity, op8_warc_derivatives, op9_best_fit_packing, op10_exact_dedup)}
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
