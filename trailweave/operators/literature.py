@@ -1,0 +1,139 @@
+"""Records from documents: merging, citation search, reconciliation, decisions."""
+
+from __future__ import annotations
+
+import itertools
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def merge_candidates(rows: DataFrame, key: str, order: str, firsts: list[str], unions: list[str], least: list[str]) -> DataFrame:
+    """One row per key: the first non-empty value in order, the distinct values in order, the least."""
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    return rows.groupBy(key).agg(
+        *(F.min_by(c, F.when(filled(c), F.col(order))).alias(c) for c in firsts),
+        *(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda s, c=c: s[c])).alias(c) for c in unions),
+        *(F.min(c).alias(c) for c in least),
+    )
+
+
+def citation_search(seeds: DataFrame, edges: DataFrame, hops: int, frontier: int | None = None) -> DataFrame:
+    """(node, hops) within a number of hops over undirected edges(a, b); a frontier may be capped by node order."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    front = seen
+    for h in range(1, hops + 1):
+        grown = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = (grown.orderBy("node").limit(frontier) if frontier else grown).withColumn("hops", F.lit(h))
+        seen = seen.union(front)
+    return seen
+
+
+def rebuild_inverted(index: DataFrame, key: str = "id", inverted: str = "inverted") -> DataFrame:
+    """Texts from maps of token to positions."""
+    pairs = index.select(key, F.explode(inverted).alias("token", "places")).select(key, F.explode("places").alias("at"), "token")
+    return pairs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]), " ").alias("text"))
+
+
+def keyword_gate(text: Column, *patterns: str) -> Column:
+    """Whether every pattern occurs, whatever the case."""
+    hit = F.lit(True)
+    for p in patterns:
+        hit &= F.coalesce(text.rlike(f"(?i){p}"), F.lit(False))
+    return hit
+
+
+def decision(value: Column, evidence: Column) -> Column:
+    """A criterion's decision; unknown words, and a yes or no without evidence, are unclear."""
+    v = F.lower(F.trim(value))
+    supported = F.length(F.trim(F.coalesce(evidence, F.lit("")))) > 0
+    return F.when(v.isin("yes", "no") & supported, v).otherwise("unclear")
+
+
+def status(core: list[Column], teachers: Column, complete: Column, flagged: Column, public: tuple[Column, Column], found: tuple[Column, Column], separable: Column, matched: Column) -> Column:
+    """reject, needs_review, results_only, silver or gold; the first rule that applies decides."""
+    any_of = lambda v: F.exists(F.array(*core), lambda c: c == v)
+    claims = (public[0] == "yes") & (public[1] == "yes")
+    verified = F.coalesce(found[0], F.lit(False)) & F.coalesce(found[1], F.lit(False))
+    missing = F.coalesce(~found[0], F.lit(False)) | F.coalesce(~found[1], F.lit(False))
+    return (
+        F.when(any_of("no") | (teachers < 2), "reject")
+        .when(any_of("unclear") | ~complete | flagged, "needs_review")
+        .when((public[0] == "no") | (public[1] == "no"), "results_only")
+        .when(claims & missing, "needs_review")
+        .when(F.coalesce(found[1], F.lit(False)) & (separable == "no"), "needs_review")
+        .when(~claims & ~verified, "results_only")
+        .when((teachers < 3) | (matched != "yes") | ~verified | (separable != "yes"), "silver")
+        .otherwise("gold")
+    )
+
+
+def field_diff(a: DataFrame, b: DataFrame, key: str, strict: list[str], loose: list[str], numeric: list[str]) -> DataFrame:
+    """(key, field, left, right) where two sources differ: as they are, without case and punctuation, or beyond 1e-6."""
+
+    def long(df: DataFrame) -> DataFrame:
+        fields = [*strict, *loose, *numeric]
+        return df.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select(key, "x.*")
+
+    norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    j = long(a).withColumnRenamed("v", "left").join(long(b).withColumnRenamed("v", "right"), [key, "field"])
+    same = (
+        F.when(F.col("left").isNull() | F.col("right").isNull(), F.col("left").isNull() & F.col("right").isNull())
+        .when(F.col("field").isin(*loose), norm(F.col("left")) == norm(F.col("right")))
+        .when(F.col("field").isin(*numeric), F.coalesce(F.abs(F.col("left").try_cast("double") - F.col("right").try_cast("double")) <= 1e-6, F.col("left") == F.col("right")))
+        .otherwise(F.col("left") == F.col("right"))
+    )
+    return j.where(~same)
+
+
+def resolve(diffs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Each differing field with the adjudicated side's value; NULL and unresolved without a verdict."""
+    j = diffs.join(verdicts, [key, "field"], "left")
+    value = F.when(F.col("side") == "left", F.col("left")).when(F.col("side") == "right", F.col("right"))
+    return j.select(key, "field", value.alias("value"), value.isNull().alias("unresolved"))
+
+
+def greedy_alignment(left: DataFrame, right: DataFrame, group: str, threshold: float = 3.0) -> DataFrame:
+    """One-to-one matches of two sources' experiments within each group, best score first; both residues follow.
+
+    left, right: (group, id, names ARRAY<STRING>). The score of a pair is the
+    number of shared names; pairs under the threshold stay apart.
+    """
+
+    def pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        scored = sorted(((-len(set(x.names) & set(y.names)), x.id, y.id) for x, y in itertools.product(a.itertuples(), b.itertuples())), key=lambda s: s)
+        used_a, used_b, out = set(), set(), []
+        for minus, x, y in scored:
+            if -minus >= threshold and x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                out.append((key[0], x, y, float(-minus)))
+        out += [(key[0], x, None, 0.0) for x in a.id if x not in used_a] + [(key[0], None, y, 0.0) for y in b.id if y not in used_b]
+        return pd.DataFrame(out, columns=[group, "left_id", "right_id", "score"])
+
+    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(pair, f"{group} string, left_id string, right_id string, score double")
+
+
+def primary_benchmark(rows: DataFrame, key: str) -> DataFrame:
+    """The declared benchmark, else that of most teachers, else the first by name."""
+    w = Window.partitionBy(key).orderBy(F.desc("declared"), F.desc("teachers"), "benchmark")
+    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+
+
+def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Last row of each key (caches, upserts)."""
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(key, "_r.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old without the keys of new, and new."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def mention(name: Column) -> Column:
+    """A pattern for loose mentions of a name: its tokens with any short separators."""
+    return F.concat(F.lit("(?i)"), F.array_join(F.regexp_extract_all(name, F.lit("([A-Za-z]+|[0-9]+)"), F.lit(1)), "[ ._-]{0,2}"))
+
