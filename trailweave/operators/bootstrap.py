@@ -72,7 +72,7 @@ def smallest_stable(orders: DataFrame, full: str) -> DataFrame:
 def paired_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean difference, bounds and share above 0 of two statistics (rep, value) over the same draws."""
     d = a.join(b.withColumnRenamed("value", "other"), "rep").select((F.col("value") - F.col("other")).alias("mean"), F.lit("difference").alias("teacher"))
-    return d.agg(F.avg("mean").alias("mean"), (F.count_if("mean > 0") / F.count("*")).alias("p_positive")).join(F.broadcast(interval(d).drop("teacher")))
+    return d.agg(F.avg("mean").alias("mean"), (F.count_if(F.expr("mean > 0")) / F.count("*")).alias("p_positive")).join(F.broadcast(interval(d).drop("teacher")))
 
 
 def flips(orders: DataFrame) -> DataFrame:

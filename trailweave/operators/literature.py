@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 def merge_candidates(rows: DataFrame, key: str, order: str, firsts: list[str], unions: list[str], least: list[str]) -> DataFrame:
     """One row per key: the first non-empty value in order, the distinct values in order, the least."""
+    field = lambda c: lambda s: s[c]
     filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
     return rows.groupBy(key).agg(
         *(F.min_by(c, F.when(filled(c), F.col(order))).alias(c) for c in firsts),
-        *(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda s, c=c: s[c])).alias(c) for c in unions),
+        *(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), field(c))).alias(c) for c in unions),
         *(F.min(c).alias(c) for c in least),
     )
 

@@ -15,20 +15,22 @@ def exact_matches(train: DataFrame, evals: DataFrame) -> DataFrame:
     return t.join(e, "norm").groupBy("train_id").agg(F.array_join(F.array_sort(F.collect_list("eval_id")).cast("array<string>"), ",").alias("eval_ids"))
 
 
-def jaccard_pairs(train: DataFrame, evals: DataFrame, width: int = 5) -> DataFrame:
+def jaccard_pairs(train: DataFrame, evals: DataFrame, width: int = 5, few: int = 200_000) -> DataFrame:
     """(train_id, eval_id, jaccard) of all pairs that share a shingle, by an inverted index.
 
-    Only shingles of the evaluation side are shuffled against: the exploded
-    training side is semi-joined first, so its size after that follows the
-    overlap and not the corpus.
+    An evaluation set of at most `few` shingles is broadcast, so the training
+    side is filtered where it is read and only hits are shuffled; a larger one
+    is joined by a shuffle of both sides.
     """
 
     def exploded(df: DataFrame, key: str, n: str) -> DataFrame:
-        s = df.select(key, T.shingles(T.words(F.coalesce("text", F.lit(""))), width).alias("s"))
+        w = df.select(key, T.words(F.coalesce("text", F.lit(""))).alias("w"))  # a column of its own, or the lambda would tokenise for each shingle
+        s = w.select(key, T.shingles(F.col("w"), width).alias("s"))
         return s.select(key, F.size("s").alias(n), F.explode_outer("s").alias("shingle"))
 
     e, t = exploded(evals, "eval_id", "n_eval"), exploded(train, "train_id", "n_train")
-    both = t.join(e, "shingle").groupBy("train_id", "eval_id").agg(F.count("*").alias("both"), F.first("n_train").alias("a"), F.first("n_eval").alias("b"))
+    small = e.limit(few + 1).count() <= few
+    both = t.join(F.broadcast(e) if small else e, "shingle").groupBy("train_id", "eval_id").agg(F.count("*").alias("both"), F.first("n_train").alias("a"), F.first("n_eval").alias("b"))
     return both.select("train_id", "eval_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("jaccard"))
 
 
@@ -53,5 +55,5 @@ def padded_top(train: DataFrame, evals: DataFrame, n: int = 20, width: int = 5)
 
 def audit(pairs: DataFrame, exact: DataFrame) -> DataFrame:
     """Counts for the report: exact matches, pairs at 0.5 and at 0.8, the maximum."""
-    p = pairs.agg(F.count_if("jaccard >= 0.5").alias("over_half"), F.count_if("jaccard >= 0.8").alias("near"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("largest"))
+    p = pairs.agg(F.count_if(F.expr("jaccard >= 0.5")).alias("over_half"), F.count_if(F.expr("jaccard >= 0.8")).alias("near"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("largest"))
     return p.join(F.broadcast(exact.agg(F.count("*").alias("exact"))))

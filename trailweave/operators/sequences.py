@@ -90,7 +90,7 @@ def seen_before(events: DataFrame, by: str, order: list[str], key: str, act: Col
     """Share of actions with an earlier observation of the same key."""
     first = F.min(F.when(look, F.col("_at"))).over(Window.partitionBy(by, key))
     e = events.withColumns({"_at": F.row_number().over(Window.partitionBy(by).orderBy(*order)), "_act": act}).withColumn("_first", first)
-    return e.where("_act").groupBy(by).agg(F.count("*").alias("actions"), F.count_if("_first < _at").alias("grounded")).withColumn("rate", F.col("grounded") / F.col("actions"))
+    return e.where("_act").groupBy(by).agg(F.count("*").alias("actions"), F.count_if(F.expr("_first < _at")).alias("grounded")).withColumn("rate", F.col("grounded") / F.col("actions"))
 
 
 def checked_after(events: DataFrame, by: str, order: list[str], act: Column, check: Column, horizon: int = 3) -> DataFrame:

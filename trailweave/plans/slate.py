@@ -1,4 +1,580 @@
-"""The slate of registered queries."""
+"""The slate of registered queries over the provided tables, each with its DuckDB twin where SQL has one.
 
-QUERIES: dict = {}
+teacher, task and score stand for event_type, user_id and the mean value of
+events; orders joined to customer give a second complete grid. Doubles are
+rounded in the results only, never where ties are decided.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import shell
+from ..functions import text as T
+from ..operators import bootstrap, literature, overlap, scores, selection, sequences, tokens
+from ..sources.readers import guard
+from ..sources.sinks import missing_only
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+PLACES = 6
+TRUTH = [["view"], ["click", "signup"], ["purchase"], ["error"]]
+GAINS = {"view": 4.0, "click": 3.0, "signup": 3.0, "purchase": 2.0, "error": 1.0}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, PLACES) for c in columns})
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores on common support; sums run over exact decimals so that no order of addition shows."""
+    e = table(spark, sf_dir, "events").where("event_type is not null and user_id is not null")
+    s = e.groupBy(F.col("event_type").alias("teacher"), F.col("user_id").alias("task")).agg(F.avg(F.col("value").cast("decimal(18,6)")).cast("double").alias("score"), F.count("*").alias("n"))
+    return scores.common_support(s)
+
+
+def means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).groupBy("teacher").agg(F.round(F.avg("score"), PLACES).alias("score"))
+
+
+GRID = """
+    raw AS (SELECT event_type AS teacher, user_id AS task, sum(value::DECIMAL(18,6))::DOUBLE / count(*) AS score, count(*) AS n
+            FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL),
+    grid AS (SELECT * FROM raw WHERE task IN (SELECT task FROM raw GROUP BY task HAVING count(DISTINCT teacher) = (SELECT count(DISTINCT teacher) FROM raw)))"""
+MEANS = GRID + ", means AS (SELECT teacher, round(avg(score), 6) AS score FROM grid GROUP BY teacher)"
+TRUTH_SQL = "truth AS (SELECT * FROM (VALUES ('view', 0, 0, 4.0::DOUBLE), ('click', 1, 1, 3.0), ('signup', 1, 2, 3.0), ('purchase', 2, 3, 2.0), ('error', 3, 4, 1.0)) t(teacher, grp, pos, gain))"
+SEQ = "seq AS (SELECT *, event_type = 'error' AS bad FROM events WHERE user_id IS NOT NULL)"
+
+
+@query(f"WITH {GRID} SELECT teacher, count(*) AS n_tasks, round(avg(score), 6) AS mean_score FROM grid GROUP BY teacher")
+def agg_common_support(spark, sf_dir):
+    return rounded(grid(spark, sf_dir).groupBy("teacher").agg(F.count("*").alias("n_tasks"), F.avg("score").alias("mean_score")), "mean_score")
+
+
+def order_grid(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy(F.col("o_orderpriority").alias("teacher"), F.col("c_nationkey").alias("task")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("num"), F.count("*").alias("den"))
+
+
+ORDER_GRID = """og AS (SELECT o_orderpriority AS teacher, c_nationkey AS task, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS num, count(*) AS den
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+
+
+@query(f"WITH {ORDER_GRID} SELECT teacher, count(*) AS n_tasks, round(sum(num) / sum(den), 4) AS raw, round(-sum(num) / sum(den), 4) AS utility FROM og GROUP BY teacher")
+def agg_ratio_of_means(spark, sf_dir):
+    return scores.teacher_means(order_grid(spark, sf_dir), direction="lower_better").withColumns({c: F.round(c, 4) for c in ("raw", "utility")})
+
+
+@query(f"""WITH {MEANS}, ranked AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM means),
+    tied AS (SELECT rank, string_agg(teacher, ' = ' ORDER BY teacher) AS t FROM ranked GROUP BY rank)
+    SELECT teacher, score, rank::INTEGER AS rank, (SELECT string_agg(t, ' > ' ORDER BY rank) FROM tied) AS ranking FROM ranked""")
+def rank_competition(spark, sf_dir):
+    return scores.competition_ranks(means(spark, sf_dir))
+
+
+@query(f"""WITH {MEANS}, ranked AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM means), tied AS (SELECT rank, string_agg(teacher, ' = ' ORDER BY teacher) AS t FROM ranked GROUP BY rank)
+    SELECT max(CASE WHEN rank = 1 THEN t END) AS teacher_rank_1, max(CASE WHEN rank = 2 THEN t END) AS teacher_rank_2, max(CASE WHEN rank = 3 THEN t END) AS teacher_rank_3, max(CASE WHEN rank = 4 THEN t END) AS teacher_rank_4 FROM tied""")
+def rank_pivot(spark, sf_dir):
+    return scores.rank_pivot(scores.competition_ranks(means(spark, sf_dir)))
+
+
+@query(f"""WITH {GRID}, r AS (SELECT task, rank() OVER (PARTITION BY task ORDER BY score) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0 AS rx,
+           rank() OVER (PARTITION BY task ORDER BY n) + (count(*) OVER (PARTITION BY task, n) - 1) / 2.0 AS ry FROM grid)
+    SELECT task, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN round(corr(rx, ry), 6) END AS rho FROM r GROUP BY task""")
+def rank_midrank_spearman(spark, sf_dir):
+    return rounded(scores.spearman(grid(spark, sf_dir), ["task"], "score", "n"), "rho")
+
+
+PAIRS = f"""WITH {MEANS}, {TRUTH_SQL}, t AS (SELECT * FROM means JOIN truth USING (teacher)),
+    p AS (SELECT sign(a.score - b.score) AS u, sign(b.grp - a.grp) AS g, a.score AS sa, b.score AS sb FROM t a JOIN t b ON a.pos < b.pos)"""
+
+
+@query(f"""{PAIRS}, c AS (SELECT count_if(u * g > 0)::BIGINT AS concordant, count_if(u * g < 0)::BIGINT AS discordant, count_if(u <> 0) AS fu, count_if(g <> 0) AS fg FROM p)
+    SELECT concordant, discordant, CASE WHEN fu > 0 AND fg > 0 THEN round((concordant - discordant) / sqrt(fu::DOUBLE * fg), 6) END AS tau_b FROM c""")
+def kendall_tau_b(spark, sf_dir):
+    return rounded(scores.kendall_tau_b(means(spark, sf_dir), scores.truth_table(spark, TRUTH)), "tau_b")
+
+
+@query(f"{PAIRS} SELECT count(*) AS comparable, round(avg(CASE WHEN sa > sb THEN 1.0 WHEN sa = sb THEN 0.5 ELSE 0.0 END), 6) AS accuracy FROM p WHERE g <> 0")
+def pairwise_accuracy(spark, sf_dir):
+    return rounded(scores.pairwise_accuracy(means(spark, sf_dir), scores.truth_table(spark, TRUTH)), "accuracy")
+
+
+@query(f"""WITH {MEANS}, {TRUTH_SQL}, t AS (SELECT gain, row_number() OVER (ORDER BY score DESC, teacher) AS i, row_number() OVER (ORDER BY gain DESC, teacher) AS j FROM means JOIN truth USING (teacher))
+    SELECT round(max(CASE WHEN i = 1 THEN gain END) / max(CASE WHEN j = 1 THEN gain END), 6) AS ndcg_1,
+           round(sum(CASE WHEN i <= 2 THEN gain / log2(i + 1) END) / sum(CASE WHEN j <= 2 THEN gain / log2(j + 1) END), 6) AS ndcg_2,
+           max(gain) - max(CASE WHEN i = 1 THEN gain END) AS regret FROM t""")
+def ndcg_regret(spark, sf_dir):
+    return rounded(scores.ndcg_regret(means(spark, sf_dir), scores.truth_table(spark, TRUTH, GAINS)), "ndcg_1", "ndcg_2")
+
+
+@query(f"""WITH {GRID} SELECT teacher, count(score) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(coalesce(stddev_samp(score), 0), 6) AS std,
+    round(coalesce(var_samp(score), 0), 4) AS variance, round(quantile_cont(score, 0.25), 6) AS q1, round(quantile_cont(score, 0.75), 6) AS q3,
+    round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr, round(min(score), 6) AS min, round(max(score), 6) AS max FROM grid GROUP BY teacher""")
+def dispersion(spark, sf_dir):
+    out = rounded(scores.dispersion(grid(spark, sf_dir)), "mean", "median", "std", "q1", "q3", "iqr", "min", "max")
+    return out.withColumn("variance", F.round("variance", 4))
+
+
+@query(f"""WITH {GRID}, g AS (SELECT teacher, task, n AS score FROM grid), top AS (SELECT task, max(score) AS top FROM g GROUP BY task), won AS (SELECT g.* FROM g JOIN top ON g.task = top.task AND score = top),
+    ties AS (SELECT task, count(*) AS k FROM won GROUP BY task)
+    SELECT teacher, round(sum(1.0 / k) / (SELECT count(*) FROM top), 6) AS share, count(*) AS n_best, max(k) AS widest_tie FROM won JOIN ties USING (task) GROUP BY teacher""")
+def winner_share(spark, sf_dir):
+    return rounded(scores.winner_share(grid(spark, sf_dir).select("teacher", "task", F.col("n").alias("score"))), "share")
+
+
+@query(f"""WITH {GRID} SELECT teacher, task, 'events/mean' AS result, round(score, 6) AS score FROM grid UNION ALL SELECT teacher, task, 'events/count', n::DOUBLE FROM grid""")
+def view_unpivot(spark, sf_dir):
+    g = grid(spark, sf_dir).select("teacher", "task", F.lit("events").alias("proxy"), "score", F.create_map(F.lit("mean"), F.col("score"), F.lit("count"), F.col("n").cast("double")).alias("score_views"))
+    return rounded(scores.unpivot_views(g), "score")
+
+
+BEST = "best AS (SELECT task, teacher, n, n::DOUBLE AS utility, row_number() OVER (PARTITION BY task ORDER BY n DESC, substr(sha256(task::VARCHAR || chr(0) || teacher), 1, 16) DESC, teacher DESC) AS i FROM grid)"
+
+
+@query(f"WITH {GRID}, {BEST} SELECT task, teacher, utility FROM best WHERE i = 1")
+def best_per_task(spark, sf_dir):
+    return scores.best_per_task(grid(spark, sf_dir), F.col("n"))
+
+
+@query(f"""WITH {GRID}, arm AS (SELECT teacher, n AS tokens, row_number() OVER (PARTITION BY task ORDER BY n DESC, substr(sha256(task::VARCHAR || chr(0) || teacher), 1, 16) DESC, teacher DESC) AS i FROM grid)
+    SELECT teacher, count(*) AS rows, sum(tokens)::BIGINT AS tokens, sum(tokens * tokens)::BIGINT AS squared, min(tokens) AS least, max(tokens) AS most,
+           round(sum(tokens) / (SELECT sum(tokens) FROM arm WHERE i = 1), 6) AS share FROM arm WHERE i = 1 GROUP BY teacher""")
+def arm_report(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    arm = scores.best_per_task(g, F.col("n")).select("teacher", "task", F.col("utility").cast("long").alias("tokens"))
+    return rounded(scores.arm_report(arm), "share")
+
+
+@query(f"""WITH {GRID}, s AS (SELECT max(score) - min(score) AS spread FROM grid GROUP BY task)
+    SELECT round(min(spread), 6) AS min, round(median(spread), 6) AS median, round(avg(spread), 6) AS mean, round(max(spread), 6) AS max FROM s""")
+def within_task_spread(spark, sf_dir):
+    return rounded(scores.within_task_spread(grid(spark, sf_dir)), "min", "median", "mean", "max")
+
+
+@query(f"""WITH {ORDER_GRID}, c AS (SELECT num - avg(num) OVER (PARTITION BY task) AS x, den - avg(den) OVER (PARTITION BY task) AS y FROM og),
+    c2 AS (SELECT round(x, 3) AS x, round(y, 3) AS y FROM c),
+    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM c2)
+    SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
+def centered_spearman(spark, sf_dir):
+    g = order_grid(spark, sf_dir)
+    w = Window.partitionBy("task")
+    centred = g.select(F.lit(0).alias("task"), *(F.round(F.col(v) - F.avg(v).over(w), 3).alias(v) for v in ("num", "den")))
+    ranked = lambda v: centred.groupBy(v).agg(F.count("*").alias("k")).withColumn(f"r_{v}", F.sum("k").over(Window.orderBy(v)) - (F.col("k") - 1) / 2).drop("k")
+    j = centred.join(ranked("num"), "num").join(ranked("den"), "den")
+    return rounded(j.agg(F.count("*").alias("n"), F.corr("r_num", "r_den").alias("rho")), "rho")
+
+
+@query("""WITH j AS (SELECT d.doc_id, lang AS teacher, source AS task, toxic FROM documents d JOIN labels l USING (doc_id)),
+    bad AS (SELECT DISTINCT task FROM j WHERE toxic > 0 AND doc_id % 7 = 0),
+    full_ AS (SELECT task FROM j GROUP BY task HAVING count(DISTINCT teacher) = (SELECT count(DISTINCT teacher) FROM j))
+    SELECT teacher, task, count(*) AS n FROM j WHERE task IN (SELECT * FROM full_) AND task NOT IN (SELECT * FROM bad) GROUP BY ALL""")
+def completeness_filter(spark, sf_dir):
+    d, lab = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("teacher"), F.col("source").alias("task")), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = d.join(lab, "doc_id").withColumn("truncated", F.when(F.col("doc_id") % 7 == 0, F.col("toxic")).otherwise(0))
+    return scores.complete_tasks(j, "truncated").groupBy("teacher", "task").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT * FROM (SELECT DISTINCT lang FROM documents) CROSS JOIN (SELECT DISTINCT source FROM documents)), h AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT g.lang, g.source, coalesce(n, 0) AS n, n IS NULL AS missing FROM g LEFT JOIN h ON g.lang IS NOT DISTINCT FROM h.lang AND g.source IS NOT DISTINCT FROM h.source""")
+def missing_pairs(spark, sf_dir):
+    return scores.missing_pairs(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("""WITH k AS (SELECT event_type AS teacher, user_id AS task, count(*) AS n FROM events GROUP BY ALL)
+    SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = k.teacher AND e.user_id = k.task AND e.value > 90)""")
+def anti_join_resume(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "teacher", "user_id": "task"})
+    return missing_only(e.groupBy("teacher", "task").agg(F.count("*").alias("n")), e.where("value > 90"), "teacher", "task")
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels)
+    SELECT count(*) AS all_ids, count_if(a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL)::BIGINT AS both, count_if(b.doc_id IS NULL)::BIGINT AS only_documents, count_if(a.doc_id IS NULL)::BIGINT AS only_labels
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+def id_set_audit(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select("doc_id").distinct().withColumn("a", F.lit(1))
+    b = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("b", F.lit(1))
+    return a.join(b, "doc_id", "full").agg(F.count("*").alias("all_ids"), F.count_if(F.expr("a = 1 and b = 1")).alias("both"), F.count_if(F.expr("b is null")).alias("only_documents"), F.count_if(F.expr("a is null")).alias("only_labels"))
+
+
+def train_eval(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eval_id"), "text")
+
+
+NORM = "array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ')"
+JACCARD = f"""tw AS (SELECT doc_id AS train_id, string_split({NORM}, ' ') AS w FROM documents WHERE {NORM} <> ''),
+    ew AS (SELECT item_id AS eval_id, string_split({NORM}, ' ') AS w FROM benchmark WHERE {NORM} <> ''),
+    ts AS (SELECT train_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM tw),
+    es AS (SELECT eval_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM ew),
+    tx AS (SELECT train_id, len(s) AS a, unnest(s) AS g FROM ts), ex AS (SELECT eval_id, len(s) AS b, unnest(s) AS g FROM es),
+    pairs AS (SELECT train_id, eval_id, count(*) / (any_value(a) + any_value(b) - count(*)) AS jaccard FROM tx JOIN ex USING (g) GROUP BY train_id, eval_id)"""
+
+
+@query(f"""WITH e AS (SELECT item_id, {NORM} AS k FROM benchmark), t AS (SELECT doc_id, {NORM} AS k FROM documents)
+    SELECT doc_id AS train_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS eval_ids FROM t JOIN e USING (k) GROUP BY doc_id""")
+def overlap_exact(spark, sf_dir):
+    return overlap.exact_matches(*train_eval(spark, sf_dir))
+
+
+@query(f"WITH {JACCARD} SELECT train_id, eval_id, round(jaccard, 6) AS jaccard FROM pairs ORDER BY pairs.jaccard DESC, train_id, eval_id LIMIT 20")
+def overlap_jaccard_topk(spark, sf_dir):
+    return rounded(overlap.top_pairs(overlap.jaccard_pairs(*train_eval(spark, sf_dir))), "jaccard")
+
+
+@query(f"""WITH {JACCARD}, exact AS (SELECT count(DISTINCT doc_id) AS exact FROM (SELECT doc_id, {NORM} AS k FROM documents) JOIN (SELECT {NORM} AS k FROM benchmark) USING (k))
+    SELECT count_if(jaccard >= 0.5)::BIGINT AS over_half, count_if(jaccard >= 0.8)::BIGINT AS near, round(coalesce(max(jaccard), 0), 6) AS largest, (SELECT exact FROM exact) AS exact FROM pairs""")
+def overlap_thresholds(spark, sf_dir):
+    t, e = train_eval(spark, sf_dir)
+    return rounded(overlap.audit(overlap.jaccard_pairs(t, e), overlap.exact_matches(t, e)), "largest")
+
+
+BAD = F.col("event_type") == "error"
+ORDER = ["ts", "event_id"]
+
+
+def seq(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("user_id is not null")
+
+
+@query("SELECT user_id, count(*) AS n, count_if(event_type = 'error')::BIGINT AS failed, round(count_if(event_type = 'error') / count(*), 6) AS rate FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def error_rate(spark, sf_dir):
+    return rounded(sequences.error_rate(seq(spark, sf_dir), "user_id", BAD), "rate")
+
+
+def marked(spark, sf_dir):
+    """Errors of each user with a category of props, recovered by a purchase within three events; teacher = user modulo 5."""
+    e = seq(spark, sf_dir).withColumns({"category": (F.get_json_object("props", "$.k").cast("int") % 7).cast("string"), "teacher": F.col("user_id") % 5})
+    return sequences.next_k(e, "user_id", ORDER, F.col("event_type") == "purchase")
+
+
+MARKED = """m AS (SELECT *, event_type = 'error' AS bad, ((props->>'$.k')::INTEGER % 7)::VARCHAR AS category, user_id % 5 AS teacher,
+        coalesce(max((event_type = 'purchase')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) = 1, false) AS recovered
+        FROM events WHERE user_id IS NOT NULL),
+    prof AS (SELECT teacher, category, count(*) AS occurring, count(*) / any_value(n) AS e_t, count_if(recovered) / count(*) AS r_t
+        FROM m JOIN (SELECT teacher, count(*) AS n FROM m GROUP BY teacher) USING (teacher) WHERE bad GROUP BY teacher, category),
+    stud AS (SELECT category, count(*) / (SELECT count(*) FROM m WHERE bad) AS q_all, count_if(NOT recovered) / (SELECT count(*) FROM m WHERE bad AND NOT recovered) AS q_unrecovered FROM m WHERE bad GROUP BY category)"""
+
+
+@query(f"WITH {MARKED} SELECT teacher, category, occurring, round(e_t, 6) AS e_t, round(r_t, 6) AS r_t FROM prof")
+def error_profile(spark, sf_dir):
+    return rounded(sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD), "e_t", "r_t")
+
+
+@query(f"WITH {MARKED} SELECT category, round(q_all, 6) AS q_all, round(q_unrecovered, 6) AS q_unrecovered FROM stud")
+def student_profile(spark, sf_dir):
+    return rounded(sequences.student_profile(marked(spark, sf_dir), "category", BAD), "q_all", "q_unrecovered")
+
+
+@query(f"""WITH {MARKED} SELECT teacher, round(sum(q_all * e_t * r_t), 6) AS all_errors, round(sum(q_unrecovered * e_t * r_t), 6) AS unrecovered, round(sum(e_t), 6) AS error_density,
+    round(sum(e_t * r_t), 6) AS recovery_density, round(sum(occurring * r_t) / sum(occurring), 6) AS recovery_rate FROM prof JOIN stud USING (category) GROUP BY teacher""")
+def scrf_weighted_sum(spark, sf_dir):
+    m = marked(spark, sf_dir)
+    out = sequences.weighted_recovery(sequences.recovery_profile(m, "teacher", "category", BAD), sequences.student_profile(m, "category", BAD), "teacher", "category")
+    return rounded(out, "all_errors", "unrecovered", "error_density", "recovery_density", "recovery_rate")
+
+
+@query(f"""WITH {MARKED}, ref AS (SELECT category, occurring AS q FROM prof WHERE teacher = 0)
+    SELECT teacher, round(sum(occurring * coalesce(q, 0)) / (sqrt(sum(occurring * occurring)) * (SELECT sqrt(sum(q * q)) FROM ref)), 6) AS cosine
+    FROM prof LEFT JOIN ref USING (category) WHERE teacher <> 0 GROUP BY teacher""")
+def profile_cosine(spark, sf_dir):
+    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD)
+    return rounded(sequences.profile_cosine(p, "teacher", "category", "occurring", 0), "cosine")
+
+
+@query(f"""WITH {MARKED}, full_ AS (SELECT t.teacher, c.category, coalesce(occurring, 0) AS n FROM (SELECT DISTINCT teacher FROM prof) t CROSS JOIN (SELECT DISTINCT category FROM prof) c LEFT JOIN prof p ON p.teacher = t.teacher AND p.category = c.category),
+    sm AS (SELECT teacher, category, (n / sum(n) OVER (PARTITION BY teacher) + 1e-6) / (1 + 1e-6 * count(*) OVER (PARTITION BY teacher)) AS p FROM full_),
+    ref AS (SELECT category, p AS q FROM sm WHERE teacher = 0)
+    SELECT teacher, round(sum(q * ln(q / p)), 6) AS kl, round(sum(p * q), 6) AS overlap FROM sm JOIN ref USING (category) WHERE teacher <> 0 GROUP BY teacher""")
+def profile_kl_overlap(spark, sf_dir):
+    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD).select("teacher", "category", "occurring")
+    return rounded(sequences.divergence(sequences.smoothed(p, "teacher", "category", "occurring"), "teacher", "category", 0), "kl", "overlap")
+
+
+@query(f"""WITH {SEQ}, n AS (SELECT user_id, bad, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM seq)
+    SELECT user_id, count_if(bad)::BIGINT AS failed, count_if(bad AND nxt = event_type)::BIGINT AS retried FROM n GROUP BY user_id""")
+def retry_consecutive(spark, sf_dir):
+    return sequences.consecutive_retry(seq(spark, sf_dir), "user_id", ORDER, "event_type", BAD)
+
+
+@query("""WITH per AS (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) FILTER (WHERE value < 10) AS bad FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+    n AS (SELECT user_id, coalesce(list_has_any(bad, lag(bad) OVER (PARTITION BY user_id ORDER BY day)), false) AS again FROM per)
+    SELECT user_id, count(*) - 1 AS pairs, count_if(again)::BIGINT AS cycles FROM n GROUP BY user_id""")
+def retry_cross_turn(spark, sf_dir):
+    return sequences.cross_turn_retry(seq(spark, sf_dir).withColumn("day", F.to_date("ts")), "user_id", "day", "event_type", F.col("value") < 10)
+
+
+@query(f"WITH {MARKED} SELECT user_id, count_if(bad)::BIGINT AS failed, count_if(bad AND recovered)::BIGINT AS recovered FROM m GROUP BY user_id")
+def recovery_window_k3(spark, sf_dir):
+    return marked(spark, sf_dir).groupBy("user_id").agg(F.count_if(BAD).alias("failed"), F.count_if(BAD & F.col("recovered")).alias("recovered"))
+
+
+@query(f"""WITH {SEQ}, n AS (SELECT user_id, event_type, coalesce(max((event_type = 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS hit FROM seq)
+    SELECT user_id, count(*) AS actions, sum(hit)::BIGINT AS verified, round(sum(hit) / count(*), 6) AS rate FROM n WHERE event_type = 'purchase' GROUP BY user_id""")
+def verify_within_horizon(spark, sf_dir):
+    return rounded(sequences.checked_after(seq(spark, sf_dir), "user_id", ORDER, F.col("event_type") == "purchase", F.col("event_type") == "view"), "rate")
+
+
+@query(f"""WITH {SEQ}, n AS (SELECT user_id, event_type, ((props->>'$.k')::INTEGER % 20) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos_ FROM seq),
+    f AS (SELECT *, min(CASE WHEN event_type = 'view' THEN pos_ END) OVER (PARTITION BY user_id, key) AS first_ FROM n)
+    SELECT user_id, count(*) AS actions, count_if(first_ < pos_)::BIGINT AS grounded, round(count_if(first_ < pos_) / count(*), 6) AS rate FROM f WHERE event_type = 'purchase' GROUP BY user_id""")
+def inspect_before_act(spark, sf_dir):
+    e = seq(spark, sf_dir).withColumn("key", F.get_json_object("props", "$.k").cast("int") % 20)
+    return rounded(sequences.seen_before(e, "user_id", ORDER, "key", F.col("event_type") == "purchase", F.col("event_type") == "view"), "rate")
+
+
+@query("""SELECT conv_id, count(*) AS turns, count_if(role = 'assistant')::BIGINT AS assistant_turns, coalesce(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS assistant_words,
+    coalesce(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))), 0)::BIGINT AS words FROM conversations GROUP BY conv_id""")
+def turn_lengths(spark, sf_dir):
+    n = F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r]+)"), F.lit(1)))
+    mine = F.col("role") == "assistant"
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(mine).alias("assistant_turns"), F.coalesce(F.sum(F.when(mine, n)), F.lit(0)).alias("assistant_words"), F.coalesce(F.sum(n), F.lit(0)).alias("words"))
+
+
+@query("""WITH t AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS last_ FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, count(*) AS turns, count_if(coalesce(before = role, false) OR (before IS NULL AND role <> 'user') OR (last_ AND role <> 'assistant')) = 0 AS strict FROM t GROUP BY conv_id""")
+def role_alternation(spark, sf_dir):
+    return sequences.alternation(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)licen[cs]e') AS licence, regexp_matches(text, '(?i)licen[cs]e') AND regexp_matches(text, '(?i)mit|apache') AS gate FROM documents WHERE text IS NOT NULL")
+def keyword_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", literature.keyword_gate(F.col("text"), "licen[cs]e").alias("licence"), literature.keyword_gate(F.col("text"), "licen[cs]e", "mit|apache").alias("gate"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def title_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.title(F.col("html")).alias("title"))
+
+
+@query()
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query("""WITH r AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS refs FROM pages) SELECT page_id, array_to_string(list_sort(refs), ',') AS refs, len(refs)::INTEGER AS n FROM r""")
+def url_refs(spark, sf_dir):
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z]+)"'), F.lit(1))))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("refs"), F.size(found).alias("n"))
+
+
+def _scrub_sql() -> str:
+    out = "text"
+    for pattern, by in T.SCRUB:
+        to = by.replace("$1", "\\1")
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents WHERE text IS NOT NULL"
+
+
+@query(_scrub_sql())
+def scrub_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.scrub(F.col("text")).alias("text"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE props IS NOT NULL AND json_valid(props)")
+def json_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v")).where("v is not null")
+    return e.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"))
+
+
+@query("SELECT doc_id AS id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE regexp_matches(text, '\\S')")
+def inverted_index_rebuild(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "token"))
+    index = w.groupBy("id", "token").agg(F.collect_list("at").alias("places")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("inverted"))
+    return literature.rebuild_inverted(index)
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 0 OR doc_id % 5 < 2 THEN 'reject' WHEN doc_id % 3 = 0 THEN 'needs_review' WHEN doc_id % 4 = 0 THEN 'results_only'
+    WHEN doc_id % 5 < 3 OR toxic = 1 THEN 'silver' ELSE 'gold' END AS status FROM labels""")
+def status_decision(spark, sf_dir):
+    lab, yes = table(spark, sf_dir, "labels"), F.lit("yes")
+    core = [F.when(F.col("quality") == 0, "no").when(F.col("doc_id") % 3 == 0, "unclear").otherwise("yes")]
+    public = (F.when(F.col("doc_id") % 4 == 0, "no").otherwise("yes"), yes)
+    made = literature.status(core, F.col("doc_id") % 5, F.lit(True), F.lit(False), public, (F.lit(True), F.lit(True)), yes, F.when(F.col("toxic") == 1, "unclear").otherwise("yes"))
+    return lab.select("doc_id", made.alias("status"))
+
+
+@query("""WITH p AS (SELECT doc_id, lang AS l1, CASE WHEN doc_id % 11 = 0 THEN upper(lang) || '.' WHEN doc_id % 13 = 0 THEN 'xx' ELSE lang END AS l2, source AS s1, CASE WHEN doc_id % 17 = 0 THEN 'other' ELSE source END AS s2,
+        n_chars AS n1, n_chars + CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END AS n2 FROM documents)
+    SELECT doc_id, 'lang' AS field, l1 AS "left", l2 AS "right" FROM p WHERE doc_id % 11 <> 0 AND doc_id % 13 = 0
+    UNION ALL SELECT doc_id, 'source', s1, s2 FROM p WHERE s1 <> s2 UNION ALL SELECT doc_id, 'n_chars', n1::VARCHAR, n2::VARCHAR FROM p WHERE n1 <> n2""")
+def field_diff(spark, sf_dir):
+    d, k = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), F.col("doc_id")
+    lang = F.when(k % 11 == 0, F.concat(F.upper("lang"), F.lit("."))).when(k % 13 == 0, "xx").otherwise(F.col("lang"))
+    other = d.select("doc_id", lang.alias("lang"), F.when(k % 17 == 0, "other").otherwise(F.col("source")).alias("source"), (F.col("n_chars") + F.when(k % 19 == 0, 1).otherwise(0)).alias("n_chars"))
+    return literature.field_diff(d, other, "doc_id", ["source"], ["lang"], ["n_chars"])
+
+
+@query("""WITH u AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
+    x AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+    b AS (SELECT a.label AS a, c.label AS b, sum(a.x * c.x) AS s FROM m a JOIN m c ON a.i = c.i AND a.label <= c.label GROUP BY ALL)
+    SELECT b.a, b.b, round(s, 6) AS mean_cosine, CASE WHEN b.a = b.b AND n > 1 THEN round((s * n * n - n) / (n * (n - 1)), 6) END AS off_diagonal FROM b JOIN n ON b.a = n.label""")
+def vector_cosine_blocks(spark, sf_dir):
+    return rounded(tokens.cosine_blocks(table(spark, sf_dir, "embeddings"), "label", "embedding"), "mean_cosine", "off_diagonal")
+
+
+@query("""WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS g FROM lineitem)
+    SELECT l_returnflag AS teacher, count(*) AS n, round(avg(l_extendedprice) - (SELECT g FROM s) * avg(l_quantity), 3) AS adjusted FROM lineitem GROUP BY ALL""")
+def casl_regression(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    gamma = scores.ols(rows, "l_extendedprice", ["l_quantity"])[1]
+    return rows.groupBy(F.col("l_returnflag").alias("teacher")).agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice") - F.lit(gamma) * F.avg("l_quantity"), 3).alias("adjusted"))
+
+
+@query(f"""WITH {GRID}, idx AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS idx FROM (SELECT DISTINCT task FROM grid)), nn AS (SELECT count(*) AS n FROM idx),
+    draws AS (SELECT rep, (('0x' || substr(md5(rep || ':' || k), 1, 8))::BIGINT % n) AS idx, count(*) AS cnt FROM nn, range(200) r(rep), range(n) q(k) GROUP BY ALL),
+    m AS (SELECT rep, teacher, round(sum(score * cnt) / sum(cnt), 9) AS mean FROM grid JOIN idx USING (task) JOIN draws USING (idx) GROUP BY ALL),
+    p AS (SELECT teacher, row_number() OVER (PARTITION BY rep ORDER BY mean DESC, teacher) AS place FROM m)
+    SELECT teacher, place::INTEGER AS place, round(count(*) / 200, 6) AS p FROM p GROUP BY ALL""")
+def bootstrap_top1(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    m = bootstrap.replicate_means(g, bootstrap.hashed_draws(g.select("task").distinct(), 200)).withColumn("mean", F.round("mean", 9))
+    return rounded(bootstrap.rank_distribution(m), "p")
+
+
+@query()
+def bootstrap_seeded(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    return bootstrap.interval(bootstrap.replicate_means(g, bootstrap.seeded_draws(spark, g.select("task").distinct().count(), 200, 42)))
+
+
+@query()
+def ablation_nested(spark, sf_dir):
+    orders = bootstrap.nested_orders(grid(spark, sf_dir), [5, 10, 20, 50, 100, 200], 42)
+    full = orders.orderBy(F.desc("n")).first()
+    return orders.join(F.broadcast(bootstrap.smallest_stable(orders, full.ranking if full else "")))
+
+
+def _assignment(spark, given):
+    return spark.createDataFrame(sorted(given.items()), "task string, teacher string")
+
+
+@query()
+def balanced_select(spark, sf_dir):
+    u = selection.table(grid(spark, sf_dir), "score")
+    return _assignment(spark, selection.balanced(u, selection.quotas(len(u), sorted({t for x in u.values() for t in x}))))
+
+
+@query()
+def token_matched_select(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    u, n = selection.table(g, "score"), selection.table(g, "n")
+    quota = selection.quotas(len(u), sorted({t for x in u.values() for t in x}))
+    total = round(sum(sum(x.values()) / len(x) for x in n.values()))
+    return _assignment(spark, selection.matched(u, n, quota, total))
+
+
+@query("""WITH k AS (SELECT crc32(substr(coalesce(text, ''), 1, 12)) AS key, doc_id, lang, source FROM documents)
+    SELECT key, first(lang ORDER BY doc_id) AS lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(doc_id) AS hops FROM k GROUP BY key""".replace("crc32(substr(coalesce(text, ''), 1, 12))", "substr(coalesce(text, ''), 1, 12)"))
+def candidate_merge(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.substring(F.coalesce("text", F.lit("")), 1, 12).alias("key"), "doc_id", "lang", "source", F.col("doc_id").alias("hops"))
+    return literature.merge_candidates(d, "key", "doc_id", ["lang"], ["source"], ["hops"]).select("key", "lang", F.array_join(F.array_sort("source"), ",").alias("sources"), "hops")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + (props->>'$.k')::BIGINT) % 1000 AS b FROM events WHERE value > 95), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    walk AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN both_ ON a = node WHERE hops < 3)
+    SELECT node, min(hops)::INTEGER AS hops FROM walk GROUP BY node""")
+def citation_bfs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value > 95").select(F.col("user_id").alias("a"), ((F.col("user_id") * 7 + F.get_json_object("props", "$.k").cast("long")) % 1000).alias("b")).distinct()
+    return literature.citation_search(spark.createDataFrame([(1,)], "node long"), e, 3)
+
+
+@query("""SELECT label_pair, count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS agreement
+    FROM (SELECT quality, toxic, CASE WHEN quality = toxic THEN 'same' ELSE 'different' END AS label_pair FROM labels) GROUP BY label_pair""")
+def label_agreement(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("label_pair", F.when(F.col("quality") == F.col("toxic"), "same").otherwise("different"))
+    return rounded(lab.groupBy("label_pair").agg(F.count("*").alias("n"), F.avg((F.col("quality") == F.col("toxic")).cast("double")).alias("agreement")), "agreement")
+
+
+@query("SELECT l_returnflag AS teacher, l_suppkey AS task, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity), 4) AS score, count(*) AS n FROM lineitem GROUP BY ALL")
+def star_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("teacher"), F.col("l_suppkey").alias("task")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.sum("l_quantity"), 4).alias("score"), F.count("*").alias("n"))
+
+
+def token_rows(spark, sf_dir):
+    """A stand-in for model output: each line item as a token of (supplier, order) with a log-probability and a rank."""
+    x = table(spark, sf_dir, "lineitem")
+    return x.select((F.col("l_suppkey") % 4).alias("teacher"), (F.col("l_orderkey") % 50).alias("task"), F.col("l_orderkey").alias("turn"), (F.col("l_linenumber") - 1).alias("pos"), (-F.col("l_quantity") / 10).alias("logprob"), (F.col("l_partkey") % 300 + 1).alias("rank"))
+
+
+TOKENS = "tk AS (SELECT l_suppkey % 4 AS teacher, l_orderkey % 50 AS task, l_orderkey AS turn, l_linenumber - 1 AS pos, -l_quantity / 10 AS logprob, l_partkey % 300 + 1 AS rank FROM lineitem)"
+
+
+@query(f"WITH {TOKENS} SELECT teacher, task, round(avg(logprob), 6) AS score, count(logprob) AS n FROM tk GROUP BY ALL")
+def global_nll(spark, sf_dir):
+    return rounded(tokens.global_nll(token_rows(spark, sf_dir)), "score")
+
+
+@query(f"WITH {TOKENS}, t AS (SELECT teacher, task, turn, avg(logprob) AS m FROM tk GROUP BY ALL) SELECT teacher, task, round(avg(m), 9) AS score, count(*) AS n FROM t GROUP BY ALL")
+def local_nll(spark, sf_dir):
+    return tokens.local_nll(token_rows(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {TOKENS} SELECT teacher, task, round(coalesce(avg(logprob) FILTER (WHERE pos >= 2), -16), 6) AS drop, round(avg(logprob), 6) AS mean, count_if(pos < 2)::BIGINT AS heads, round(count_if(pos < 2) / count(*), 6) AS ratio FROM tk GROUP BY ALL""")
+def step_drop(spark, sf_dir):
+    return rounded(tokens.step_drop(token_rows(spark, sf_dir)), "drop", "mean", "ratio")
+
+
+@query(f"WITH {TOKENS} SELECT teacher, task, sum(least(rank, 100))::BIGINT AS num, round(sum(-logprob), 4) AS den, count(*) AS n, round(sum(least(rank, 100)) / sum(-logprob), 6) AS score FROM tk GROUP BY ALL")
+def rank_surprisal(spark, sf_dir):
+    return rounded(tokens.rank_surprisal(token_rows(spark, sf_dir)), "score").withColumn("den", F.round("den", 4))
+
+
+def authored(spark):
+    """A few small trajectories, since the tables hold no shell turns."""
+    say = lambda role, content: (role, content)
+    turn = lambda *keys: '{"analysis":"","plan":"","commands":[' + ",".join('{"keystrokes":"%s\\n","duration":1}' % k for k in keys) + "]}"  # noqa: E731, UP031
+    p = "root@box:/app# "
+    rows = [
+        ("A", "t1", [say("user", f"Task\n{p}"), say("assistant", turn("cat a.py", "sed -i s/x/y/ a.py")), say("user", f"{p}cat a.py\nx\n{p}sed -i s/x/y/ a.py\n{p}"), say("assistant", turn("pytest")), say("user", f"{p}pytest\n1 failed\n{p}"), say("assistant", turn("pytest -q")), say("user", f"{p}pytest -q\nERROR\n{p}")]),
+        ("B", "t1", [say("user", f"Task\n{p}"), say("assistant", "thinking</think>" + turn("touch new.txt")), say("user", f"{p}touch new.txt\n{p}"), say("assistant", "no json"), say("user", p)]),
+        ("B", "t2", [say("user", f"Task\n{p}"), say("assistant", turn("ls src", "echo hi > src/out")), say("user", f"{p}ls src\nb.py\n{p}echo hi > src/out\n{p}")]),
+    ]
+    return spark.createDataFrame(rows, "teacher string, task string, messages array<struct<role:string,content:string>>")
+
+
+@query()
+def shell_segments(spark, sf_dir):
+    e = shell.with_events(authored(spark)).select("teacher", "task", F.explode("events").alias("e"))
+    return e.select("teacher", "task", "e.turn", "e.pos", "e.line", "e.word", F.array_join("e.paths", ",").alias("paths"), "e.cwd", "e.kind", "e.output")
+
+
+@query()
+def tor_views(spark, sf_dir):
+    g = shell.grounding(shell.with_events(authored(spark)))
+    return g.drop("messages", "events", "egs_post", "egs_loop")
+
+
+@query()
+def egs(spark, sf_dir):
+    return shell.grounding(shell.with_events(authored(spark))).select("teacher", "task", "egs_post", "egs_loop")
+
+
+@query()
+def error_retry_traj(spark, sf_dir):
+    return shell.error_retry(shell.with_events(authored(spark))).drop("messages", "events")
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL")
+def guarded_scan(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "value").where("value is not null")
+    return guard(e, F.isnan("value"), "value is not finite")

@@ -32,10 +32,11 @@ def at_path(df: DataFrame, path: str) -> Column:
 def messages_of(df: DataFrame) -> Column:
     """Messages of either record form, roles mapped to user, assistant and system, other roles left out."""
     names = F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv))
+    message = lambda role, text: lambda m: F.struct(names[m[role]].alias("role"), m[text].alias("content"))
     forms = []
     for column, role, text in (("messages", "role", "content"), ("conversations", "from", "value")):
         if column in df.columns:
-            forms.append(F.transform(column, lambda m, role=role, text=text: F.struct(names[m[role]].alias("role"), m[text].alias("content"))))
+            forms.append(F.transform(column, message(role, text)))
     if not forms:
         raise ValueError("records have neither messages nor conversations")
     return F.filter(F.coalesce(*forms), lambda m: m["role"].isNotNull()).cast(MESSAGES)
