@@ -247,7 +247,10 @@ def overlap_thresholds(spark, sf_dir):
     return rounded(overlap.audit(overlap.jaccard_pairs(t, e), overlap.exact_matches(t, e)), "largest")
 
 
-BAD = F.col("event_type") == "error"
+def bad():
+    return F.col("event_type") == "error"
+
+
 ORDER = ["ts", "event_id"]
 
 
@@ -257,7 +260,7 @@ def seq(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n, count_if(event_type = 'error')::BIGINT AS failed, round(count_if(event_type = 'error') / count(*), 6) AS rate FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def error_rate(spark, sf_dir):
-    return rounded(sequences.error_rate(seq(spark, sf_dir), "user_id", BAD), "rate")
+    return rounded(sequences.error_rate(seq(spark, sf_dir), "user_id", bad()), "rate")
 
 
 def marked(spark, sf_dir):
@@ -276,19 +279,19 @@ MARKED = """m AS (SELECT *, event_type = 'error' AS bad, ((props->>'$.k')::INTEG
 
 @query(f"WITH {MARKED} SELECT teacher, category, occurring, round(e_t, 6) AS e_t, round(r_t, 6) AS r_t FROM prof")
 def error_profile(spark, sf_dir):
-    return rounded(sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD), "e_t", "r_t")
+    return rounded(sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", bad()), "e_t", "r_t")
 
 
 @query(f"WITH {MARKED} SELECT category, round(q_all, 6) AS q_all, round(q_unrecovered, 6) AS q_unrecovered FROM stud")
 def student_profile(spark, sf_dir):
-    return rounded(sequences.student_profile(marked(spark, sf_dir), "category", BAD), "q_all", "q_unrecovered")
+    return rounded(sequences.student_profile(marked(spark, sf_dir), "category", bad()), "q_all", "q_unrecovered")
 
 
 @query(f"""WITH {MARKED} SELECT teacher, round(sum(q_all * e_t * r_t), 6) AS all_errors, round(sum(q_unrecovered * e_t * r_t), 6) AS unrecovered, round(sum(e_t), 6) AS error_density,
     round(sum(e_t * r_t), 6) AS recovery_density, round(sum(occurring * r_t) / sum(occurring), 6) AS recovery_rate FROM prof JOIN stud USING (category) GROUP BY teacher""")
 def scrf_weighted_sum(spark, sf_dir):
     m = marked(spark, sf_dir)
-    out = sequences.weighted_recovery(sequences.recovery_profile(m, "teacher", "category", BAD), sequences.student_profile(m, "category", BAD), "teacher", "category")
+    out = sequences.weighted_recovery(sequences.recovery_profile(m, "teacher", "category", bad()), sequences.student_profile(m, "category", bad()), "teacher", "category")
     return rounded(out, "all_errors", "unrecovered", "error_density", "recovery_density", "recovery_rate")
 
 
@@ -296,7 +299,7 @@ def scrf_weighted_sum(spark, sf_dir):
     SELECT teacher, round(sum(occurring * coalesce(q, 0)) / (sqrt(sum(occurring * occurring)) * (SELECT sqrt(sum(q * q)) FROM ref)), 6) AS cosine
     FROM prof LEFT JOIN ref USING (category) WHERE teacher <> 0 GROUP BY teacher""")
 def profile_cosine(spark, sf_dir):
-    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD)
+    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", bad())
     return rounded(sequences.profile_cosine(p, "teacher", "category", "occurring", 0), "cosine")
 
 
@@ -305,14 +308,14 @@ def profile_cosine(spark, sf_dir):
     ref AS (SELECT category, p AS q FROM sm WHERE teacher = 0)
     SELECT teacher, round(sum(q * ln(q / p)), 6) AS kl, round(sum(p * q), 6) AS overlap FROM sm JOIN ref USING (category) WHERE teacher <> 0 GROUP BY teacher""")
 def profile_kl_overlap(spark, sf_dir):
-    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", BAD).select("teacher", "category", "occurring")
+    p = sequences.recovery_profile(marked(spark, sf_dir), "teacher", "category", bad()).select("teacher", "category", "occurring")
     return rounded(sequences.divergence(sequences.smoothed(p, "teacher", "category", "occurring"), "teacher", "category", 0), "kl", "overlap")
 
 
 @query(f"""WITH {SEQ}, n AS (SELECT user_id, bad, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM seq)
-    SELECT user_id, count_if(bad)::BIGINT AS failed, count_if(bad AND nxt = event_type)::BIGINT AS retried FROM n GROUP BY user_id""")
+    SELECT user_id, count_if(bad)::BIGINT AS failed, count_if(coalesce(bad AND nxt = event_type, false))::BIGINT AS retried FROM n GROUP BY user_id""")
 def retry_consecutive(spark, sf_dir):
-    return sequences.consecutive_retry(seq(spark, sf_dir), "user_id", ORDER, "event_type", BAD)
+    return sequences.consecutive_retry(seq(spark, sf_dir), "user_id", ORDER, "event_type", bad())
 
 
 @query("""WITH per AS (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) FILTER (WHERE value < 10) AS bad FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
@@ -324,7 +327,7 @@ def retry_cross_turn(spark, sf_dir):
 
 @query(f"WITH {MARKED} SELECT user_id, count_if(bad)::BIGINT AS failed, count_if(bad AND recovered)::BIGINT AS recovered FROM m GROUP BY user_id")
 def recovery_window_k3(spark, sf_dir):
-    return marked(spark, sf_dir).groupBy("user_id").agg(F.count_if(BAD).alias("failed"), F.count_if(BAD & F.col("recovered")).alias("recovered"))
+    return marked(spark, sf_dir).groupBy("user_id").agg(F.count_if(bad()).alias("failed"), F.count_if(bad() & F.col("recovered")).alias("recovered"))
 
 
 @query(f"""WITH {SEQ}, n AS (SELECT user_id, event_type, coalesce(max((event_type = 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 0) AS hit FROM seq)
@@ -335,7 +338,7 @@ def verify_within_horizon(spark, sf_dir):
 
 @query(f"""WITH {SEQ}, n AS (SELECT user_id, event_type, ((props->>'$.k')::INTEGER % 20) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos_ FROM seq),
     f AS (SELECT *, min(CASE WHEN event_type = 'view' THEN pos_ END) OVER (PARTITION BY user_id, key) AS first_ FROM n)
-    SELECT user_id, count(*) AS actions, count_if(first_ < pos_)::BIGINT AS grounded, round(count_if(first_ < pos_) / count(*), 6) AS rate FROM f WHERE event_type = 'purchase' GROUP BY user_id""")
+    SELECT user_id, count(*) AS actions, count_if(coalesce(first_ < pos_, false))::BIGINT AS grounded, round(count_if(coalesce(first_ < pos_, false)) / count(*), 6) AS rate FROM f WHERE event_type = 'purchase' GROUP BY user_id""")
 def inspect_before_act(spark, sf_dir):
     e = seq(spark, sf_dir).withColumn("key", F.get_json_object("props", "$.k").cast("int") % 20)
     return rounded(sequences.seen_before(e, "user_id", ORDER, "key", F.col("event_type") == "purchase", F.col("event_type") == "view"), "rate")
