@@ -1,0 +1,105 @@
+"""The shell parser's functions, and the metrics over its events."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+
+from trailweave.functions import shell
+
+P = "root@box:/app# "
+
+
+def turn(*keys: str) -> str:
+    return json.dumps({"analysis": "", "plan": "", "commands": [{"keystrokes": k, "duration": 1} for k in keys]})
+
+
+def test_turns_after_reasoning_are_found():
+    text = 'hm {"x": 1} </think>' + turn("ls -la\n")
+    assert shell.turn_commands(shell.parse_turn(text)) == ["ls -la"]
+    assert shell.parse_turn("no json") is None
+    assert shell.parse_turn("[1]") is None
+    assert shell.parse_turn(None) is None
+
+
+@pytest.mark.parametrize(
+    ("keys", "want"),
+    [
+        ("ls\npwd\n", ["ls", "pwd"]),
+        ("echo 'a\nb'\nls\n", ["echo 'a", "ls"]),
+        ("cat > f <<'EOF'\nx\ny\nEOF\nls\n", ["cat > f <<'EOF'", "ls"]),
+        ("gcc a.c \\\n  -o a\n./a\n", ["gcc a.c \\", "./a"]),
+        ("\n\n", []),
+        ('echo "open', ['echo "open']),
+    ],
+)
+def test_keystrokes_split_at_top_level_lines(keys, want):
+    assert shell.split_keystrokes(keys) == want
+
+
+def test_outputs_reach_to_the_next_echo():
+    screen = f"{P}cat a\nhello\n{P}(never)\n{P}ls\nb.py\n"
+    got = shell.segments(["cat a", "missing", "ls"], screen)
+    assert [(s["input"], s["observed"]) for s in got] == [("cat a", True), ("missing", False), ("ls", True)]
+    assert got[2]["output"] == "b.py"
+    assert got[2]["cwd"] == "/app"
+
+
+def test_long_output_keeps_its_tail_and_marks_the_gap():
+    got = shell.segments(["x"], f"{P}x\nstart interior bytes omitted rest")
+    assert got[0]["output"].endswith("[... interior output omitted ...]")
+    assert len(shell.segments(["x"], f"{P}x\n" + "y" * 9000)[0]["output"]) == 4000
+
+
+@pytest.mark.parametrize(
+    ("line", "word"),
+    [("ls -la", "ls"), ("FOO=1 sudo env X=2 /usr/bin/python3 a.py", "python3"), ("", ""), ("timeout 5 ls", "5"), ("xargs rm", "rm")],
+)
+def test_first_word(line, word):
+    assert shell.first_word(line) == word
+
+
+def test_paths():
+    assert shell.paths_of("cat a.py ../b", "/app/x") == {"/app/x/a.py", "/app/b"}
+    assert shell.paths_of("sed -i s/x/y/ a.py", "/app") == {"/app/a.py", "/app/s/x/y"}  # what has a slash counts as a path
+    assert shell.paths_of("echo hi > out", "/app") == {"/app/out"}
+    assert shell.paths_of("echo $HOME/x > /dev/null", "/app") == set()
+    assert shell.normal_path("~/x", "/app") == "/home/user/x"
+
+
+def test_directories_are_carried_forward():
+    messages = [{"role": "user", "content": P}, {"role": "assistant", "content": turn("cd src\n", "cat a.py\n")}, {"role": "user", "content": f"{P}cd src\nApptainer> cat a.py\n"}]
+    assert [(e["cwd"], e["paths"]) for e in shell.events(messages)][1] == ("/app/src", ["/app/src/a.py"])
+
+
+def made(spark, messages):
+    df = spark.createDataFrame([("A", "t", messages)], "teacher string, task string, messages array<struct<role:string,content:string>>")
+    return shell.with_events(df)
+
+
+def test_grounding_views_and_verification(spark):
+    p = "(venv) root@box:/testbed# "
+    ms = [("user", p), ("assistant", turn("cat a.py\n", "sed -i s/x/y/ a.py\n")), ("user", f"{p}cat a.py\nx\n{p}sed -i s/x/y/ a.py\n{p}"), ("assistant", turn("pytest\n")), ("user", f"{p}pytest\nok\n")]
+    got = shell.grounding(made(spark, ms)).first()
+    assert got.tor_list_loose_any == 1.0
+    assert got.tor_list_loose_prevturn == 0.0
+    assert got.tor_all_exact_any == 0.5  # pytest acts on nothing that was looked at
+    assert (got.egs_post, got.egs_loop) == (1.0, 1.0)
+
+
+def test_no_actions_leave_the_share_undefined(spark):
+    got = shell.grounding(made(spark, [("user", P), ("assistant", turn("ls\n")), ("user", f"{P}ls\n")])).first()
+    assert got.tor_list_loose_any is None
+    assert got.egs_post is None
+
+
+def test_error_retry(spark):
+    ms = [("user", P), ("assistant", turn("pytest\n")), ("user", f"{P}pytest\n1 failed\n"), ("assistant", turn("pytest -q\n")), ("user", f"{P}pytest -q\nERROR\n"), ("assistant", turn("ls\n")), ("user", f"{P}ls\nok\n")]
+    got = shell.error_retry(made(spark, ms)).first()
+    assert (got.cycles, got.turn_pairs, got.verbatim_cycles) == (1, 2, 1)
+
+
+def test_empty_and_null_trajectories(spark):
+    df = spark.createDataFrame([("A", "t", None), ("B", "t", [])], "teacher string, task string, messages array<struct<role:string,content:string>>")
+    assert [r.events for r in shell.with_events(df).collect()] == [[], []]

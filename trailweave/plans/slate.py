@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, PLACES) for c in columns})
+    return df.withColumns({c: F.round(c, PLACES) + F.lit(0.0) for c in columns})  # no negative zero
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def rank_pivot(spark, sf_dir):
 
 @query(f"""WITH {GRID}, r AS (SELECT task, rank() OVER (PARTITION BY task ORDER BY score) + (count(*) OVER (PARTITION BY task, score) - 1) / 2.0 AS rx,
            rank() OVER (PARTITION BY task ORDER BY n) + (count(*) OVER (PARTITION BY task, n) - 1) / 2.0 AS ry FROM grid)
-    SELECT task, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN round(corr(rx, ry), 6) END AS rho FROM r GROUP BY task""")
+    SELECT task, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN round(corr(rx, ry), 6) + 0.0 END AS rho FROM r GROUP BY task""")
 def rank_midrank_spearman(spark, sf_dir):
     return rounded(scores.spearman(grid(spark, sf_dir), ["task"], "score", "n"), "rho")
 
@@ -184,13 +184,13 @@ def centered_spearman(spark, sf_dir):
     return rounded(j.agg(F.count("*").alias("n"), F.corr("r_num", "r_den").alias("rho")), "rho")
 
 
-@query("""WITH j AS (SELECT d.doc_id, lang AS teacher, source AS task, toxic FROM documents d JOIN labels l USING (doc_id)),
-    bad AS (SELECT DISTINCT task FROM j WHERE toxic > 0 AND doc_id % 7 = 0),
+@query("""WITH j AS (SELECT d.doc_id, lang AS teacher, source AS task, n_chars, toxic FROM documents d JOIN labels l USING (doc_id)),
+    bad AS (SELECT DISTINCT task FROM j WHERE toxic > 0 AND n_chars > 5000),
     full_ AS (SELECT task FROM j GROUP BY task HAVING count(DISTINCT teacher) = (SELECT count(DISTINCT teacher) FROM j))
     SELECT teacher, task, count(*) AS n FROM j WHERE task IN (SELECT * FROM full_) AND task NOT IN (SELECT * FROM bad) GROUP BY ALL""")
 def completeness_filter(spark, sf_dir):
-    d, lab = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("teacher"), F.col("source").alias("task")), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    j = d.join(lab, "doc_id").withColumn("truncated", F.when(F.col("doc_id") % 7 == 0, F.col("toxic")).otherwise(0))
+    d, lab = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("teacher"), F.col("source").alias("task"), "n_chars"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = d.join(lab, "doc_id").withColumn("truncated", F.when(F.col("n_chars") > 5000, F.col("toxic")).otherwise(0))
     return scores.complete_tasks(j, "truncated").groupBy("teacher", "task").agg(F.count("*").alias("n"))
 
 

@@ -111,7 +111,7 @@ def episodes(spark: SparkSession, root: str, name: str = "prompt.txt") -> DataFr
     """Texts of episode-N folders below a root: (trial, episode, text), episode as a number."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
     path = F.col("_metadata.file_path")
-    return files.select(F.regexp_extract(path, r"([^/]+)/(?:[^/]+/)?episode-\d+/", 1).alias("trial"), F.regexp_extract(path, r"/episode-(\d+)/", 1).cast("int").alias("episode"), F.col("value").alias("text"))
+    return files.select(F.regexp_extract(path, r"([^/]+)/(?:agent/)?episode-\d+/", 1).alias("trial"), F.regexp_extract(path, r"/episode-(\d+)/", 1).cast("int").alias("episode"), F.col("value").alias("text"))
 
 
 def instructions(spark: SparkSession, root: str, name: str = "instruction.md") -> DataFrame:
