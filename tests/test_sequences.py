@@ -77,8 +77,8 @@ def test_profiles_and_their_weighted_sum(spark):
 def test_smoothed_divergence(spark):
     counts = spark.createDataFrame([("A", "x", 3), ("A", "y", 1), ("B", "x", 2), ("B", "z", 2)], "who string, cat string, n long")
     got = sequences.divergence(sequences.smoothed(counts, "who", "cat", "n"), "who", "cat", "A").first()
-    p = {k: (v + 1e-6) / (1 + 3e-6) for k, v in {"x": 0.75, "y": 0.25, "z": 0.0}.items()}
-    q = {k: (v + 1e-6) / (1 + 3e-6) for k, v in {"x": 0.5, "y": 0.0, "z": 0.5}.items()}
+    p = {k: (v + 1e-6) / (4 + 3e-6) for k, v in {"x": 3, "y": 1, "z": 0}.items()}
+    q = {k: (v + 1e-6) / (4 + 3e-6) for k, v in {"x": 2, "y": 0, "z": 2}.items()}
     assert got.kl == pytest.approx(sum(p[k] * math.log(p[k] / q[k]) for k in p))
     assert got.overlap == pytest.approx(sum(p[k] * q[k] for k in p))
 

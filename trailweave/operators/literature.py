@@ -138,3 +138,94 @@ def mention(name: Column) -> Column:
     """A pattern for loose mentions of a name: its tokens with any short separators."""
     return F.concat(F.lit("(?i)"), F.array_join(F.regexp_extract_all(name, F.lit("([A-Za-z]+|[0-9]+)"), F.lit(1)), "[ ._-]{0,2}"))
 
+
+def prescreened(rows: DataFrame, limit: int) -> DataFrame:
+    """The first candidates for full reading: seeds, then yes before unclear by confidence, then those with a preprint, near ones first; a `no` never."""
+    order = [~F.array_contains("sources", "seed"), F.col("relevant") != "yes", F.desc(F.coalesce("confidence", F.lit(0.0))), F.col("arxiv_id").isNull(), "hops", "key"]
+    return rows.where("relevant <> 'no'").orderBy(*order).limit(limit)
+
+
+def recent(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of a year or later; an unknown year stays."""
+    return rows.where(F.col("year").isNull() | (F.col("year") >= least))
+
+
+def run_counts(rows: DataFrame, column: str = "status") -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
+#: Names that the signal scan counts.
+SCANNED = ("GPT", "Claude", "DeepSeek", "Qwen", "Gemini", "Llama")
+
+
+def signal(text: Column) -> Column:
+    """Strength of signs that a text compares several teachers' data: named sources, tuning, and ablations."""
+    low = F.lower(text)
+    names = sum((F.regexp_count(text, F.lit(n)) for n in SCANNED), F.lit(0))
+    score = F.when((names >= 3) & low.rlike("sft|supervised fine"), 1).otherwise(0)
+    for n in SCANNED[:4]:
+        score += F.when(F.contains(text, F.lit(f"from {n}")) | F.contains(low, F.lit(f"trajectories from {n}")), 2).otherwise(0)
+    several = F.contains(low, F.lit("ablation")) & text.rlike("|".join(SCANNED[:3])) & ((F.regexp_count(low, F.lit("sft")) >= 2) | (F.regexp_count(low, F.lit("training")) >= 3))
+    return F.coalesce(score + F.when(several, 1).otherwise(0), F.lit(0))
+
+
+def scan_verdict(text: Column) -> Column:
+    """fail_retrieval without text, fail_scan without a sign, else a provisional pass."""
+    return F.when(text.isNull(), "fail_retrieval").when(signal(text) == 0, "fail_scan").otherwise("pass")
+
+
+def artifact_role() -> Column:
+    """The judged role of an artifact; what a paper names for a role keeps it unless the judge says otherwise."""
+    judged = F.nullif(F.col("judged_role"), F.lit("unclear"))
+    return F.when(F.col("role").isin("tasks", "trajectories"), F.coalesce(judged, F.col("role"))).otherwise(F.coalesce("judged_role", F.lit("unclear")))
+
+
+def artifact_status(checked: DataFrame, role: str) -> DataFrame:
+    """(paper, verified, ids, separable): whether a paper's artifacts of one role exist and can be read.
+
+    verified is true with a matching artifact, false if one was named in vain,
+    null without either. separable: yes if any judgment says so, no if all say
+    no and no teacher is mentioned, else unclear.
+    checked: paper, id, kind, role, judged_role, exists, accessible, separable, mentioned.
+    """
+    good = F.col("kind").isin("datasets", "models") & (artifact_role() == role) & F.col("exists") & F.col("accessible")
+    c = checked.withColumn("_good", F.coalesce(good, F.lit(False)))
+    mine = F.col("_good")
+    per = c.groupBy("paper").agg(
+        F.bool_or(mine).alias("any_good"), F.bool_or(F.coalesce(F.col("role") == role, F.lit(False))).alias("named"),
+        F.array_sort(F.collect_list(F.when(mine, F.col("id")))).alias("ids"), F.coalesce(F.bool_or(F.when(mine, F.col("separable") == "yes")), F.lit(False)).alias("yes"),
+        F.coalesce(F.bool_and(F.when(mine & F.col("separable").isNotNull(), F.col("separable") == "no")), F.lit(True)).alias("all_no"), F.coalesce(F.bool_or(F.when(mine, F.col("mentioned"))), F.lit(False)).alias("seen"),
+    )
+    verified = F.when(F.col("any_good"), True).when(F.col("named"), False)
+    separable = F.when(F.col("any_good"), F.when(F.col("yes"), "yes").when(F.col("all_no") & ~F.col("seen"), "no").otherwise("unclear"))
+    return per.select("paper", verified.alias("verified"), F.when(F.col("any_good"), F.col("ids")).otherwise(F.array().cast("array<string>")).alias("ids"), separable.alias("separable"))
+
+
+def key_tokens(name: Column) -> Column:
+    """Distinctive tokens of a name: three characters or more, with a letter."""
+    parts = F.transform(F.split(F.lower(name), r"[\s\-_/():]+"), lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
+    return F.array_distinct(F.filter(parts, lambda t: (F.length(t) >= 3) & t.rlike("[a-z]")))
+
+
+def dedicated_links(teachers: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(paper, teacher, dataset): the first dataset by id whose name has a token of that teacher and none of the paper's other teachers; null without one."""
+    t = teachers.withColumn("mine", key_tokens(F.col("teacher")))
+    every = t.groupBy("paper").agg(F.array_distinct(F.flatten(F.collect_list("mine"))).alias("all"))  # the teachers of one paper
+    t = t.join(every, "paper").withColumn("others", F.array_except("all", "mine"))
+    norm = F.regexp_replace(F.lower(F.substring_index("dataset", "/", -1)), "[^a-z0-9]+", "")
+    d = datasets.select("paper", "dataset", norm.alias("_n"))
+    inside = lambda column: F.exists(column, lambda k: F.contains(F.col("_n"), k))
+    hit = t.join(d, "paper").where(inside("mine") & ~inside("others")).groupBy("paper", "teacher").agg(F.min("dataset").alias("dataset"))
+    return teachers.select("paper", "teacher").join(hit, ["paper", "teacher"], "left")
+
+
+def review_queue(records: DataFrame) -> DataFrame:
+    """What a person should look at: records that need review, and fields on which the sources disagree."""
+    return records.where((F.col("status") == "needs_review") | (F.size(F.coalesce("disagreements", F.array().cast("array<string>"))) > 0))
+
+
+def flat_record(records: DataFrame, fields: list[str], evidence: str = "evidence") -> DataFrame:
+    """A wide row for export: chosen fields in order, null where a record lacks one, and all evidence joined as `field: text`."""
+    kept = [F.col(f) if f in records.columns else F.lit(None).cast("string").alias(f) for f in fields]
+    joined = F.array_join(F.transform(F.array_sort(F.map_entries(evidence)), lambda e: F.concat_ws(": ", e["key"], e["value"])), " | ")
+    return records.select(*kept, joined.alias("all_evidence"))

@@ -8,6 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIGN = {"higher_better": 1, "lower_better": -1}
+#: Metrics whose direction is fixed, whatever a score file declares.
+FIXED_DIRECTION = {"grace": "lower_better", "rsr": "lower_better"}
+
+
+def direction_of(metric: str, declared: str | None = None) -> str:
+    """The direction that counts; one that is neither up nor down fails."""
+    out = FIXED_DIRECTION.get(metric, declared or "higher_better")
+    if out not in SIGN:
+        raise ValueError(f"{metric}: unknown direction {out!r}")
+    return out
+
+
+def stale(scores: DataFrame, setting: str, current: str) -> bool:
+    """Whether a stored score table was made with another value of a setting in its meta; an empty table is not stale."""
+    first = scores.select(F.col(f"meta.{setting}").cast("string").alias("v")).head(1)
+    return bool(first) and first[0].v != current
+
+
+def predicted_order(means: DataFrame, truth: DataFrame, value: str = "score") -> DataFrame:
+    """One row: the predicted order (ties as published), whether its ends are in the published end groups, and whether all scores tie."""
+    t = means.join(F.broadcast(truth), "teacher")  # teachers are a small dimension
+    a = t.agg(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("m"), "pos", "teacher", "grp"))).alias("o"), F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.countDistinct(value).alias("k"))
+    free = F.col("k") > 1
+    return a.select(
+        F.array_join(F.transform("o", lambda x: x["teacher"]), " > ").alias("predicted"), (free & (F.element_at("o", 1)["grp"] == F.col("lo"))).alias("top1_correct"),
+        (free & (F.element_at("o", -1)["grp"] == F.col("hi"))).alias("worst_correct"), (~free).alias("all_tied"),
+    )
 
 
 def common_support(scores: DataFrame, by: str = "teacher", task: str = "task", value: str = "score") -> DataFrame:

@@ -31,12 +31,10 @@ def recovery_profile(marked: DataFrame, teacher: str, category: str, failed: Col
 
 
 def student_profile(marked: DataFrame, category: str, failed: Column) -> DataFrame:
-    """Shares of error categories among all errors and among those never recovered."""
-    e = marked.where(failed)
-    total = e.agg(F.count("*").alias("n"), F.count_if(~F.col("recovered")).alias("open"))
-    per = e.groupBy(category).agg(F.count("*").alias("own"), F.count_if(~F.col("recovered")).alias("own_open"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return per.join(F.broadcast(total)).select(category, share("own", "n").alias("q_all"), share("own_open", "open").alias("q_unrecovered"))
+    """Errors of each category over all rows, and those never recovered over all rows."""
+    total = marked.agg(F.count("*").alias("n"))
+    per = marked.where(failed).groupBy(category).agg(F.count("*").alias("own"), F.count_if(~F.col("recovered")).alias("own_open"))
+    return per.join(F.broadcast(total)).select(category, (F.col("own") / F.col("n")).alias("q_all"), (F.col("own_open") / F.col("n")).alias("q_unrecovered"))
 
 
 def weighted_recovery(profile: DataFrame, student: DataFrame, teacher: str, category: str) -> DataFrame:
@@ -50,11 +48,11 @@ def weighted_recovery(profile: DataFrame, student: DataFrame, teacher: str, cate
 
 
 def smoothed(counts: DataFrame, by: str, category: str, n: str) -> DataFrame:
-    """Distributions over the union of categories, each count raised by EPSILON's share."""
+    """Distributions over the union of categories, each count raised by EPSILON."""
     grid = counts.select(by).distinct().crossJoin(F.broadcast(counts.select(category).distinct()))
     full = grid.join(counts, [by, category], "left").fillna(0, [n])
     total = full.groupBy(by).agg(F.sum(n).alias("total"), F.count("*").alias("kinds"))
-    p = (F.col(n) / F.col("total") + EPSILON) / (1 + EPSILON * F.col("kinds"))
+    p = (F.col(n) + EPSILON) / (F.col("total") + EPSILON * F.col("kinds"))
     return full.join(total, by).select(by, category, p.alias("p"))
 
 
@@ -69,7 +67,7 @@ def profile_cosine(p: DataFrame, by: str, category: str, n: str, against: str) -
     norm = p.where(F.col(by) == against).agg(F.sqrt(F.sum(F.col(n) * F.col(n))).alias("norm"))
     j = p.where(F.col(by) != against).join(F.broadcast(ref), category, "left")
     dot = j.groupBy(by).agg(F.sum(F.col(n) * F.coalesce("q", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col(n) * F.col(n))).alias("own"))
-    return dot.join(F.broadcast(norm)).select(by, F.when((F.col("own") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("own") * F.col("norm"))).alias("cosine"))
+    return dot.join(F.broadcast(norm)).select(by, F.when((F.col("own") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("own") * F.col("norm"))).otherwise(0.0).alias("cosine"))
 
 
 def consecutive_retry(events: DataFrame, by: str, order: list[str], tool: str, failed: Column) -> DataFrame:

@@ -73,3 +73,30 @@ def cosine_blocks(rows: DataFrame, by: str, vector: str) -> DataFrame:
     j = a.join(b, F.col("a") <= F.col("b")).withColumn("mean_cosine", dot(F.col("ma"), F.col("mb")))
     off = F.when((F.col("a") == F.col("b")) & (F.col("na") > 1), (F.col("mean_cosine") * F.col("na") * F.col("na") - F.col("na")) / (F.col("na") * (F.col("na") - 1)))
     return j.select("a", "b", "mean_cosine", off.alias("off_diagonal"))
+
+
+def projected(rows: DataFrame, key: str, vector: str, dims: int = 512, seed: int = 0) -> DataFrame:
+    """(key, projected): random signs in place of a matrix, from the hash of (seed, coordinate, dimension), over the square root of the length.
+
+    Every engine and executor draws the same signs, so nothing is broadcast;
+    distances hold in expectation, not bit for bit with other generators.
+    """
+    n = F.size(vector)
+    sign = lambda i, j: F.when(F.pmod(F.xxhash64(F.lit(seed), i, j), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    one = lambda j: F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x) / F.sqrt(n.cast("double"))
+    return rows.select(key, F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), one)).alias("projected"))
+
+
+def response_spans(ids: list[int], header: list[int], end: list[int], blank: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
+    """Half-open spans of what follows each header up to the next end mark or the end; one leading blank token is left out, empty spans too."""
+    out, i = [], 0
+    at = lambda mark, since: next((k for k in range(since, len(ids) - len(mark) + 1) if ids[k : k + len(mark)] == mark), None)
+    while header and (head := at(header, i)) is not None:
+        start = head + len(header)
+        stop = at(end, start) if end else None
+        i = len(ids) if stop is None else stop + len(end)
+        stop = len(ids) if stop is None else stop
+        start += start < stop and ids[start] in blank
+        if start < stop:
+            out.append((start, stop))
+    return out

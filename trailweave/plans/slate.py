@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import shell
 from ..functions import text as T
-from ..operators import bootstrap, literature, overlap, scores, selection, sequences, tokens
+from ..operators import bootstrap, literature, overlap, pool, profiles, scores, selection, sequences, tokens
 from ..sources.readers import guard
 from ..sources.sinks import missing_only
 
@@ -274,7 +274,7 @@ MARKED = """m AS (SELECT *, event_type = 'error' AS bad, ((props->>'$.k')::INTEG
         FROM events WHERE user_id IS NOT NULL),
     prof AS (SELECT teacher, category, count(*) AS occurring, count(*) / any_value(n) AS e_t, count_if(recovered) / count(*) AS r_t
         FROM m JOIN (SELECT teacher, count(*) AS n FROM m GROUP BY teacher) USING (teacher) WHERE bad GROUP BY teacher, category),
-    stud AS (SELECT category, count(*) / (SELECT count(*) FROM m WHERE bad) AS q_all, count_if(NOT recovered) / (SELECT count(*) FROM m WHERE bad AND NOT recovered) AS q_unrecovered FROM m WHERE bad GROUP BY category)"""
+    stud AS (SELECT category, count(*) / (SELECT count(*) FROM m) AS q_all, count_if(NOT recovered) / (SELECT count(*) FROM m) AS q_unrecovered FROM m WHERE bad GROUP BY category)"""
 
 
 @query(f"WITH {MARKED} SELECT teacher, category, occurring, round(e_t, 6) AS e_t, round(r_t, 6) AS r_t FROM prof")
@@ -304,7 +304,7 @@ def profile_cosine(spark, sf_dir):
 
 
 @query(f"""WITH {MARKED}, full_ AS (SELECT t.teacher, c.category, coalesce(occurring, 0) AS n FROM (SELECT DISTINCT teacher FROM prof) t CROSS JOIN (SELECT DISTINCT category FROM prof) c LEFT JOIN prof p ON p.teacher = t.teacher AND p.category = c.category),
-    sm AS (SELECT teacher, category, (n / sum(n) OVER (PARTITION BY teacher) + 1e-6) / (1 + 1e-6 * count(*) OVER (PARTITION BY teacher)) AS p FROM full_),
+    sm AS (SELECT teacher, category, (n + 1e-6) / (sum(n) OVER (PARTITION BY teacher) + 1e-6 * count(*) OVER (PARTITION BY teacher)) AS p FROM full_),
     ref AS (SELECT category, p AS q FROM sm WHERE teacher = 0)
     SELECT teacher, round(sum(q * ln(q / p)), 6) AS kl, round(sum(p * q), 6) AS overlap FROM sm JOIN ref USING (category) WHERE teacher <> 0 GROUP BY teacher""")
 def profile_kl_overlap(spark, sf_dir):
@@ -581,3 +581,171 @@ def error_retry_traj(spark, sf_dir):
 def guarded_scan(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value").where("value is not null")
     return guard(e, F.isnan("value"), "value is not finite")
+
+
+def segs(spark, sf_dir):
+    """Events as labelled segments: errors failed, signups are format episodes, a purchase within three rows recovers, rewards go by user."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = sequences.next_k(seq(spark, sf_dir), "user_id", ORDER, F.col("event_type") == "purchase")
+    reward = F.when(F.col("user_id") % 3 == 1, 0.0).when(F.col("user_id") % 3 == 2, 1.0)
+    return e.select((F.col("user_id") % 5).alias("teacher"), F.col("user_id").alias("task"), F.when(F.col("event_type") == "signup", "format").otherwise("command").alias("kind"), F.col("event_type").isin("error", "signup").alias("failure"), (k % 7).cast("string").alias("category"), (k % 3).cast("string").alias("subcategory"), "recovered", reward.alias("reward"), F.lit(True).alias("parsed"))
+
+
+def taxonomy(spark):
+    return spark.createDataFrame([(str(c), str(s)) for c in range(6) for s in range(2)], "category string, subcategory string")
+
+
+SEGS = """segs AS (SELECT user_id % 5 AS teacher, user_id AS task, event_type = 'signup' AS fmt, event_type IN ('error', 'signup') AS failure, (props->>'$.k')::INTEGER % 7 AS c, (props->>'$.k')::INTEGER % 3 AS s,
+        CASE WHEN event_type = 'signup' THEN 'Agent format :: Unparseable response' ELSE ((props->>'$.k')::INTEGER % 7)::VARCHAR || ' :: ' || ((props->>'$.k')::INTEGER % 3)::VARCHAR END AS key,
+        CASE WHEN event_type = 'signup' THEN 'Agent format' ELSE ((props->>'$.k')::INTEGER % 7)::VARCHAR END AS cat, CASE user_id % 3 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 END AS reward,
+        coalesce(max((event_type = 'purchase')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) = 1, false) AS recovered FROM events WHERE user_id IS NOT NULL),
+    cmd AS (SELECT *, coalesce(reward = 0, true) AS lost FROM segs WHERE NOT fmt),
+    fine AS (SELECT key, cat, count(*) / (SELECT count(*) FROM cmd) AS q1, count_if(NOT recovered) / (SELECT count(*) FROM cmd) AS q2, count_if(lost) / (SELECT count(*) FROM cmd WHERE lost) AS q3 FROM cmd WHERE failure GROUP BY ALL),
+    views AS (SELECT 'qS_all_episodes' AS view, key, cat, q1 AS q FROM fine UNION ALL SELECT 'qS_unrecovered', key, cat, q2 FROM fine UNION ALL SELECT 'qS_failed_trajectories', key, cat, q3 FROM fine),
+    prof AS (SELECT view, key, q FROM views WHERE q > 0 UNION ALL SELECT view || '_cat', cat, sum(q) FROM views WHERE q > 0 GROUP BY view, cat)"""
+
+
+@query(f"""WITH {SEGS}, cc AS (SELECT teacher, task, key, count(*) AS n FROM cmd WHERE failure GROUP BY ALL)
+    SELECT teacher, task, count(*) AS commands, count_if(failure)::BIGINT AS failed, round(count_if(failure) / count(*), 6) AS rate, count_if(failure AND NOT (c < 6 AND s < 2))::BIGINT AS invalid_pairs,
+           coalesce((SELECT string_agg(key || '=' || n, ', ' ORDER BY key) FROM cc WHERE cc.task = cmd.task), '') AS categories FROM cmd GROUP BY teacher, task""")
+def command_errors(spark, sf_dir):
+    out = profiles.command_errors(profiles.valid_pairs(segs(spark, sf_dir), taxonomy(spark)))
+    listed = F.array_join(F.transform("category_counts", lambda x: F.concat(x["key"], F.lit("="), x["n"].cast("string"))), ", ")
+    return rounded(out, "rate").select("teacher", "task", "commands", "failed", "rate", "invalid_pairs", F.coalesce(listed, F.lit("")).alias("categories"))
+
+
+@query(f"WITH {SEGS} SELECT view, key, round(q, 6) AS q FROM prof")
+def student_profile_views(spark, sf_dir):
+    return rounded(profiles.student_profiles(segs(spark, sf_dir)), "q")
+
+
+@query(f"""WITH {SEGS}, n AS (SELECT teacher, task, count(*) AS n FROM segs GROUP BY ALL), comp AS (
+        SELECT teacher, task, false AS coarse, key, count(*) AS occ, count_if(recovered) AS rec FROM segs WHERE failure GROUP BY ALL UNION ALL
+        SELECT teacher, task, true, cat, count(*), count_if(recovered) FROM segs WHERE failure GROUP BY ALL),
+    hit AS (SELECT c.teacher, c.task, p.view, sum(q * occ / n.n * rec / occ) AS score FROM comp c JOIN n ON c.task = n.task JOIN prof p ON p.key = c.key AND ends_with(p.view, '_cat') = c.coarse GROUP BY ALL),
+    every_ AS (SELECT * FROM (SELECT DISTINCT teacher, task FROM segs) CROSS JOIN (SELECT DISTINCT view FROM prof)),
+    own AS (SELECT c.teacher, c.task, sum(rec) / any_value(n.n) AS density, sum(occ) / any_value(n.n) AS rate, sum(rec) / sum(occ) AS unweighted FROM comp c JOIN n ON c.task = n.task WHERE NOT coarse GROUP BY ALL)
+    SELECT e.teacher, e.task, e.view, round(coalesce(score, 0), 6) AS score FROM every_ e LEFT JOIN hit h ON e.task = h.task AND e.view = h.view
+    UNION ALL SELECT teacher, task, 'control_recovery_density', round(density, 6) FROM own UNION ALL SELECT teacher, task, 'control_total_error_rate', round(rate, 6) FROM own
+    UNION ALL SELECT teacher, task, 'control_recovery_event_rate', round(density, 6) FROM own UNION ALL SELECT teacher, task, 'control_recovery_rate_unweighted', round(unweighted, 6) FROM own""")
+def scrf_views(spark, sf_dir):
+    s = segs(spark, sf_dir)
+    return rounded(profiles.weighted_views(s, profiles.student_profiles(s)), "score")
+
+
+@query(f"""WITH {SEGS}, bars AS (SELECT teacher::VARCHAR AS agent, cat AS category, count(*) AS failed, count_if(recovered)::BIGINT AS recovered FROM segs WHERE failure GROUP BY ALL
+        UNION ALL SELECT 'student', cat, count(*), count_if(recovered)::BIGINT FROM segs WHERE failure GROUP BY cat),
+    o AS (SELECT category, (row_number() OVER (ORDER BY sum(failed) DESC, category) - 1)::INTEGER AS place FROM bars GROUP BY category)
+    SELECT agent, category, failed, recovered, place FROM bars JOIN o USING (category)""")
+def recovery_bars(spark, sf_dir):
+    s = segs(spark, sf_dir)
+    return profiles.failed_and_recovered(profiles.components(s), profiles.student_recovery(s))
+
+
+@query(f"""WITH {MEANS}, {TRUTH_SQL}, t AS (SELECT * FROM means JOIN truth USING (teacher)), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, pos) AS i, row_number() OVER (ORDER BY score, pos DESC) AS j FROM t)
+    SELECT string_agg(teacher, ' > ' ORDER BY i) AS predicted, count(DISTINCT score) > 1 AND max(CASE WHEN i = 1 THEN grp END) = min(grp) AS top1_correct,
+           count(DISTINCT score) > 1 AND max(CASE WHEN j = 1 THEN grp END) = max(grp) AS worst_correct, count(DISTINCT score) <= 1 AS all_tied FROM o""")
+def predicted_order(spark, sf_dir):
+    return scores.predicted_order(means(spark, sf_dir), scores.truth_table(spark, TRUTH))
+
+
+@query("""WITH c AS (SELECT doc_id AS key, source = 'src0' AS seed, CASE WHEN lang = 'en' THEN 'yes' WHEN lang = 'fr' THEN 'no' ELSE 'unclear' END AS relevant, quality AS confidence, toxic = 1 AS bare, n_chars AS hops FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT key, relevant, hops FROM c WHERE relevant <> 'no' ORDER BY NOT seed, relevant <> 'yes', coalesce(confidence, 0) DESC, coalesce(bare, true), hops, key LIMIT 25""")
+def prescreen_order(spark, sf_dir):
+    d, lab = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), table(spark, sf_dir, "labels")
+    sources = F.array(F.when(F.col("source") == "src0", "seed").otherwise(F.col("source")))
+    c = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("key"), sources.alias("sources"), F.when(F.col("lang") == "en", "yes").when(F.col("lang") == "fr", "no").otherwise("unclear").alias("relevant"), F.col("quality").cast("double").alias("confidence"), F.when(F.col("toxic") == 0, "id").alias("arxiv_id"), F.col("n_chars").alias("hops"))
+    return literature.prescreened(c, 25).select("key", "relevant", "hops")
+
+
+def order_pool(spark, sf_dir):
+    """Priorities as teachers, nations as tasks, with four scores of which one is undefined at times; joined from three inputs."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = [F.col("o_orderpriority").alias("teacher"), F.col("c_nationkey").alias("task")]
+    named = lambda df: df.withColumn("trajectory_id", F.concat_ws("::", "teacher", F.col("task").cast("string")))
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    t = named(o.groupBy(*keys).agg(F.count("*").alias("turns")))
+    s = named(o.groupBy(*keys).agg(F.max(price).cast("double").alias("rsr"), F.min(price).cast("double").alias("nll"), F.countDistinct("o_custkey").cast("double").alias("rank")))
+    a = named(o.groupBy(*keys).agg(F.count_if(F.col("o_orderstatus") == "F").alias("tokens"), F.lit(0).alias("sft_turns_truncated")))
+    made = pool.candidates(t, s, a)
+    return made.withColumn("tor", F.when(F.col("turns") % 4 != 0, F.col("tokens") / F.col("turns")))
+
+
+ORDER_POOL = """p0 AS (SELECT o_orderpriority AS teacher, c_nationkey AS task, count(*) AS turns, max(o_totalprice::DECIMAL(18,2))::DOUBLE AS rsr, min(o_totalprice::DECIMAL(18,2))::DOUBLE AS nll, count(DISTINCT o_custkey)::DOUBLE AS rank, count_if(o_orderstatus = 'F')::BIGINT AS tokens
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    p1 AS (SELECT *, CASE WHEN turns % 4 <> 0 THEN tokens / turns END AS tor FROM p0 WHERE task IN (SELECT task FROM p0 GROUP BY task HAVING count(DISTINCT teacher) = (SELECT count(DISTINCT teacher) FROM p0))),
+    u AS (SELECT 'rsr_low' AS arm, task, teacher, -rsr AS utility FROM p1 UNION ALL SELECT 'rsr_high', task, teacher, rsr FROM p1 UNION ALL SELECT 'tor_high', task, teacher, coalesce(tor, -1) FROM p1
+        UNION ALL SELECT 'nll_low', task, teacher, -nll FROM p1 UNION ALL SELECT 'rank_low', task, teacher, -rank FROM p1),
+    arms AS (SELECT arm, task, teacher, utility FROM (SELECT *, row_number() OVER (PARTITION BY arm, task ORDER BY utility DESC, substr(sha256(task::VARCHAR || chr(0) || teacher), 1, 16) DESC, teacher DESC) AS i FROM u) WHERE i = 1)"""
+
+
+@query(f"WITH {ORDER_POOL} SELECT teacher, task, turns, rsr, nll, rank, tokens, round(tor, 6) AS tor FROM p1")
+def candidate_pool(spark, sf_dir):
+    return rounded(order_pool(spark, sf_dir), "tor").select("teacher", "task", "turns", "rsr", "nll", "rank", "tokens", "tor")
+
+
+@query(f"WITH {ORDER_POOL} SELECT arm, task, teacher, round(utility, 6) AS utility FROM arms")
+def selection_arms(spark, sf_dir):
+    return rounded(pool.arms(order_pool(spark, sf_dir)), "utility")
+
+
+@query(f"""WITH {ORDER_POOL} SELECT a.arm, count(*) AS n, count(b.task) AS shared, round(count(b.task) / count(*), 6) AS share
+    FROM arms a LEFT JOIN arms b ON b.arm = 'rsr_low' AND a.task = b.task AND a.teacher = b.teacher GROUP BY a.arm""")
+def arm_overlap(spark, sf_dir):
+    return rounded(pool.arm_overlap(pool.arms(order_pool(spark, sf_dir)), "rsr_low"), "share")
+
+
+@query(f"""WITH {ORDER_POOL}, f AS (SELECT 'rsr' AS field, rsr AS v FROM p1 UNION ALL SELECT 'tokens', tokens FROM p1 UNION ALL SELECT 'tor', tor FROM p1)
+    SELECT field, round(min(v), 6) AS min, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM f GROUP BY field""")
+def field_summary(spark, sf_dir):
+    return rounded(pool.summary(order_pool(spark, sf_dir), "rsr", "tokens", "tor"), "min", "median", "mean", "max")
+
+
+@query("""WITH t AS (SELECT c_nationkey AS task, CASE c_nationkey % 4 WHEN 0 THEN 'hard' WHEN 1 THEN 'easy' WHEN 2 THEN 'medium' END AS difficulty FROM customer GROUP BY c_nationkey) SELECT difficulty, count(*) AS tasks FROM t GROUP BY difficulty""")
+def difficulty_counts(spark, sf_dir):
+    k = F.col("c_nationkey") % 4
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("teacher"), F.col("c_nationkey").alias("task"), F.when(k == 0, "hard").when(k == 1, " easy ").when(k == 2, "medium").otherwise(" ").alias("difficulty"))
+    return pool.difficulty_counts(rows)
+
+
+@query("""WITH t AS (SELECT o_custkey AS task, o_orderstatus AS status, o_orderpriority AS priority FROM orders), f AS (SELECT task, count(DISTINCT status) AS s, count(DISTINCT priority) AS p FROM t GROUP BY task)
+    SELECT 'status' AS field, count(*) AS tasks, count_if(s = 1)::BIGINT AS equal FROM f UNION ALL SELECT 'priority', count(*), count_if(p = 1)::BIGINT FROM f""")
+def input_alignment(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return pool.alignment(rows, "status", "priority")
+
+
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN 'fail_retrieval'
+        WHEN len(regexp_extract_all(text, 'GPT')) + len(regexp_extract_all(text, 'Claude')) + len(regexp_extract_all(text, 'DeepSeek')) + len(regexp_extract_all(text, 'Qwen')) + len(regexp_extract_all(text, 'Gemini')) + len(regexp_extract_all(text, 'Llama')) >= 3 AND regexp_matches(lower(text), 'sft|supervised fine')
+          OR regexp_matches(text, 'from (GPT|Claude|DeepSeek|Qwen)') OR (contains(lower(text), 'ablation') AND regexp_matches(text, 'GPT|Claude|DeepSeek') AND (len(regexp_extract_all(lower(text), 'sft')) >= 2 OR len(regexp_extract_all(lower(text), 'training')) >= 3)) THEN 'pass'
+        ELSE 'fail_scan' END AS verdict FROM documents""")
+def signal_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", literature.scan_verdict(F.col("text")).alias("verdict"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
+def run_counts(spark, sf_dir):
+    return literature.run_counts(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"))
+
+
+@query()
+def projected_vectors(spark, sf_dir):
+    return tokens.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16, 42)
+
+
+@query()
+def trajectory_length(spark, sf_dir):
+    return shell.trajectory_length(authored(spark)).drop("messages")
+
+
+@query()
+def turn_audit(spark, sf_dir):
+    return shell.with_audit(authored(spark)).select("teacher", "task", "audit.*")
+
+
+@query()
+def student_segments(spark, sf_dir):
+    p = "root@box:/app# "
+    turn = '{"commands":[{"keystrokes":"%s\\n"}]}'
+    rows = [("a", 1, p, turn % "ls"), ("a", 2, f"{p}ls\nb.py\n", "no json"), ("a", 3, "Parsing error: send JSON", turn % "cat b.py"), ("a", 10, f"{p}cat b.py\nx\n", None), ("b", 1, p, "{")]
+    return shell.student_segments(spark.createDataFrame(rows, "trial string, episode int, prompt string, response string"))

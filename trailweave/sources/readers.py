@@ -155,3 +155,56 @@ def works(payloads: DataFrame, column: str = "body") -> DataFrame:
 def cached_pages(cache: DataFrame, wanted: DataFrame) -> DataFrame:
     """Bodies of the URLs asked for from a cache table (url, status, body); only status 200 counts."""
     return wanted.select("url").distinct().join(cache.where("status = 200"), "url")
+
+
+_CANDIDATE = ("key", "arxiv_id", "url", "title", "abstract", "year", "sources", "tags", "hops")
+
+
+def _paper(arxiv: Column, source: Column, tag: Column | None = None, title: Column | None = None, abstract: Column | None = None, year: Column | None = None, url: Column | None = None, hops: int = 0) -> list[Column]:
+    none = F.lit(None).cast("string")
+    link = F.when(arxiv.isNotNull(), F.concat(F.lit("https://arxiv.org/abs/"), arxiv)).otherwise(none if url is None else url)
+    key = F.when(arxiv.isNotNull(), F.concat(F.lit("arxiv:"), arxiv)).otherwise(F.concat(F.lit("url:"), link))
+    tags = F.array().cast("array<string>") if tag is None else F.array(tag)
+    columns = (key, arxiv, link, F.coalesce(none if title is None else title, F.lit("")), F.coalesce(none if abstract is None else abstract, F.lit("")), F.lit(None).cast("int") if year is None else year, F.array(source), tags, F.lit(hops))
+    return [c.alias(n) for c, n in zip(columns, _CANDIDATE, strict=True)]
+
+
+def _arxiv(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"(\d{4}\.\d{4,5})", 1), F.lit(""))
+
+
+def dataset_cards(payloads: DataFrame, column: str = "body", source: str = "source") -> DataFrame:
+    """Candidates from a dataset hub's search results: one for each paper that a card's tags cite."""
+    d = payloads.select(F.col(source).alias("_s"), F.explode(F.from_json(column, "array<struct<id:string,tags:array<string>>>")).alias("d"))
+    cited = d.select("_s", "d.id", F.explode(F.filter("d.tags", lambda t: F.startswith(t, F.lit("arxiv:")))).alias("t"))
+    return cited.select(*_paper(_arxiv(F.col("t")), F.col("_s"), F.concat(F.lit("hf_dataset:"), F.col("id")))).where("arxiv_id is not null")
+
+
+def code_repositories(payloads: DataFrame, column: str = "body", source: str = "source") -> DataFrame:
+    """Candidates from a code host's search results: repositories whose description or home page names a paper."""
+    shape = "items array<struct<full_name:string,description:string,homepage:string>>"
+    r = payloads.select(F.col(source).alias("_s"), F.explode(F.from_json(column, shape)["items"]).alias("r")).withColumn("_t", F.concat_ws(" ", "r.description", "r.homepage"))
+    return r.where(F.contains(F.lower("_t"), F.lit("arxiv"))).select(*_paper(_arxiv(F.col("_t")), F.col("_s"), F.concat(F.lit("github_repo:"), F.col("r.full_name")))).where("arxiv_id is not null")
+
+
+def citations(payloads: DataFrame, column: str = "body", source: str = "source", hops: int = 1) -> DataFrame:
+    """Candidates from a citation graph's pages of citing or cited papers; one with neither preprint nor URL is left out."""
+    paper = "struct<title:string,abstract:string,year:int,url:string,externalIds:struct<ArXiv:string>>"
+    rows = payloads.select(F.col(source).alias("_s"), F.explode(F.from_json(column, f"data array<struct<citingPaper:{paper},citedPaper:{paper}>>")["data"]).alias("x"))
+    p = rows.select("_s", F.coalesce("x.citingPaper", "x.citedPaper").alias("p"))
+    return p.select(*_paper(F.col("p.externalIds.ArXiv"), F.col("_s"), None, F.col("p.title"), F.col("p.abstract"), F.col("p.year"), F.col("p.url"), hops)).where("url is not null")
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """(path, text) of a binaryFile table of PDFs, pages marked [page n]; needs pypdf on the executors and fails without it."""
+
+    def read(batches):
+        import io
+
+        import pandas as pd
+        from pypdf import PdfReader
+
+        for b in batches:
+            yield pd.DataFrame({"path": b.path, "text": ["\n".join(f"[page {i}]\n{p.extract_text() or ''}" for i, p in enumerate(PdfReader(io.BytesIO(c)).pages, 1)) for c in b.content]})
+
+    return files.select("path", "content").mapInPandas(read, "path string, text string")
