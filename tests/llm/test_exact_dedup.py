@@ -1,0 +1,64 @@
+"""Exact dedup by content sort against groups made in Python."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import AWKWARD, documents, prose, with_clashes
+from trailweave.llm import queries
+from trailweave.llm.exact_dedup import content_sort_dedup
+
+
+def brute(rows, best):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    out = []
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = best(known) if known else None
+        out += [(i, hashlib.sha256(t.encode()).hexdigest(), len(ids), keep) for i in ids]
+    return sorted(out, key=repr), len(groups)
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+@pytest.mark.parametrize("hot", [0, 300])
+def test_groups_and_survivors(spark, keep, hot):
+    r = random.Random(5)
+    texts = [prose(r, 3) for _ in range(40)] + ["x" * 100 + c for c in "ab"]
+    rows = AWKWARD + [(100 + i, r.choice(texts)) for i in range(300)] + [(1000 + i, "a very common text") for i in range(hot)]
+    got = content_sort_dedup(with_clashes(documents(spark, rows)), keep=keep).collect()
+    want, groups = brute(rows, min if keep == "min" else max)
+    assert sorted(((g.id, g.sha, g["size"], g.keep) for g in got), key=repr) == want
+    assert sum(g.kept for g in got) == groups
+    assert all(g.id == g.keep for g in got if g.kept)
+
+
+def test_a_group_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [(i, "the one text" if i % 3 else f"text {i}") for i in range(3000)]
+        got = content_sort_dedup(documents(spark, rows, 8)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(((g.id, g.sha, g["size"], g.keep) for g in got), key=repr) == brute(rows, min)[0]
+    assert sum(g.kept for g in got) == 1001
+
+
+def test_normalisation_is_what_is_compared(spark):
+    got = content_sort_dedup(documents(spark, [(1, "A b"), (2, "a B"), (3, "c")]), normalise=lambda c: F.lower(c)).collect()
+    assert {g.id: g.keep for g in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_an_empty_table(spark):
+    assert content_sort_dedup(documents(spark, [])).collect() == []
+
+
+def test_query_matches_sql(spark, sf_dir, same_as_sql):
+    same_as_sql(queries.op10_exact_dedup(spark, sf_dir), queries.SQL["op10_exact_dedup"])
