@@ -8,11 +8,12 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import positions
+
 
 def indexed(scores: DataFrame) -> DataFrame:
     """Scores with idx, the position of their task in task order."""
-    tasks = scores.select("task").distinct().withColumn("idx", F.row_number().over(Window.orderBy("task")) - 1)  # the tasks of a sample
-    return scores.join(F.broadcast(tasks), "task")
+    return scores.join(positions(scores, "task"), "task")
 
 
 def hashed_draws(tasks: DataFrame, reps: int) -> DataFrame:
@@ -57,7 +58,7 @@ def nested_orders(scores: DataFrame, sizes: list[int], seed: int) -> DataFrame:
     spark = scores.sparkSession
     place = spark.createDataFrame([(t, i) for i, t in enumerate(tasks)] or [], "task string, at int")
     grid = spark.createDataFrame([(n,) for n in sorted({min(n, len(tasks)) for n in sizes})], "n int")
-    j = scores.select(F.col("task").cast("string").alias("task"), "teacher", "score").join(F.broadcast(place), "task").join(F.broadcast(grid), F.expr("at < n"))
+    j = scores.select(F.col("task").cast("string").alias("task"), "teacher", "score").join(place, "task").join(F.broadcast(grid), F.expr("at < n"))
     means = j.groupBy("n", "teacher").agg(F.avg("score").alias("m"))
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "teacher"))), lambda s: s["teacher"]), " > ")
     return means.groupBy("n").agg(order.alias("ranking"))

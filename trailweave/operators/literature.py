@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import checkpointed
+
 
 def merge_candidates(rows: DataFrame, key: str, order: str, firsts: list[str], unions: list[str], least: list[str]) -> DataFrame:
     """One row per key: the first non-empty value in order, the distinct values in order, the least."""
@@ -27,7 +29,7 @@ def citation_search(seeds: DataFrame, edges: DataFrame, hops: int, frontier: int
     front = seen
     for h in range(1, hops + 1):
         grown = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = (grown.orderBy("node").limit(frontier) if frontier else grown).withColumn("hops", F.lit(h))
+        front = checkpointed((grown.orderBy("node").limit(frontier) if frontier else grown).withColumn("hops", F.lit(h)))  # each hop is worked out once
         seen = seen.union(front)
     return seen
 

@@ -10,8 +10,8 @@ from ..functions import text as T
 
 def exact_matches(train: DataFrame, evals: DataFrame) -> DataFrame:
     """(train_id, eval_ids): equal texts after normalisation; empty texts equal each other."""
-    e = evals.select("eval_id", T.normal(F.coalesce("text", F.lit(""))).alias("norm"))
-    t = train.select("train_id", T.normal(F.coalesce("text", F.lit(""))).alias("norm"))
+    digest = F.sha2(T.normal(F.coalesce("text", F.lit(""))).cast("binary"), 256)  # so that texts are not shuffled
+    e, t = evals.select("eval_id", digest.alias("norm")), train.select("train_id", digest.alias("norm"))
     return t.join(e, "norm").groupBy("train_id").agg(F.array_join(F.array_sort(F.collect_list("eval_id")).cast("array<string>"), ",").alias("eval_ids"))
 
 
@@ -34,21 +34,17 @@ def jaccard_pairs(train: DataFrame, evals: DataFrame, width: int = 5, few: int =
     return both.select("train_id", "eval_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("jaccard"))
 
 
-def empty_pairs(train: DataFrame, evals: DataFrame) -> DataFrame:
-    """Pairs of texts without words, whose Jaccard is 1 by convention."""
-    none = lambda df, key: df.where(F.size(T.words(F.coalesce("text", F.lit("")))) == 0).select(key)
-    return none(train, "train_id").join(F.broadcast(none(evals, "eval_id"))).withColumn("jaccard", F.lit(1.0))
-
-
 def top_pairs(pairs: DataFrame, n: int = 20) -> DataFrame:
     return pairs.orderBy(F.desc("jaccard"), "train_id", "eval_id").limit(n)
 
 
 def padded_top(train: DataFrame, evals: DataFrame, n: int = 20, width: int = 5) -> DataFrame:
     """The n best pairs of the whole product; pairs without overlap fill up by id when too few overlap."""
-    scored = jaccard_pairs(train, evals, width).union(empty_pairs(train, evals))
+    first = lambda df, key: df.select(key).orderBy(key).limit(n + 1)  # noqa: E731  of equal pairs the first by ids count, so n of each side do
+    none = lambda df, key: first(df.where(F.size(T.words(F.coalesce("text", F.lit("")))) == 0), key)
+    empty = none(train, "train_id").crossJoin(none(evals, "eval_id")).withColumn("jaccard", F.lit(1.0))  # by convention
+    scored = jaccard_pairs(train, evals, width).unionByName(empty)
     best = top_pairs(scored, n)
-    first = lambda df, key: df.select(key).orderBy(key).limit(n + 1)
     zero = first(train, "train_id").crossJoin(first(evals, "eval_id")).join(scored, ["train_id", "eval_id"], "left_anti").withColumn("jaccard", F.lit(0.0))
     return top_pairs(best.unionByName(zero), n)
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import mid_ranks
+
 SIGN = {"higher_better": 1, "lower_better": -1}
 #: Metrics whose direction is fixed, whatever a score file declares.
 FIXED_DIRECTION = {"grace": "lower_better", "rsr": "lower_better"}
@@ -174,12 +176,11 @@ def within_task_spread(scores: DataFrame, value: str = "score") -> DataFrame:
     return s.agg(F.min("spread").alias("min"), F.median("spread").alias("median"), F.avg("spread").alias("mean"), F.max("spread").alias("max"))
 
 
-def centered_spearman(scores: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman of two fields after each task's mean is taken off."""
+def centered_spearman(scores: DataFrame, x: str, y: str, places: int = 9) -> DataFrame:
+    """Spearman of two fields after each task's mean is taken off; `places` says what counts as a tie."""
     w = Window.partitionBy("task")
-    c = scores.select(F.lit(1).alias("one"), *((F.col(v) - F.avg(v).over(w)).alias(v) for v in (x, y)))
-    rank = lambda v: c.groupBy(v).agg(F.count("*").alias("n")).withColumn("r", F.sum("n").over(Window.orderBy(v)) - (F.col("n") - 1) / 2)
-    both = c.join(rank(x).select(x, F.col("r").alias("rx")), x).join(rank(y).select(y, F.col("r").alias("ry")), y)
+    c = scores.select(*(F.round(F.col(v) - F.avg(v).over(w), places).alias(v) for v in (x, y)))
+    both = c.join(mid_ranks(c, x).withColumnRenamed("rank", "rx"), x).join(mid_ranks(c, y).withColumnRenamed("rank", "ry"), y)
     return both.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shell
@@ -176,12 +176,7 @@ def within_task_spread(spark, sf_dir):
     r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM c2)
     SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""")
 def centered_spearman(spark, sf_dir):
-    g = order_grid(spark, sf_dir)
-    w = Window.partitionBy("task")
-    centred = g.select(F.lit(0).alias("task"), *(F.round(F.col(v) - F.avg(v).over(w), 3).alias(v) for v in ("num", "den")))
-    ranked = lambda v: centred.groupBy(v).agg(F.count("*").alias("k")).withColumn(f"r_{v}", F.sum("k").over(Window.orderBy(v)) - (F.col("k") - 1) / 2).drop("k")
-    j = centred.join(ranked("num"), "num").join(ranked("den"), "den")
-    return rounded(j.agg(F.count("*").alias("n"), F.corr("r_num", "r_den").alias("rho")), "rho")
+    return rounded(scores.centered_spearman(order_grid(spark, sf_dir), "num", "den", 3), "rho")
 
 
 @query("""WITH j AS (SELECT d.doc_id, lang AS teacher, source AS task, n_chars, toxic FROM documents d JOIN labels l USING (doc_id)),
