@@ -195,13 +195,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     Of each of the `languages` most frequent labels about `per_language` texts
     of at most `longest` characters are taken by the hash of their id, up to
-    `chars` characters in all; every fifth is held back for calibration.
+    `chars` characters in all, and no more than about that is collected; every
+    fifth is held back for calibration.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= longest))
-    counts = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("size")).orderBy(F.desc("n"), lang_col).limit(languages)
+    counts = {r[lang_col]: min(1.0, per_language / r["n"], 1.25 * chars / r["size"]) for r in sizes.collect()}
     if not counts:
         return CharModels({})
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))[F.col(lang_col)]
+    share = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))[F.col(lang_col)]
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / (1 << 30)
     sample = sorted((r.place, r.lang, r.text) for r in rows.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), share.alias("share")).where("place < share").collect())
     counted: dict[str, list[str]] = {}
