@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each: a file of fewer splits than there are cores is dealt out, a larger one stays where it is read."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, PLACES) + F.lit(0.0) for c in columns})  # no negative zero
 
@@ -212,7 +218,7 @@ def id_set_audit(spark, sf_dir):
 
 
 def train_eval(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eval_id"), "text")
+    return texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("train_id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("eval_id"), "text")
 
 
 NORM = "array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ')"
@@ -366,7 +372,7 @@ def title_extract(spark, sf_dir):
 
 @query()
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
 
 @query("""WITH r AS (SELECT page_id, list_distinct(regexp_extract_all(html, 'href="(/[A-Za-z]+)"', 1)) AS refs FROM pages) SELECT page_id, array_to_string(list_sort(refs), ',') AS refs, len(refs)::INTEGER AS n FROM r""")
@@ -385,7 +391,7 @@ def _scrub_sql() -> str:
 
 @query(_scrub_sql())
 def scrub_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.scrub(F.col("text")).alias("text"))
+    return texts(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.scrub(F.col("text")).alias("text"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE props IS NOT NULL AND json_valid(props)")
@@ -396,7 +402,7 @@ def json_props(spark, sf_dir):
 
 @query("SELECT doc_id AS id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE regexp_matches(text, '\\S')")
 def inverted_index_rebuild(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "token"))
+    w = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "token"))
     index = w.groupBy("id", "token").agg(F.collect_list("at").alias("places")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("inverted"))
     return literature.rebuild_inverted(index)
 
@@ -715,7 +721,7 @@ def input_alignment(spark, sf_dir):
           OR regexp_matches(text, 'from (GPT|Claude|DeepSeek|Qwen)') OR (contains(lower(text), 'ablation') AND regexp_matches(text, 'GPT|Claude|DeepSeek') AND (len(regexp_extract_all(lower(text), 'sft')) >= 2 OR len(regexp_extract_all(lower(text), 'training')) >= 3)) THEN 'pass'
         ELSE 'fail_scan' END AS verdict FROM documents""")
 def signal_scan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", literature.scan_verdict(F.col("text")).alias("verdict"))
+    return texts(spark, sf_dir, "documents").select("doc_id", literature.scan_verdict(F.col("text")).alias("verdict"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
