@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 #: Elements whose content is no text.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head", "nav")
 _BLOCK = "p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|main|aside|header|footer|form|blockquote|pre|body|html"
-#: Replacements in order, in the syntax that Java and RE2 share.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Replacements in order, in the syntax that Java and RE2 share; the fewer passes over a page the better.
 RULES = (
     (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{tag}\b.*?</{tag}\s*>", " ") for tag in HIDDEN),
+    (rf"(?is)<(?:{'|'.join(rf'{tag}\b.*?</{tag}' for tag in HIDDEN)})\s*>", " "),
     (rf"(?i)</?(?:{_BLOCK})\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&amp;", "&"),
-    (r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"), (r"^\n|\n$", ""),
+    *_ENTITIES,
+    (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"),
 )
 _TITLE = r"(?is)<title[^>]*>(.*?)</title"
 _LINK = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'
@@ -31,8 +32,8 @@ def text_of(html: Column) -> Column:
     """Readable text of HTML; null gives the empty text."""
     out = F.coalesce(html, F.lit(""))
     for pattern, by in RULES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+        out = F.replace(out, F.lit(pattern), F.lit(by)) if (pattern, by) in _ENTITIES else F.regexp_replace(out, pattern, by)
+    return F.btrim(out, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -95,7 +96,7 @@ def oracle_sql() -> str:
     return f"""
         WITH base AS (
             SELECT page_id, url, {uuid("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS refers_to,
-                   'sha256:' || sha256(coalesce(html, '')) AS source_digest, trim({text}, ' ') AS text,
+                   'sha256:' || sha256(coalesce(html, '')) AS source_digest, trim({text}, E' \\n') AS text,
                    nullif(trim(regexp_extract(coalesce(html, ''), '{_TITLE}', 1), ' '), '') AS title,
                    regexp_extract_all(coalesce(html, ''), '{_LINK}', 1) AS links, strlen(coalesce(html, '')) AS source_length
             FROM pages
