@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import AWKWARD, documents, with_clashes
 from trailweave.llm import queries
-from trailweave.llm.licenses import BASE, RareIndex, scan_licenses, words
+from trailweave.llm.licenses import BASE, TEMPLATES, RareIndex, scan_licenses, words
 
 
 def brute(text):
@@ -64,6 +66,49 @@ def test_postings_are_relative_positions():
     assert words("A-b_c 1é") == ["a", "b", "c", "1é"]
 
 
+def all_templates(text, slack=3):
+    """Labels and largest share by trying every template at every start."""
+    w, labels, score = words(text), set(), 0.0
+    for phrase, label in BASE.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for label, notice in ((x, n) for x, ns in TEMPLATES.items() for n in ns):
+        whole = words(notice)
+        phrases = [(len(words(notice[: m.start()])), words(m[1])) for m in re.finditer(r"\[(.*?)\]", notice)]
+        for start in range(-len(whole) - slack, len(w) + slack):
+            low = 0
+            for o, p in phrases:
+                at = [i for i in range(max(low, start + o - slack), start + o + slack + 1) if w[i : i + len(p)] == p]
+                if not at:
+                    break
+                low = at[0] + len(p)
+            else:
+                labels.add(label)
+                score = max(score, sum(0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(whole)) / len(whole))
+    return ",".join(sorted(labels)), score
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_files_with_several_licences(seed):
+    """Third-party notices: no template is lost to the words of others, whatever the words' IDF."""
+    r = random.Random(seed)
+    notices = [re.sub(r"[\[\]]", "", n) for ns in TEMPLATES.values() for n in ns]
+    index = RareIndex()
+    index.idf = np.random.default_rng(seed).random(len(index.hashes))
+    texts = ["\n\n".join(notices)]
+    for n in (2, 3, 5, 8):
+        ws = " own code ".join(r.sample(notices, n)).split()
+        for _ in range(n):  # words lost, put in and moved
+            ws.insert(r.randrange(len(ws)), r.choice(("x", ws.pop(r.randrange(len(ws))))))
+        texts.append(" ".join(ws))
+    for text, got in zip(texts, index.scan(texts), strict=True):
+        labels, score = all_templates(text)
+        assert got[5] == labels
+        assert got[6] == pytest.approx(score)
+
+
 def test_an_empty_table(spark):
     assert scan_licenses(documents(spark, [])).collect() == []
 

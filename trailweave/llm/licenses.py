@@ -1,10 +1,11 @@
 """License scans with a positional index of rare tokens.
 
 The document frequencies of all licence words are counted over the whole
-corpus. Of each file the licence words of the highest IDF are looked up in an
-index from word to (template, position); occurrences whose position relative to
-a template agrees support one placement of it, and a placement counts where all
-mandatory key phrases of the template stand, in order, near their places.
+corpus. A file that holds all mandatory words of a template is searched for it:
+of each mandatory key phrase the word of the highest IDF is looked up, and its
+occurrences where the rest of the phrase agrees support placements of the
+template. A placement counts where all mandatory key phrases stand, in order,
+near their places. Every such template is looked up, whatever else a file holds.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ def words(text: str) -> list[str]:
 
 
 class RareIndex:
-    """Templates, their postings by word, and the words' IDF."""
+    """Templates, their mandatory phrases by position, and the words' IDF."""
 
-    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, base: Mapping[str, str] = BASE, slack: int = 3, rare: int = 12):
-        self.slack, self.rare = slack, rare
+    def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, base: Mapping[str, str] = BASE, slack: int = 3):
+        self.slack = slack
         self.labels, self.texts, self.phrases = [], [], []
         for label, notices in templates.items():
             for notice in notices:
@@ -79,7 +80,6 @@ class RareIndex:
         self.needs = np.zeros((len(self.texts), len(h)), bool)
         for need, ps in zip(self.needs, self.phrases, strict=True):
             need[np.concatenate([p for _, p in ps])] = True
-        self.postings: list[np.ndarray] = [np.array([(t, q) for t, text in enumerate(self.texts) for q in np.flatnonzero(text == w)], np.int64).reshape(-1, 2) for w in range(len(h))]
         self.idf = np.ones(len(h))
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,36 +88,39 @@ class RareIndex:
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.bincount(owner, minlength=len(texts)), np.where(self.hashes[k] == h, k, -1), owner
 
+    def places(self, code: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+        """Where a phrase starts in a file's word codes, looked up by its word of the highest IDF."""
+        rare = int(self.idf[phrase].argmax())
+        at = np.flatnonzero(code == phrase[rare]) - rare
+        at = at[(at >= 0) & (at <= len(code) - len(phrase))]
+        for j, w in enumerate(phrase):
+            at = at[code[at + j] == w]
+        return at
+
     def placements(self, code: np.ndarray, present: np.ndarray) -> list[tuple[int, int, float]]:
-        """Verified (template, start, share of its words in place) of one file's word codes."""
-        feasible = ~(self.needs & ~present).any(1)
-        own = np.flatnonzero(present)
-        chosen = own[np.argsort(-self.idf[own], kind="stable")[: self.rare]]
-        votes: set[tuple[int, int]] = set()
-        for w in chosen:
-            post = self.postings[w]
-            post = post[feasible[post[:, 0]]]
-            if len(post):
-                at = np.flatnonzero(code == w)
-                votes.update(zip(np.tile(post[:, 0], len(at)).tolist(), (at[:, None] - post[:, 1]).reshape(-1).tolist(), strict=True))
+        """Of each template with a verified placement in one file's word codes the best: (template, start, share of its words in place)."""
         out = []
-        for t, start in sorted(votes):
-            low = start - self.slack
-            for o, phrase in self.phrases[t]:
-                lo = max(0, low, start + o - self.slack)
-                part = code[lo : max(lo, start + o + self.slack + len(phrase))]
-                n = len(part) - len(phrase) + 1
-                ok = np.ones(max(n, 0), bool)
-                for j, w in enumerate(phrase):
-                    ok &= part[j : j + len(ok)] == w
-                if not ok.any():
-                    break
-                low = lo + int(ok.argmax()) + len(phrase)
-            else:
-                text = self.texts[t]
-                at = start + np.arange(len(text))
-                inside = (at >= 0) & (at < len(code))
-                out.append((t, start, float((code[at[inside]] == text[inside]).sum() / len(text))))
+        for t in np.flatnonzero(~(self.needs & ~present).any(1)).tolist():
+            found = [self.places(code, phrase) for _, phrase in self.phrases[t]]
+            fewest = min(range(len(found)), key=lambda i: len(found[i]))
+            if not len(found[fewest]):
+                continue
+            start = np.unique(found[fewest][:, None] - self.phrases[t][fewest][0] + np.arange(-self.slack, self.slack + 1))
+            low, ok = start - self.slack, np.ones(len(start), bool)
+            for (o, phrase), at in zip(self.phrases[t], found, strict=True):
+                k = np.searchsorted(at, np.maximum(low, start + o - self.slack))
+                here = at[np.minimum(k, len(at) - 1)]
+                ok &= (k < len(at)) & (here <= start + o + self.slack)
+                low = here + len(phrase)
+            if not len(start := start[ok]):
+                continue
+            text = self.texts[t]
+            edge = np.full(len(text) + self.slack, -1)
+            padded, n = np.concatenate((edge, code, edge)), np.zeros(len(start), np.int64)
+            for j, w in enumerate(text):
+                n += padded[start + len(edge) + j] == w
+            best = int(n.argmax())
+            out.append((t, int(start[best]), float(n[best] / len(text))))
         return out
 
     def scan(self, texts: list[str | None]) -> list[tuple]:
