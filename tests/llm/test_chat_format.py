@@ -28,6 +28,20 @@ def test_results_follow_their_calls(spark):
     assert got[1, 2].call_turn == 3
 
 
+def test_results_that_call_follow_their_calls(spark):
+    ask = lambda *ids: [(i, "add", '{"a":1}') for i in ids]
+    rows = [(1, 5, "assistant", None, ask("c1"), None), (1, 2, "tool", None, ask("c2"), "c1"), (1, 3, "tool", "r", None, "c2")]
+    rows += [(2, 9 - i, "tool", None, ask(f"c{i + 1}"), f"c{i}" if i else None) for i in range(9)] + [(2, 20, "tool", "last", None, "c4")]
+    rows += [(3, 4, "tool", None, ask("a"), "b"), (3, 6, "tool", None, ask("b"), "a"), (3, 2, "tool", None, ask("x"), "a"), (3, 1, "tool", "below a circle", None, "x"), (3, 0, "tool", None, ask("o"), "none"), (3, 3, "tool", None, ask("s"), "s")]
+    got = made(spark, rows)
+    key = lambda r: (r.anchor, r.depth, r.turn)
+    assert [r.turn for r in sorted((r for r in got.values() if r.conv_id == 1), key=key)] == [5, 2, 3]
+    circle = {(3, 4), (3, 6), (3, 3)}
+    linked = [r for at, r in got.items() if r.call_turn is not None and at not in circle]
+    assert len(linked) == 2 + 9 + 2
+    assert all(key(r) > key(got[r.conv_id, r.call_turn]) for r in linked)
+
+
 @pytest.mark.parametrize(
     ("name", "arguments", "errors"),
     [
