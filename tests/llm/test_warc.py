@@ -33,6 +33,12 @@ def test_records_name_their_source(spark):
     assert len({r.refers_to for r in got}) == 5
 
 
+def test_links_in_all_quotings(spark):
+    html = """<a href="/a'b">1</a><a class=x href='/c"d?e=1'>2</a><A HREF = /f?g=1&h=2 id=y>3</A><a href=/i>4</a><a href=''>5</a><a name="no">6</a>"""
+    got = derive(spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")).where("warc_type = 'metadata'").first()
+    assert json.loads(got.content)["links"] == ["/a'b", '/c"d?e=1', "/f?g=1&h=2", "/i", ""]
+
+
 def test_own_identifiers_and_headers_stay(spark):
     df = spark.createDataFrame([(1, "http://a/", "x", "<urn:uuid:own>", "Content-Type: text/html")], "page_id long, url string, html string, rid string, head string")
     got = derive(df, record_id_col="rid", headers_col="head").collect()

@@ -25,7 +25,9 @@ RULES = (
     (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"),
 )
 _TITLE = r"(?is)<title[^>]*>(.*?)</title"
-_LINK = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'
+_LINK = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'  # of the SQL, whose pages quote all links so
+#: A link's value in double, single or no quotes.
+_HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 
 
 def text_of(html: Column) -> Column:
@@ -51,6 +53,10 @@ def derive(responses: DataFrame, id_col: str = "page_id", url_col: str = "url",
     of the content, lengths those of UTF-8 bytes. A null payload counts as
     empty, a null URL stays null and out of the JSON, a null id too. Repeated
     rows give repeated records with equal identifiers; an empty table gives none.
+
+    Limits, which the SQL has too: of entities the text has only &nbsp; &lt;
+    &gt; &quot; &#39; and &amp; decoded (other named and numeric ones, such as
+    &copy;, stay as markup), the title and the links none.
     """
     html = F.coalesce(F.col(payload_col), F.lit(""))
     source = F.col(record_id_col) if record_id_col else record_id(F.lit("response"), F.col(id_col), F.col(url_col))
@@ -59,7 +65,7 @@ def derive(responses: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.concat(F.lit("sha256:"), F.sha2(html.cast("binary"), 256)).alias("source_digest"),
         text_of(html).alias("text"),
         F.nullif(F.trim(F.regexp_extract(html, _TITLE, 1)), F.lit("")).alias("title"),
-        F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)).alias("links"),
+        F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda x: F.regexp_replace(x, r"""(?s)^(["'])(.*)\1$""", "$2")).alias("links"),
         F.octet_length(html).alias("source_length"),
         (F.col(headers_col) if headers_col else F.lit(None).cast("string")).alias("headers"),
     )
