@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm.helpers import AWKWARD, documents, prose, with_clashes
 from trailweave.llm import queries
-from trailweave.llm.toxicity import FILTERS, WIDTHS, TextCNN, drop_toxic, score, train, words_of
+from trailweave.llm.toxicity import CHUNK, FILTERS, WIDTHS, TextCNN, drop_toxic, score, train, words_of
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,17 @@ def test_held_out_ranking(spark, sf_dir):
     truth, scores = np.array([y[g.doc_id] for g in own]), np.array([g.score for g in own])
     assert auc(scores, truth) > 0.9
     assert ((scores >= 0.5) == truth).mean() > 0.9
+
+
+@pytest.mark.parametrize("before", [6, 10])
+def test_phrases_across_a_cut_are_seen(before):
+    """Filters over pieces of a long text give what they give over all its words at once."""
+    text = "a " * ((CHUNK - before) // 2) + "foo bar baz" + " a" * 1000
+    texts = ["short one", text, "", "last"]
+    pieces = list(words_of(texts))
+    ids, owner = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    assert len(pieces) > 1
+    m = TextCNN()
+    m.learn_languages(["a"], ["en"])
+    whole = m._features(ids, owner, len(texts))[0] @ m.out + m.out_bias
+    assert m.raw(texts)[0] == pytest.approx(whole, abs=1e-5)

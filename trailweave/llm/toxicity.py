@@ -95,8 +95,8 @@ class TextCNN:
         self.language_of = np.zeros((BUCKETS, 1), np.float32)
         self.shift = np.zeros(1)
 
-    def _features(self, ids: np.ndarray, owner: np.ndarray, texts: int, where: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Maxima of all filters by text; with `where`, also the word at which each was reached, and the embeddings."""
+    def _features(self, ids: np.ndarray, owner: np.ndarray, texts: int, where: bool = False, ahead: int = 0) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Maxima of all filters by text; with `where`, also the word at which each was reached, and the embeddings. At the last `ahead` words no filter starts."""
         e = self.embedding[ids].sum(1)
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         out = np.zeros((texts, FILTERS * len(WIDTHS)), np.float32)
@@ -106,6 +106,7 @@ class TextCNN:
             for j in range(1, w):
                 within = (owner[j:] == owner[:-j])[:, None]
                 a[:-j] += (e[j:] @ f[j]) * within
+            a[len(a) - ahead :] = -np.inf
             here = slice(k * FILTERS, (k + 1) * FILTERS)
             out[owner[cuts], here] = np.maximum(np.maximum.reduceat(a, cuts, axis=0), 0)
             if where:
@@ -121,13 +122,22 @@ class TextCNN:
         return votes
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits without the shift, and the index of each text's language."""
+        """Logits without the shift, and the index of each text's language.
+
+        The last words of a piece wait for the next, so filters see phrases that a cut straddles.
+        """
         top = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
         votes = np.zeros((len(texts), self.language_of.shape[1]))
-        for ids, owner in words_of(texts):
-            if len(owner):
-                top = np.maximum(top, self._features(ids, owner, len(texts))[0])
-                votes += self._languages(ids, owner, len(texts))
+        wait, (ids, owner) = max(WIDTHS) - 1, (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        for new, whose in words_of(texts):
+            if len(whose):
+                votes += self._languages(new, whose, len(texts))
+                ids, owner = np.concatenate((ids, new)), np.concatenate((owner, whose))
+                if len(owner) > wait:
+                    top = np.maximum(top, self._features(ids, owner, len(texts), ahead=wait)[0])
+                    ids, owner = ids[-wait:], owner[-wait:]
+        if len(owner):
+            top = np.maximum(top, self._features(ids, owner, len(texts))[0])
         return top @ self.out + self.out_bias, votes.argmax(1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
