@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 #: Odd multipliers of the 64-bit mixer (the finaliser of splitmix64).
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_staged: list[str] = []
+#: Folders of staged tables, with the name of those in the catalog.
+_staged: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or the context's; a folder of our own only where the master is local and none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        got = sc._jsc.sc().getCheckpointDir()
-        if not got.isDefined():
-            sc.setCheckpointDir(posixpath.join(tempfile.gettempdir(), "checkpoints"))
-            got = sc._jsc.sc().getCheckpointDir()
-        path = got.get()
-    return path
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(posixpath.join(tempfile.gettempdir(), "checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,17 +45,40 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = posixpath.join(shared_dir(spark), f"staged-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _kept(spark.read.schema(df.schema).parquet(path), path)
+
+
+def bucketed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df as a written table in n buckets, so that joins on key don't move it again."""
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    path = posixpath.join(shared_dir(spark), name)
+    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    return _kept(spark.table(name), path, name)
+
+
+def _kept(df: DataFrame, path: str, name: str = "") -> DataFrame:
+    _staged[path] = name
+    df.staged_at = path
+    return df
+
+
+def _drop(spark: SparkSession, path: str) -> bool:
+    name = _staged.pop(path, "")
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def release(*staged: DataFrame) -> None:
+    """Deletes staged tables that no table still to be written reads."""
+    for df in staged:
+        _drop(df.sparkSession, df.staged_at)
 
 
 def drop_staged(spark: SparkSession) -> int:
     """Deletes the tables staged so far in this process, once their results are written; how many."""
-    jvm, n = spark.sparkContext._jvm, 0
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+    return sum(_drop(spark, path) for path in list(_staged))
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -1,24 +1,22 @@
 """Removal of repeated byte strings by hash-compared suffix sort.
 
 A byte goes if some string of `length` bytes that covers it starts anywhere
-else too. Three exact reductions keep the sort small. Texts that are equal are
-one text. Of the 64-byte grams in a window of `length` bytes the one with the
-least hash is its anchor, equal windows have equal anchors, so only stretches
-of windows whose anchor occurs twice are looked at. And stretches that are
-equal as a whole are repeated as a whole. The rest, the edges of repeated
-passages, is settled by sorting the suffixes that start at each window: prefix
-polynomial hashes and binary search give the common extension of two suffixes
-in a logarithmic number of steps, which is all the comparison that mergesort
-needs, and neighbours of equal hash are compared byte by byte. Anchors with
-very many different stretches are sorted in parts; what is alone in its part is
-then held against the other parts by hash.
+else too. Exact reductions keep the sort small. Texts that are equal are one
+text. Of the 64-byte grams in a window of `length` bytes the one with the least
+hash is its anchor, equal windows have equal anchors, so only stretches of
+windows whose anchor occurs twice are looked at. Stretches that are equal as a
+whole (by a 128-bit cryptographic digest) are repeated as a whole. The rest,
+the edges of repeated passages, is settled by suffix sorting (`suffix_sort`):
+prefix polynomial hashes and binary search give the common extension of two
+suffixes in a logarithmic number of steps, which is all the comparison that
+mergesort needs, and the order found is borne out byte by byte. Anchors with
+very many different stretches are sorted in parts; windows that parts have in
+common are found by their cryptographic digests, in buckets of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-import posixpath
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,30 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _staged, constants, mix, offsets, partitions, shared_dir, stage
+from .common import bucketed, mix, offsets, partitions, release, stage
+from .suffix_sort import GRAM, PrefixHashes, digest, repeated
 
-GRAM, SLAB, LONGEST = 64, 1 << 20, 2048
-_BASE = constants(1, 71)[0]
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = constants(256, 73)
-_cache: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-class PrefixHashes:
-    """Polynomial hashes of all prefixes of a buffer; of(i, n) is that of the n bytes at i."""
-
-    def __init__(self, buffer: np.ndarray):
-        n = len(buffer) + 1
-        if len(_cache[0]) < n:
-            for k, base in enumerate((_BASE, _INVERSE)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                _cache[k] = np.multiply.accumulate(x)
-        self.down = _cache[1]
-        self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * _cache[0][: n - 1])))
-
-    def of(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        return (self.total[at + n] - self.total[at]) * self.down[at]
+SLAB, LONGEST = 1 << 20, 2048
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray:
@@ -63,17 +41,19 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray
     return best(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Stretches of windows with one anchor: text, first and last window start, anchor, digest, and 2 where the anchor occurs again nearby, else 1."""
+def stretches(texts: list[bytes], length: int) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """Stretches of windows with one anchor: text, first and last window start, anchor, and 2 where the anchor occurs again nearby, else 1; and the digests of their bytes."""
     span = length - GRAM + 1
     slabs = [(i, lo, t[lo : lo + SLAB + length - 1]) for i, t in enumerate(texts) for lo in range(0, len(t) - length + 1, SLAB)]
-    out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in (("text", np.int64), ("s0", np.int64), ("s1", np.int64), ("m", np.int64), ("d", np.int64), ("again", np.int64))}
+    out: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in ("text", "s0", "s1", "m", "again")}
+    digests: list[bytes] = []
     group: list[tuple[int, int, bytes]] = []
     for k, slab in enumerate(slabs):
         group.append(slab)
         if k < len(slabs) - 1 and sum(len(b) for _, _, b in group) < SLAB:
             continue
-        buffer = np.frombuffer(b"".join(b for _, _, b in group), np.uint8)
+        raw = b"".join(b for _, _, b in group)
+        buffer = np.frombuffer(raw, np.uint8)
         starts = offsets(len(b) for _, _, b in group)
         owner = np.repeat(np.arange(len(group)), np.diff(starts))
         h = PrefixHashes(buffer)
@@ -101,108 +81,10 @@ def stretches(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         out["s0"].append(s0 + shift[own])
         out["s1"].append(s1 + shift[own])
         out["m"].append(least[s0].view(np.int64))
-        out["d"].append(mix(h.of(s0, s1 - s0 + length) + (s1 - s0).astype(np.uint64)).view(np.int64))
+        digests += [digest(raw[a:e]) for a, e in zip(s0.tolist(), (s1 + length).tolist(), strict=True)]
         out["again"].append(1 + (twice[k2] == least[s0]) if len(twice) else np.ones(len(s0), np.int64))
         group = []
-    return {k: np.concatenate(v) for k, v in out.items()}
-
-
-class SuffixSort:
-    """The suffixes that start at every window of some segments, sorted by their first `length` bytes."""
-
-    def __init__(self, segments: list[bytes], length: int):
-        self.length = length
-        self.buffer = np.frombuffer(b"".join(segments), np.uint8)
-        ends = offsets(map(len, segments))
-        counts = np.array([len(s) - length + 1 for s in segments])
-        self.segment = np.repeat(np.arange(len(segments)), counts)
-        self.start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.at = self.start + ends[self.segment]
-        self.hashes = PrefixHashes(self.buffer)
-        self.full = self.hashes.of(self.at, length)
-        self.head = np.zeros(len(self.at), np.uint64)
-        for j in range(8):
-            self.head = self.head << np.uint64(8) | self.buffer[self.at + j].astype(np.uint64)
-        self.order = np.argsort(self.head, kind="stable")
-        self._merge_sort()
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The common extension of suffixes a and b, `length` at most, by binary search over prefix hashes."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length)
-        pa_, pb = self.at[a], self.at[b]
-        while (live := np.flatnonzero(lo < hi)).size:
-            mid = (lo[live] + hi[live] + 1) // 2
-            same = self.hashes.of(pa_[live], mid) == self.hashes.of(pb[live], mid)
-            lo[live], hi[live] = np.where(same, mid, lo[live]), np.where(same, hi[live], mid - 1)
-        return lo
-
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), bool)
-        other = np.flatnonzero(self.full[a] != self.full[b])
-        if len(other):
-            x, y = a[other], b[other]
-            n = np.minimum(self.common(x, y), self.length - 1)
-            out[other] = self.buffer[self.at[x] + n] < self.buffer[self.at[y] + n]
-        return out
-
-    def _merge_sort(self) -> None:
-        """Bottom-up mergesort of every run of equal heads; an element's new place is its own plus its rank in the sibling run."""
-        head = self.head[self.order]
-        first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
-        size = np.diff(np.append(first, len(head)))
-        width = 1
-        while len(size) and width < size.max():
-            big = np.flatnonzero(size > width)
-            n = size[big]
-            base = np.repeat(first[big], n)
-            end = base + np.repeat(n, n)
-            i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            block = i // width
-            right = block % 2 == 1
-            lo = base + (block ^ 1) * width
-            lo, hi = np.minimum(lo, end), np.minimum(lo + width, end)
-            start, me = lo.copy(), self.order[base + i]
-            while (live := np.flatnonzero(lo < hi)).size:
-                mid = (lo[live] + hi[live]) // 2
-                other, mine = self.order[mid], me[live]
-                before = np.where(right[live], ~self.less(mine, other), self.less(other, mine))
-                lo[live], hi[live] = np.where(before, mid + 1, lo[live]), np.where(before, hi[live], mid)
-            place = base + (block - right) * width + i % width + lo - start
-            self.order[place] = me
-            width *= 2
-
-    def equal_to_next(self) -> np.ndarray:
-        """Whether each sorted suffix but the last has the same bytes as the next."""
-        a, b = self.order[:-1], self.order[1:]
-        same = self.full[a] == self.full[b]
-        at = np.flatnonzero(same)
-        for lo in range(0, len(at), 4096):
-            some = at[lo : lo + 4096]
-            cols = np.arange(self.length)
-            ok = (self.buffer[self.at[a[some]][:, None] + cols] == self.buffer[self.at[b[some]][:, None] + cols]).all(1)
-            if not ok.all():  # a collision: the order by hashes can't be trusted, so compare the bytes themselves
-                return self._by_bytes()
-        return same
-
-    def _by_bytes(self) -> np.ndarray:
-        raw = self.buffer.tobytes()
-        key = [raw[p : p + self.length] for p in self.at]
-        self.order = np.array(sorted(range(len(key)), key=key.__getitem__))
-        return np.array([key[x] == key[y] for x, y in zip(self.order[:-1], self.order[1:], strict=True)])
-
-    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """By suffix: whether another has the same bytes; whether it is the first of those."""
-        same = self.equal_to_next()
-        twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        out, lead = np.zeros(len(self.at), bool), np.zeros(len(self.at), bool)
-        out[self.order] = twice
-        lead[self.order] = ~np.concatenate(([False], same))
-        return out, lead
-
-
-def _ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(flag.astype(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    return {k: np.concatenate(v) for k, v in out.items()}, digests
 
 
 def _anchor(length: int) -> Callable:
@@ -210,9 +92,9 @@ def _anchor(length: int) -> Callable:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                got = stretches([t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], length)
+                got, digests = stretches([t.encode("utf-8", "surrogatepass") for t in part.column(2).to_pylist()], length)
                 who = pa.array(got.pop("text"))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), *map(pa.array, got.values())], names=["k", "k2", *got])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), *map(pa.array, got.values()), pa.array(digests, pa.binary())], names=["k", "k2", *got, "d"])
 
     return run
 
@@ -228,60 +110,59 @@ def _fetch(length: int) -> Callable:
                     raw = text.encode("utf-8", "surrogatepass")
                     rows += [(w["g"], w["m"], w["d"], w["parts"], raw[w["s0"] : w["s1"] + length]) for w in wanted]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["g", "m", "d", "parts", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["g", "m", "d", "parts", "bytes"])
 
     return run
 
 
-_MARKS = "m long, d long, r0 int, r1 int, bucket int, pm array<long>, pd array<long>, po array<int>, ph array<long>, pk array<long>"
+_MARKS = "m long, d binary, r0 int, r1 int, bucket int, pm array<long>, pd array<binary>, po array<int>, ph array<long>, pk array<long>"
 
 
-def _sort_parts(length: int, buckets: int, segments: int = 256, most: int = 400_000) -> Callable:
-    """Sorts the suffixes of whole parts, several small ones together; gives repeated ranges, and what is to be held against other parts by hash."""
+def _sort_parts(length: int, buckets: int, most: int) -> Callable:
+    """Sorts whole parts, several small ones together; gives the ranges of repeated windows, and the digests of those that are to be held against other parts."""
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        s = SuffixSort([h[4] for h in held], length)
-        twice, lead = s.repeated()
-        cuts = offsets(np.bincount(s.segment, minlength=len(held)))
-        marks = [(h[1], h[2], a, b) for h, lo, hi in zip(held, cuts, cuts[1:], strict=False) for a, b in zip(*_ranges(twice[lo:hi]), strict=True)]
-        wide = np.flatnonzero(np.array([h[3] > 1 for h in held])[s.segment] & lead)
-        m, d = (np.array([h[i] for h in held], np.int64)[s.segment[wide]] for i in (1, 2))
-        full = mix(s.full[wide])
-        bucket = (mix(full ^ m.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        m, parts = np.array([h[1] for h in held], np.int64), np.array([h[3] for h in held])
+        group = mix(np.array([h[0] for h in held], np.int64).view(np.uint64)) ^ m.view(np.uint64)
+        seg, first, last, who, start, bytes_ = repeated([h[4] for h in held], m.view(np.uint64), group, parts > 1, length)
+        d = pa.array([h[2] for h in held], pa.binary())
+        keys = np.frombuffer(b"".join(bytes_), np.int64).reshape(-1, 2)
+        bucket = (mix(keys[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else np.zeros(0, np.int64)
-        at = pa.array(np.append(first, len(order)), pa.int32())
-        none, n = len(marks), len(marks) + len(first)
-        lists = [pa.ListArray.from_arrays(at, pa.array(x[order], t)) for x, t in ((m, pa.int64()), (d, pa.int64()), (s.start[wide], pa.int32()), (full.view(np.int64), pa.int64()), (s.head[wide].view(np.int64), pa.int64()))]
-        heads = [pa.array([*(x[i] for x in marks), *[None] * len(first)], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*heads, pa.array([None] * none + bucket[order][first].tolist(), pa.int32()), *(pa.concat_arrays([pa.nulls(none, x.type), x]) for x in lists)], names=["m", "d", "r0", "r1", "bucket", "pm", "pd", "po", "ph", "pk"]) if n else None
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+        ends, none = pa.array(np.append(cut, len(order)), pa.int32()), len(seg)
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(m[who[order]]), d.take(pa.array(who[order])), pa.array(start[order], pa.int32()), pa.array(keys[order, 0]), pa.array(keys[order, 1]))]
+        heads = [pa.array(m[seg]), d.take(pa.array(seg)), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+        columns = [pa.concat_arrays([x, pa.nulls(len(cut), x.type)]) for x in heads] + [pa.array([None] * none + bucket[order][cut].tolist(), pa.int32())] + [pa.concat_arrays([pa.nulls(none, x.type), x]) for x in lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["m", "d", "r0", "r1", "bucket", "pm", "pd", "po", "ph", "pk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, group = 0, None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != group and (len(held) >= segments or size >= most):
-                    yield from filter(None, solve(held))
+                if row[0] != group and size >= most:
+                    yield from solve(held)
                     held, size = [], 0
                 group = row[0]
                 held.append(row)
                 size += len(row[4])
         if held:
-            yield from filter(None, solve(held))
+            yield from solve(held)
 
     return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, the windows that two parts have."""
+    """Of each bucket, the windows whose digest two places have."""
 
     def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        m, d, o, h, k = (np.concatenate([r.column(i).flatten().to_numpy() for r in rows]) for i in range(1, 6))
-        order = np.lexsort((m, k, h))
-        same = (h[order][1:] == h[order][:-1]) & (k[order][1:] == k[order][:-1]) & (m[order][1:] == m[order][:-1])
+        m, o, h, k = (np.concatenate([r.column(i).flatten().to_numpy() for r in rows]) for i in (1, 3, 4, 5))
+        d = pa.concat_arrays([r.column(2).flatten() for r in rows])
+        order = np.lexsort((k, h))
+        same = (h[order][1:] == h[order][:-1]) & (k[order][1:] == k[order][:-1])
         hit = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        return pa.RecordBatch.from_arrays([pa.array(m[hit]), pa.array(d[hit]), pa.array(o[hit], pa.int32()), pa.array(o[hit], pa.int32())], names=["m", "d", "r0", "r1"])
+        return pa.RecordBatch.from_arrays([pa.array(m[hit]), d.take(pa.array(hit)), pa.array(o[hit], pa.int32()), pa.array(o[hit], pa.int32())], names=["m", "d", "r0", "r1"])
 
     held: list[pa.RecordBatch] = []
     bucket = None
@@ -326,16 +207,7 @@ def _cut(length: int) -> Callable:
     return run
 
 
-def _bucketed(df: DataFrame, n: int, key: str) -> DataFrame:
-    """df as a written table in n buckets, so that joins on key don't move it again."""
-    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
-    path = posixpath.join(shared_dir(spark), name)
-    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
-    _staged.append(path)
-    return spark.table(name)
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part: int = 256) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part: int = 1 << 20, bucket: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     Texts are UTF-8 bytes, null counts as empty. Each byte is removed that a
@@ -345,6 +217,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept_sha256: of the remaining bytes. Rows that repeat an id, or have none,
     count like any other, since ids play no part. An empty table gives an empty
     result.
+
+    part: about how many bytes of stretches are sorted together; bucket: how
+    many windows are held against each other, at most, of anchors with more.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -352,26 +227,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     rows = stage(base.select("id", "sha"), "rows")
     distinct = base.groupBy(F.xxhash64("sha").alias("k"), F.hash("sha").alias("k2"), "sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = _bucketed(distinct.repartition(n, "k"), n, "k")
+    texts = bucketed(distinct.repartition(n, "k"), n, "k")
 
-    found = stage(texts.where(F.octet_length("text") >= length).select("k", "k2", "text").mapInArrow(_anchor(length), "k long, k2 int, s0 long, s1 long, m long, d long, again long"), "stretches")
+    found = stage(texts.where(F.octet_length("text") >= length).select("k", "k2", "text").mapInArrow(_anchor(length), "k long, k2 int, s0 long, s1 long, m long, again long, d binary"), "stretches")
     twice = stage(found.groupBy("m").agg(F.sum("again").alias("n")).where("n > 1").select("m"), "anchors")
     known = stage(found.join(twice, "m"), "repeated-anchors")
+    release(found, twice)
     kinds = stage(known.groupBy("m", "d").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("k", "k2", "s0", "s1")).alias("at")), "kinds")
-    per = stage(kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any"), F.sum(F.col("at.s1") - F.col("at.s0") + length).alias("bytes")).where("kinds > 1 or any > 1"), "open-anchors")
-    parts = F.greatest(F.ceil(F.col("kinds") / part), F.ceil(F.col("bytes") / 400_000)).cast("int")
-    asked = kinds.join(per, "m").withColumn("parts", parts).select("at.*", F.struct(F.xxhash64("m", F.pmod(F.hash("d"), "parts")).alias("g"), "m", "d", "parts", "at.s0", "at.s1").alias("w"))
+    per = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("again").alias("any"), F.sum(F.col("at.s1") - F.col("at.s0") + length).alias("bytes")).where("kinds > 1 or any > 1")
+    per = stage(per.select("m", "bytes", F.ceil(F.col("bytes") / part).cast("int").alias("parts")), "open-anchors")
+    windows = per.where("parts > 1").agg(F.sum("bytes")).first()[0] or 0  # of anchors that are sorted in parts: more than their windows
+    asked = kinds.join(per, "m").select("at.*", F.struct(F.xxhash64("m", F.pmod(F.hash("d"), "parts")).alias("g"), "m", "d", "parts", "at.s0", "at.s1").alias("w"))
     asked = stage(asked.groupBy("k", "k2").agg(F.collect_list("w").alias("wanted")), "asked")  # of one text, so no longer than that
     here = lambda other: (F.col("t.k") == F.col(f"{other}.k")) & (F.col("t.k2") - F.col(f"{other}.k2") == 0)
-    pieces = texts.alias("t").join(asked.alias("a"), here("a")).select("text", "wanted").mapInArrow(_fetch(length), "g long, m long, d long, parts int, bytes binary")
-    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "d").mapInArrow(_sort_parts(length, n), _MARKS), "marks")
+    pieces = texts.alias("t").join(asked.alias("a"), here("a")).select("text", "wanted").mapInArrow(_fetch(length), "g long, m long, d binary, parts int, bytes binary")
+    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "m").mapInArrow(_sort_parts(length, max(n, -(-windows // bucket)), part), _MARKS), "marks")
     open_ = marks.where("bucket is not null").select("bucket", "pm", "pd", "po", "ph", "pk")
-    across = open_.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_across, "m long, d long, r0 int, r1 int")
+    across = open_.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_across, "m long, d binary, r0 int, r1 int")
     inside = stage(marks.where("bucket is null").select("m", "d", "r0", "r1").union(across), "inside")
+    release(asked, per, marks)
 
     whole = known.join(kinds.where("n > 1").select("m", "d"), ["m", "d"]).select("k", "k2", F.col("s0").alias("a"), (F.col("s1") + length).alias("e"))
     single = kinds.where("n = 1").select("m", "d", "at.*").join(inside, ["m", "d"]).select("k", "k2", (F.col("s0") + F.col("r0")).alias("a"), (F.col("s0") + F.col("r1") + length).alias("e"))
     spans = stage(whole.union(single).groupBy("k", "k2").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
+    release(known, kinds, inside)
     cut = texts.alias("t").join(spans.alias("s"), here("s"), "left").select("sha", "text", "copies", "spans")
     result = stage(cut.mapInArrow(_cut(length), "sha string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "cut")
+    release(texts, spans)
     return rows.join(result, "sha").drop("sha")
