@@ -85,15 +85,17 @@ def test_stretches_are_sorted_from_their_anchors_both_ways():
     before = [s[: s.index(anchor)][::-1] for s in segments]
     for back, side in ((False, after), (True, before)):
         assert [(group[i], side[i]) for i in got.sort(back)] == sorted((g, x) for g, x in zip(group, side, strict=True))
-    seen, led, may = got.shared()
+    row, at_j, seen, led, may = got.shared()
+    chosen = lambda flag: {(int(i), int(j)) for i, j in zip(row[flag], at_j[flag], strict=True)}
+    assert -1 not in {j for _, j in chosen(seen | led | may)}
     windows = {}
     for i, s in enumerate(segments):
         for p in range(len(s) - 90 + 1):
             windows.setdefault((group[i], s[p : p + 90]), []).append((i, s.index(anchor) - p))
     twice = {x for v in windows.values() if len(v) > 1 for x in v}
-    shown = set(zip(*map(np.ndarray.tolist, np.nonzero(seen)), strict=True))
-    assert shown <= twice <= set(zip(*map(np.ndarray.tolist, np.nonzero(may)), strict=True))
-    assert all(any(not led[x] for x in v) for v in windows.values())  # one of each class stands for the rest
+    assert chosen(seen) <= twice <= chosen(may)
+    assert chosen(at_j >= 0) == {x for v in windows.values() for x in v}
+    assert all(set(v) - chosen(led) for v in windows.values())  # one of each class stands for the rest
 
 
 def test_a_hash_collision_is_found(monkeypatch):

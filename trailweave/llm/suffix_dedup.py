@@ -118,7 +118,7 @@ def _fetch(length: int) -> Callable:
 _MARKS = "m long, d binary, r0 int, r1 int, bucket int, pm array<long>, pd array<binary>, po array<int>, ph array<long>, pk array<long>"
 
 
-def _sort_parts(length: int, buckets: int, most: int) -> Callable:
+def _sort_parts(length: int, buckets: int, most: int = 1 << 20) -> Callable:
     """Sorts whole parts, several small ones together; gives the ranges of repeated windows, and the digests of those that are to be held against other parts."""
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def _cut(length: int) -> Callable:
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part: int = 1 << 20, bucket: int = 1 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, part: int = 1 << 18, bucket: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     Texts are UTF-8 bytes, null counts as empty. Each byte is removed that a
@@ -218,8 +218,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count like any other, since ids play no part. An empty table gives an empty
     result.
 
-    part: about how many bytes of stretches are sorted together; bucket: how
-    many windows are held against each other, at most, of anchors with more.
+    part: how many bytes of stretches of one anchor are sorted together, about;
+    bucket: how many windows of an anchor with more are held against each other.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -241,7 +241,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = stage(asked.groupBy("k", "k2").agg(F.collect_list("w").alias("wanted")), "asked")  # of one text, so no longer than that
     here = lambda other: (F.col("t.k") == F.col(f"{other}.k")) & (F.col("t.k2") - F.col(f"{other}.k2") == 0)
     pieces = texts.alias("t").join(asked.alias("a"), here("a")).select("text", "wanted").mapInArrow(_fetch(length), "g long, m long, d binary, parts int, bytes binary")
-    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "m").mapInArrow(_sort_parts(length, max(n, -(-windows // bucket)), part), _MARKS), "marks")
+    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "m").mapInArrow(_sort_parts(length, max(n, -(-windows // bucket))), _MARKS), "marks")
     open_ = marks.where("bucket is not null").select("bucket", "pm", "pd", "po", "ph", "pk")
     across = open_.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_across, "m long, d binary, r0 int, r1 int")
     inside = stage(marks.where("bucket is null").select("m", "d", "r0", "r1").union(across), "inside")

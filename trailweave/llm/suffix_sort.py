@@ -1,9 +1,9 @@
 """Suffix sorting by prefix hashes: what op5 does with the stretches of one task.
 
-All windows of a stretch hold its anchor, a 64-byte gram. If each stretch of a
-group holds the anchor once, equal windows have it at the same place, so two
-stretches share exactly the windows inside the bytes that agree around their
-anchors. Then one suffix (from the anchor on) and one reversed prefix (before
+All windows of a stretch hold its anchor, a 64-byte gram. Equal windows have it
+at the same place, so two stretches share exactly the windows inside the bytes
+that agree around their anchors (a stretch that has its anchor several times is
+cut, so that each window goes with the first one in it). So one suffix (from the anchor on) and one reversed prefix (before
 it) stand for all windows of a stretch: both are sorted, neighbours give the
 longest common extensions, and only windows inside these that no neighbour
 settles are sorted themselves.
@@ -58,7 +58,13 @@ def extension(h: PrefixHashes, a: np.ndarray, b: np.ndarray, most: np.ndarray, b
 
 
 def same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
-    """Whether the n bytes at a and at b are equal, for all pairs."""
+    """Whether the n bytes at a and at b are equal, for all pairs; what pairs of one distance overlap is compared once."""
+    order = np.lexsort((a, b - a))
+    a, b, n = a[order], b[order], n[order]
+    rank = np.cumsum(np.diff(b - a, prepend=0) != 0) * (len(buffer) + 1)
+    done = np.concatenate((np.zeros(1, np.int64), np.maximum.accumulate(a + n + rank)[:-1])) - rank if len(a) else a
+    skip = np.minimum(np.maximum(done - a, 0), n)
+    a, b, n = a + skip, b + skip, n - skip
     for lo in range(0, len(a), 4096):
         x, y, m = a[lo : lo + 4096], b[lo : lo + 4096], n[lo : lo + 4096]
         step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -185,14 +191,24 @@ class Aligned:
         merge_sort(order, *_runs(self.group[order], head[order]), lambda a, b: self.less(a, b, back))
         return order
 
-    def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """For each stretch and distance from window start to anchor: whether another stretch has that window; the same, of one before it in the sort; whether that may be so.
+    def shared(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """All windows as (stretch, distance from window start to anchor), one row each, and for each row: whether another stretch has that window; the same, of one before it in the sort; whether that may be so.
 
-        What may be so and is not shown is open. None if the bytes don't bear out the hashes.
+        What may be so and is not shown is open. Rows of distance -1 lie between
+        stretches and are no windows. None if the bytes don't bear out the hashes.
         """
-        k, width = len(self.at), self.length - GRAM + 1
-        seen, led = (np.zeros((k, width + 1), np.int16) for _ in range(2))
-        longest = {side: np.zeros(k, np.int64) for side in (False, True)}
+        least = self.length - self.room[False]
+        count = self.room[True] - least + 1
+        base = np.cumsum(count + 1) - count - 1
+        seen, led, may = (np.zeros(int((count + 1).sum()) + 1, np.int32) for _ in range(3))
+
+        def mark(to: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+            some = first <= last
+            rows, at = rows[some], base[rows[some]] - least[rows[some]]
+            np.add.at(to, at + first[some], 1)
+            np.add.at(to, at + last[some] + 1, -1)
+
+        longest = {side: np.zeros(len(self.at), np.int64) for side in (False, True)}
         for back in (False, True):
             order = self.sort(back)
             for apart in (1, 2, 3):
@@ -207,76 +223,69 @@ class Aligned:
                         return None
                     for side in (a, b):
                         np.maximum.at(longest[back], side, left if back else right)
-                some = np.flatnonzero(left + right >= self.length)
                 for to, rows in ((seen, a), (seen, b), *(((led, b),) if not back else ())):
-                    np.add.at(to, (rows[some], self.length - right[some]), 1)
-                    np.add.at(to, (rows[some], left[some] + 1), -1)
-        j = np.arange(width)
-        may = (j >= self.length - longest[False][:, None]) & (j <= longest[True][:, None])
-        return seen.cumsum(1)[:, :width] > 0, led.cumsum(1)[:, :width] > 0, may
+                    mark(to, rows, self.length - right, left)
+        every = np.arange(len(self.at))
+        mark(may, every, np.maximum(self.length - longest[False], least), longest[True])
+        row = np.repeat(every, count + 1)
+        j = np.arange(len(row)) - base[row] + least[row]
+        j[base + count] = -1
+        return row, j, *(x.cumsum()[:-1] > 0 for x in (seen, led, may))
 
 
-def ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last column of the runs of true in a matrix."""
-    edge = np.diff(np.pad(flag, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    return row, first, np.nonzero(edge == -1)[1] - 1
+def ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the runs of true."""
+    edge = np.diff(flag.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
 def repeated(segments: list[bytes], anchor: np.ndarray, group: np.ndarray, wide: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Ranges of windows (segment, first, last start) that another place has too; and of segments that are `wide`, each different window (segment, start, bytes' digest).
 
     Of the last, windows may be left out that are among the ranges and whose
-    bytes another one of the same group stands for.
+    bytes another one of the same group stands for. A segment that has its
+    anchor several times is cut: each window goes with the first one in it.
     """
     raw = b"".join(segments)
     buffer = np.frombuffer(raw, np.uint8)
     ends = offsets(map(len, segments))
     h = PrefixHashes(buffer)
     gram = mix(h.of(np.arange(len(buffer) - GRAM + 1), GRAM))
-    hit = np.flatnonzero(gram == np.repeat(anchor, np.diff(ends))[: len(gram)])
-    own = np.searchsorted(ends, hit, "right") - 1
-    inside = hit + GRAM <= ends[own + 1]
-    hit, own = hit[inside], own[inside]
-    once = np.bincount(own, minlength=len(segments)) == 1
+    at = np.flatnonzero(gram == np.repeat(anchor, np.diff(ends))[: len(gram)])
+    own = np.searchsorted(ends, at, "right") - 1
+    inside = at + GRAM <= ends[own + 1]
+    at, own = at[inside], own[inside]
+    first = np.diff(own, prepend=-1) != 0
+    lo = np.where(first, ends[own], np.concatenate(([-1], at[:-1])) + 1)
+    hi = np.minimum(ends[own + 1], at + length)
+    some = hi - lo >= length
+    at, own, lo, hi = at[some], own[some], lo[some], hi[some]
     _, number = np.unique(group, return_inverse=True)
-    plain = (np.bincount(number, ~once) == 0)[number]  # every segment of the group has its anchor once
-    fast = np.flatnonzero(plain)
-    at = np.zeros(len(segments), np.int64)
-    at[own] = hit
-    found = []  # (segment, first, last)
-    lead = []  # (segment, start)
-    if len(fast):
-        got = Aligned(buffer, h, number[fast], ends[:-1][fast], at[fast], ends[1:][fast], length).shared()
-        if got is None:
-            plain[:] = False
-        else:
-            seen, led, may = got
-            open_ = may & ~seen
-            asked = np.zeros((number.max() + 1, open_.shape[1]), bool)
-            np.logical_or.at(asked, number[fast][open_.any(1)], open_[open_.any(1)])
-            row, j = np.nonzero(may & asked[number[fast]])
-            seen[row, j] |= SuffixSort(buffer, h, at[fast][row] - j, length).classes()[0]
-            row, first, last = ranges(seen)
-            place = (at - ends[:-1])[fast]
-            found.append((fast[row], place[row] - last, place[row] - first))
-            j = np.arange(open_.shape[1])
-            exists = (j <= place[:, None]) & (j >= length - (ends[1:] - at)[fast][:, None])
-            row, j = np.nonzero(exists & ~led & wide[fast][:, None])
-            lead.append((fast[row], place[row] - j))
-    slow = np.flatnonzero(~plain)
-    if len(slow):
-        n = np.diff(ends)[slow] - length + 1
-        seg = np.repeat(slow, n)
+    order = np.argsort(number[own], kind="stable")
+    at, own, lo, hi = at[order], own[order], lo[order], hi[order]
+    n = np.diff(ends) - length + 1
+    base = np.cumsum(n + 1) - n - 1  # by segment, the place of its first window in `twice`; one free place after the last
+    twice = np.zeros((n + 1).sum(), bool)
+    got = Aligned(buffer, h, number[own], lo, at, hi, length).shared()
+    if got:
+        row, j, seen, led, may = got
+        open_ = np.flatnonzero(may & ~seen)
+        asked = np.zeros((number.max() + 1, length), bool)
+        asked[number[own[row[open_]]], j[open_]] = True
+        ask = np.flatnonzero(may)
+        ask = ask[asked[number[own[row[ask]]], j[ask]]]
+        seen[ask] |= SuffixSort(buffer, h, at[row[ask]] - j[ask], length).classes()[0]
+        seg = own[row]
+        start = at[row] - j - ends[seg]
+        twice[base[seg[seen]] + start[seen]] = True
+        new = (j >= 0) & ~led & wide[seg]
+    else:  # hashes can't be trusted here: the digests of all windows
+        seg = np.repeat(np.arange(len(segments)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        twice, first = SuffixSort(buffer, h, ends[seg] + start, length).classes()
-        edge = np.flatnonzero(twice)
-        if len(edge):
-            cut = np.concatenate(([True], (np.diff(edge) > 1) | (np.diff(seg[edge]) > 0)))
-            tail = np.append(np.flatnonzero(cut)[1:] - 1, len(edge) - 1)
-            found.append((seg[edge][cut], start[edge][cut], start[edge][tail]))
-        some = first & wide[seg]
-        lead.append((seg[some], start[some]))
-    f = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3)]
-    w = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in lead)]) for i in range(2)]
-    return *f, *w, [digest(raw[p : p + length]) for p in (ends[w[0]] + w[1]).tolist()]
+        twice[base[seg] + start], new = _by_digest(buffer, ends[seg] + start, length)
+        new &= wide[seg]
+    first, last = ranges(twice)
+    seg_of = np.searchsorted(base, first, "right") - 1
+    found = seg_of, first - base[seg_of], last - base[seg_of]
+    lead = seg[new], start[new]
+    return *found, *lead, [digest(raw[p : p + length]) for p in (ends[lead[0]] + lead[1]).tolist()]
