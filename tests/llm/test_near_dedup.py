@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import AWKWARD, documents, prose, with_clashes
-from trailweave.llm import queries
+from trailweave.llm import near_dedup, queries
 from trailweave.llm.components import connected_components
-from trailweave.llm.near_dedup import enough_collections, minhash_dedup, shingle_sets
+from trailweave.llm.near_dedup import enough_collections, minhash_dedup, shingle_sets, words_of
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -59,7 +60,7 @@ def rows():
     return [*out, (9001, "Short TEXT"), (9002, "short text"), (9003, "short text!")]
 
 
-@pytest.mark.parametrize(("percent", "block", "weight"), [(85, 256, 400_000), (80, 2, 300), (85, 1, 100)])
+@pytest.mark.parametrize(("percent", "block", "weight"), [(85, 256, 400_000), (80, 2, 300), (85, 1, 100), (85, 5, 400_000)])
 def test_links_and_components(spark, rows, percent, block, weight):
     got = minhash_dedup(with_clashes(documents(spark, rows)), percent=percent, block=block, weight=weight).collect()
     assert sorted(((g.id, g.n_shingles, g.component_id) for g in got), key=repr) == brute(rows, percent)
@@ -68,8 +69,62 @@ def test_links_and_components(spark, rows, percent, block, weight):
 
 def test_sets_match_python(rows):
     texts = [t for _, t in rows]
-    assert [len(s) for s in shingle_sets(texts)] == [len(brute_set(t)) for t in texts]
-    assert shingle_sets([]) == []
+    assert [len(s) for s in shingle_sets(texts)[0]] == [len(brute_set(t)) for t in texts]
+    assert shingle_sets([]) == ([], [])
+
+
+def test_long_texts_are_read_piece_by_piece(monkeypatch):
+    r = random.Random(3)
+    texts = [prose(r, 300) + " \t" + "q" * 500 + "\x0b" + prose(r, 40), "Z" * 999, " " * 700, "a " * 400]
+    whole = shingle_sets(texts)
+    monkeypatch.setattr(near_dedup, "_CHUNK", 64)
+    for got, want in zip(shingle_sets(texts)[0], whole[0], strict=True):
+        assert got.tolist() == want.tolist()
+    assert [[w for part in words_of(t) for w in part] for t in texts] == [t.lower().encode().split() for t in texts]
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes, whatever the odd base."""
+    x = thue_morse(4096)
+    y = x.translate(str.maketrans("ab", "ba"))
+    tail = " one two three four five six seven"
+    rows = [(1, x), (2, y), (3, "other"), (4, x + tail), (5, y + tail), (6, f"{x} {y} {x} {y} {x}"), (7, f"{y} {x} {y} {x} {y}")]
+    got = minhash_dedup(documents(spark, rows)).collect()
+    assert sorted(((g.id, g.n_shingles, g.component_id) for g in got), key=repr) == brute(rows, 80)
+    assert {g.component_id for g in got} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """With a digest that takes all words for one, candidates abound and links are right all the same."""
+    r = random.Random(6)
+    texts = [prose(r, 30) for _ in range(12)]
+    rows = list(enumerate([*texts, texts[3] + " tail", texts[5]], 1))
+    ids, texts = [i for i, _ in rows], [t for _, t in rows]
+    made = [pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array(ids), pa.array(texts)], names=["g", "id", "text"])]
+    monkeypatch.setattr(near_dedup._Digests, "__missing__", lambda self, word: 5)
+    found = {(a, b) for out in near_dedup._verified(80)(iter(made)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)}
+    assert found == {(4, 13), (6, 14)}
+
+
+def test_a_hot_value_sends_one_row_a_chunk():
+    n = 5000
+    keys = pa.array([[77, 1000 + i] for i in range(n)], pa.list_(pa.int64()))
+    batches = pa.RecordBatch.from_arrays([pa.array(range(n)), keys], names=["id", "keys"])
+    out = pa.Table.from_batches(near_dedup._met(iter([batches.slice(i, 100) for i in range(0, n, 100)]), most=1000)).to_pylist()
+    assert len(out) == 2 * n
+    assert sum(x["first"] for x in out if x["key"] == 77) == 10
+    assert all(x["met"] == (x["key"] == 77) for x in out)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[1, 2]] * n, pa.list_(pa.int64()))], names=["id", "values"])
+    out = pa.Table.from_batches(near_dedup._tables(iter([rows]), most=500)).to_pylist()
+    assert sum(x["key"] is not None for x in out) == 10
+    assert sum(x["key"] is None for x in out) == n - 10
 
 
 def test_a_chain_is_one_component(spark):

@@ -5,80 +5,74 @@ a table key is a pair of them, so m collections give m(m-1)/2 tables of
 2 * width minhashes each while only m * width are computed. Two documents meet
 in some table as soon as any two of their collections agree. A collection value
 that no second document has can't, and is dropped before pairs are formed.
-Documents with equal sets stand in for each other. What shares table keys
-directly or through others forms a block family; all links inside it are
-verified on the full shingle sets, large families block pair by block pair.
+Documents with equal words stand in for each other. What shares table keys
+directly or through others forms a block family; links inside it are verified
+on the full shingle sets, word by word. Large families are verified in blocks
+that share some centers, then, where that leaves several components, between
+these. A value or table key that very many documents have is settled chunk by
+chunk first, so that only one row a chunk is sent on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix, offsets, partitions, stage
+from .common import constants, mix, offsets, partitions, release, stage
 from .components import connected_components
 
 SHINGLE = 5
-_BASE = constants(1, 41)[0]
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = constants(256, 43)
 _PLACE = constants(SHINGLE, 47)
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _CHUNK = 1 << 20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 2 * len(_powers[k])), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers
-
-
-def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (A-Z lower-cased, split at bytes in `between`), and the text each belongs to."""
-    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = offsets(len(t) + 1 for t in texts)
-    out, owners = [], []
-    lo = 0
-    space = np.flatnonzero(between[_LOWER[buffer]])
-    while lo < len(buffer):  # pieces that end between words
-        k = np.searchsorted(space, min(lo + _CHUNK, len(buffer)) - 1)
-        hi = int(space[k]) + 1
-        part = _LOWER[buffer[lo:hi]]
-        inside = ~between[part]
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _power(len(part) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)])))
-        out.append(mix((total[end] - total[first]) * down[first]))
-        owners.append(np.searchsorted(ends, first + lo, "right") - 1)
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+class _Digests(dict):
+    """64 bits of a cryptographic digest by word, so that no words collide by construction."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+
+_digests = _Digests()
+
+
+def words_of(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased and split at ASCII white space, piece by piece."""
+    raw, lo = (text or "").encode("utf-8", "surrogatepass"), 0
+    while lo < len(raw):
+        cut = _BLANK.search(raw, lo + _CHUNK) if len(raw) > lo + _CHUNK else None
+        hi = cut.start() if cut else len(raw)
+        yield raw[lo:hi].lower().split()
         lo = hi
-    return np.concatenate(out), np.concatenate(owners)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles; fewer words than SHINGLE give one shingle, none an empty set."""
-    if not texts:
-        return []
-    words, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
-    n = np.bincount(owner, minlength=len(texts))
-    ends = np.cumsum(n)
-    total = np.zeros(max(len(words) - SHINGLE + 1, 0), np.uint64)
-    for j in range(SHINGLE):
-        total += words[j : j + len(total)] * _PLACE[j]
-    total = mix(total)
-    short = lambda w: mix((w * _PLACE[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
-    return [np.unique(total[e - k : e - SHINGLE + 1]) if k >= SHINGLE else short(words[e - k : e]) if k else np.zeros(0, np.uint64) for e, k in zip(ends, n, strict=True)]
+def shingle_sets(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Sorted distinct 64-bit hashes of each text's shingles (fewer words than SHINGLE give one shingle, none an empty set), and a cryptographic digest of its words."""
+    sets, digests = [], []
+    for text in texts:
+        parts, sha = [np.zeros(0, np.uint64)], hashlib.sha256()
+        for words in words_of(text):
+            sha.update(b" ".join(words) + b" ")
+            parts.append(np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words)))
+        w = np.concatenate(parts)
+        k = min(len(w), SHINGLE)
+        total = np.full(len(w) - k + 1 if k else 0, k, np.uint64)
+        for j in range(k):
+            total += w[j : j + len(total)] * _PLACE[j]
+        sets.append(np.unique(mix(total)))
+        digests.append(sha.digest()[:16])
+    return sets, digests
 
 
 def _sketch(collections: int, width: int):
@@ -95,84 +89,105 @@ def _sketch(collections: int, width: int):
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                sets = shingle_sets(part.column(1).to_pylist())
+                sets, digest = shingle_sets(part.column(1).to_pylist())
                 some = [i for i, s in enumerate(sets) if len(s)]
                 values = np.zeros((len(sets), collections), np.uint64)
                 if some:
                     values[some] = keys([sets[i] for i in some])
-                digest = [hashlib.sha256(s.tobytes()).digest()[:16] for s in sets]
                 flat = pa.array(values.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * collections, pa.int32()), flat)], names=["id", "n", "digest", "keys"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Columns (key, id) of batches sorted by key, regrouped so that no run of equal keys is cut."""
-    key, who = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in batches:
-        key, who = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((who, b.column(1).to_numpy()))
-        cut = np.searchsorted(key, key[-1]) if len(key) else 0
-        if cut:
-            yield key[:cut], who[:cut]
-            key, who = key[cut:], who[cut:]
-    if len(key):
-        yield key, who
+def _chunks(columns: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns (key, id) in sorted chunks of about `most` rows; with the first row of each run of equal keys, and the runs' sizes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in chain(columns, [None]):
+        if pair is not None:
+            held.append(pair)
+        if held and (pair is None or sum(len(k) for k, _ in held) >= most):
+            key, who = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((who, key))
+            key, who, held = key[order], who[order], []
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+            yield key, who, start, np.diff(np.append(start, len(key)))
+
 
+def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The values of documents, chunk by chunk: `met` where the chunk has a second document with it, `first` on one row of each value, the only one that has to be sent on."""
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key a second row has."""
-    for key, who in _runs(batches):
-        same = key[1:] == key[:-1]
-        keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(key[keep])], names=["id", "value"])
+    def columns() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            keys = b.column(1)
+            yield keys.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), np.diff(keys.offsets.to_numpy()))
 
+    for key, who, start, size in _chunks(columns(), most):
+        first = np.zeros(len(key), bool)
+        first[start] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(np.repeat(size > 1, size)), pa.array(first)], names=["key", "id", "met", "first"])
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each document's values, as table keys."""
+
+def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Table keys are pairs of a document's values. Chunk by chunk: (null, a, b) links a document to the smallest one with a key of its own, (key, b, null) names that one to the other chunks."""
     left, right = constants(2, 67)
-    for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            part = b.slice(lo, 500)
-            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for who, values in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+
+    def columns() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for who, values in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 v = np.sort(values.values.to_numpy()).view(np.uint64)
                 i, j = np.triu_indices(len(v), 1)
-                keys.append(mix(v[i] * left + v[j] * right))
-                ids.append(np.full(len(i), who))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
-
+                yield mix(v[i] * left + v[j] * right).view(np.int64), np.full(len(i), who)
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each table key, its smallest document with each other one; once for a batch."""
-    for key, who in _runs(batches):
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        least = np.repeat(np.minimum.reduceat(who, start), np.diff(np.append(start, len(key))))
+    for key, who, start, size in _chunks(columns(), most):
+        least = np.repeat(who[start], size)
         pairs = np.unique(np.stack([who, least], 1)[who != least], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ((none(len(pairs)), pa.array(key[start])), (pa.array(pairs[:, 0]), pa.array(who[start])), (pa.array(pairs[:, 1]), none(len(start))))], names=["key", "a", "b"])
 
 
 def _verified(percent: int):
+    def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the distinct shingles of each text, and the text of each; equal numbers mean equal words."""
+        numbers: dict[bytes, int] = {}
+        short: dict[tuple[int, ...], int] = {}
+        words, owner, short_owner = [], [], []
+        for i, text in enumerate(texts):
+            w = [numbers.setdefault(x, len(numbers)) for part in words_of(text) for x in part]
+            if len(w) >= SHINGLE:
+                words.append(np.array(w, np.int64))
+                owner.append(np.full(len(w), i))
+            elif w:
+                short_owner.append((i, short.setdefault(tuple(w), len(short))))
+        flat, own = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (words, owner))
+        n = max(len(flat) - SHINGLE + 1, 0)
+        at = np.flatnonzero(own[:n] == own[len(own) - n :])
+        code = flat[at]
+        for j in range(1, SHINGLE):  # pairs of numbers get numbers in turn, so that nothing rests on hashes
+            code = np.unique(code * len(numbers) + flat[at + j], return_inverse=True)[1]
+        both = np.concatenate([np.stack([own[at], code + len(short)], 1), np.array(short_owner, np.int64).reshape(-1, 2)])
+        both = np.unique(both, axis=0)
+        return both[:, 1], both[:, 0]
+
     def links(ids: list[int], texts: list[str | None]) -> list[tuple[int, int]]:
         """A spanning forest of all links among the documents of a group."""
-        sets = shingle_sets(texts)
-        size = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        code, owner = shingles(texts)
+        size = np.bincount(owner, minlength=len(ids))
+        _, column, seen = np.unique(code, return_inverse=True, return_counts=True)
         often = np.flatnonzero(seen > 1)
         place = np.full(len(seen), -1)
         place[often] = np.arange(len(often))
         column = place[column]
         owner, column = owner[column >= 0], column[column >= 0]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        wide = max(1, (1 << 23) // len(sets))
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        wide = max(1, (1 << 23) // len(ids))
         for lo in range(0, len(often), wide):
-            m = np.zeros((len(sets), min(wide, len(often) - lo)), np.float32)
+            m = np.zeros((len(ids), min(wide, len(often) - lo)), np.float32)
             here = (column >= lo) & (column < lo + wide)
             m[owner[here], column[here] - lo] = 1
             common += m @ m.T
         inter = common.astype(np.int64)
-        root = list(range(len(sets)))
+        root = list(range(len(ids)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -220,7 +235,53 @@ def enough_collections(similarity: float, width: int, missed: float = 2e-5) -> i
     return next(m for m in range(2, 1 << 16) if (1 - p) ** m + m * p * (1 - p) ** (m - 1) < missed)
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, collections: int | None = None, width: int = 5, block: int = 256, weight: int = 400_000) -> DataFrame:
+def _split_families(families: DataFrame, sizes: DataFrame, block: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(id, g): the groups in which links are looked for first; (node, component): the members of families that need more than one.
+
+    A group is a block of a family and the family's centers: its smallest
+    member and four of least hash, which most others resemble.
+    """
+    sized = families.join(sizes, "node")
+    total = stage(sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "family-sizes")
+    small = (F.col("docs") <= 2 * block) & (F.col("shingles") <= 2 * weight)
+    blocks = F.when(small, 1).otherwise(F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / weight), F.lit(2)))
+    dealt = families.join(total, "component").select("node", "component", blocks.cast("int").alias("blocks"))
+    large = dealt.where("blocks > 1")
+    least = large.groupBy("component", "blocks", F.pmod(F.hash("node"), F.lit(4))).agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("node")).select("node", "component", "blocks")
+    centers = least.union(large.where("node = component").select("node", "component", "blocks"))
+    group = F.xxhash64("component", "b").alias("g")
+    own = dealt.select(F.col("node").alias("id"), "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("b"))
+    everywhere = centers.select(F.col("node").alias("id"), "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    return own.union(everywhere).distinct().select("id", group), large.select("node", "component")
+
+
+def _split_rest(open_: DataFrame, block: int, weight: int) -> DataFrame:
+    """(id, g) such that every two members of a family (node, component, part, n) that are in different parts meet in some group.
+
+    Large parts are units of their own, small ones share units; two units meet
+    block by block. Blocks of one large part don't meet, they are linked.
+    """
+    parts = stage(open_.groupBy("component", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "parts")
+    big = (F.col("docs") >= block) | (F.col("shingles") >= weight)
+    pieces = lambda: F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / weight)).cast("int")
+    mixed = parts.where(~big).groupBy("component").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).select("component", pieces().alias("mixed"))
+    unit = F.when(big, F.struct(F.lit(True).alias("big"), F.col("part").alias("u"))).otherwise(F.struct(F.lit(False).alias("big"), F.pmod(F.xxhash64("part"), F.col("mixed")).alias("u")))
+    dealt = stage(parts.join(mixed, "component", "left").select("component", "part", unit.alias("unit"), F.when(big, pieces()).otherwise(1).alias("pieces")), "units")
+    units = stage(dealt.select("component", "unit", "pieces").distinct(), "distinct-units")
+    a, b = units.toDF("component", "ua", "na"), units.toDF("component", "ub", "nb")
+    pairs = a.join(b, "component").where("ua < ub or (ua = ub and not ua.big)")
+    pairs = stage(pairs, "unit-pairs")
+    node = open_.join(dealt, ["component", "part"]).select("component", F.col("node").alias("id"), "unit", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("p"))
+
+    def side(own: str, others: str, p: str, q: str) -> DataFrame:
+        met = node.join(pairs.withColumnRenamed(own, "unit"), ["component", "unit"])
+        ua, ub = ("unit", "ub") if own == "ua" else ("ua", "unit")
+        return met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("id", F.xxhash64("component", ua, ub, p, q).alias("g"))
+
+    return side("ua", "nb", "p", "o").union(side("ub", "na", "o", "p")).distinct()
+
+
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, collections: int | None = None, width: int = 5, block: int = 128, weight: int = 400_000) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of distinct five-word shingles (A-Z
@@ -234,9 +295,11 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     At the least similarity s a linked pair is missed with probability
     (1-p)^m + m p (1-p)^(m-1), p = s^width, m = collections, and far less often
     if it is more similar; by default m is the least for which that is under
-    2e-5 (24 for s = 0.85, 35 for s = 0.8). A family of more than
-    2 * block documents or `weight` shingles is verified in pairs of blocks, so
-    no group in a task outgrows that, and no link in it is left out.
+    2e-5 (24 for s = 0.85, 35 for s = 0.8). A family of more than 2 * block
+    documents or 2 * weight shingles is first verified in blocks, each with the
+    family's centers. Where that leaves several components, documents of
+    different ones are verified in pairs of blocks. So no group in a task
+    outgrows two blocks, and no documents stay apart that a link joins.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -246,24 +309,31 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = sketch.where("id is not null and n > 0")
     classes = stage(known.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("m")).select("digest", "m.*"), "classes")
 
-    value = classes.select("id", F.explode("keys").alias("key")).select("key", "id")
-    shared = value.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_shared, "id long, value long")
-    keyed = shared.groupBy("id").agg(F.collect_list("value").alias("values")).where("size(values) > 1")
-    rows = keyed.mapInArrow(_tables, "key long, id long")
-    stars = rows.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long")
-    families = stage(connected_components(stage(stars.distinct(), "candidates")), "families")
-
-    sized = families.join(classes.select(F.col("id").alias("node"), "n"), "node")
-    total = stage(sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "family-sizes")
-    blocks = F.ceil(F.greatest(F.col("docs") / block, F.col("shingles") / weight)).cast("int")
-    small = (F.col("docs") <= 2 * block) & (F.col("shingles") <= 2 * weight)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = families.join(total, "component").withColumn("blocks", F.when(small, 1).otherwise(F.greatest(blocks, F.lit(2)))).withColumn("own", own).select("node", "component", "own", other.alias("other"))
-    grouped = dealt.select(F.col("node").alias("id"), F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
-    texts = stage(grouped, "groups").join(base, "id").select("g", "id", "text")
-    links = stage(texts.repartition(n, "g").sortWithinPartitions("g", "id").mapInArrow(_verified(percent), "a long, b long"), "links")
+    value = stage(classes.select("id", "keys").mapInArrow(_met, "key long, id long, met boolean, first boolean"), "values")
+    sent = value.where("first").select("key", "id", "met")
+    again = sent.groupBy("key").agg(F.count("*").alias("chunks")).where("chunks > 1").select("key")
+    shared = value.where("met").select("id", "key").union(sent.where("not met").join(again, "key").select("id", "key"))
+    keyed = stage(shared.groupBy("id").agg(F.collect_list("key").alias("values")).where("size(values) > 1"), "shared-values")
+    rows = stage(keyed.mapInArrow(_tables, "key long, a long, b long"), "tables")
+    named = rows.where("key is not null").select("key", "a")
+    stars = named.join(named.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("chunks")).where("chunks > 1").select("key", "b"), "key").where("a <> b").select("a", "b")
+    stars = rows.where("key is null").select("a", "b").union(stars).distinct()
+    families = stage(connected_components(stage(stars, "candidates")), "families")
+    release(value, keyed, rows)
+
+    def verified(grouped: DataFrame) -> DataFrame:
+        texts = stage(grouped, "groups").join(base, "id").select("g", "id", "text")
+        return stage(texts.repartition(n, "g").sortWithinPartitions("g", "id").mapInArrow(_verified(percent), "a long, b long"), "links")
+
+    sizes = classes.select(F.col("id").alias("node"), "n")
+    grouped, large = _split_families(families, sizes, block, weight)
+    links = verified(grouped)
     found = stage(connected_components(links), "components")
+    parts = large.join(found.toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = parts.groupBy("component").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("component")
+    open_ = stage(parts.join(several, "component").join(sizes, "node").select("node", "component", "part", "n"), "open-families")
+    if not open_.isEmpty():
+        found = stage(connected_components(links.union(verified(_split_rest(open_, block, weight)))), "components")
 
     named = stage(classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "named")
     alone = F.col("id").isNull() | (F.col("n") == 0)
