@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import tempfile
 import uuid
@@ -102,5 +103,58 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+#: Two primes under 2^31 with bases: products of a power and a byte stay under 2^40, so that sums over a piece are exact.
+_FIELDS = ((np.uint64(2147483647), np.uint64(1174562147)), (np.uint64(2147483629), np.uint64(1923704723)))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+PIECE = 1 << 20
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field, the powers of the base and of its inverse, n at least."""
+    if not _powers or len(_powers[0][0]) < n:
+        _powers.clear()
+        for prime, base in _FIELDS:
+            both = []
+            for x in (base, np.uint64(pow(int(base), -1, int(prime)))):
+                table, step = np.ones(1, np.uint64), x
+                while len(table) < n:  # doubling: the next half is this one times a power
+                    table = np.concatenate((table, table * step % prime))
+                    step = step * step % prime
+                both.append(table)
+            _powers.append((both[0], both[1]))
+    return _powers
+
+
+def word_hashes(texts: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (A-Z lower-cased, split at bytes in `between`, of which the space is one), and the text each belongs to.
+
+    A hash is a polynomial in each of two prime fields, 62 bits in all, so that
+    no kind of words collides by construction.
+    """
+    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = offsets(len(t) + 1 for t in texts)
+    out, owners, lo = [], [], 0
+    gap = np.flatnonzero(between[_LOWER[buffer]])
+    while lo < len(buffer):  # pieces that end between words
+        hi = int(gap[np.searchsorted(gap, min(lo + PIECE, len(buffer)) - 1)]) + 1
+        part = _LOWER[buffer[lo:hi]]
+        edge = np.diff((~between[part]).astype(np.int8), prepend=0, append=0)
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        letter = part.astype(np.uint64) + np.uint64(1)
+        h = np.zeros(len(first), np.uint64)
+        for (prime, _), (up, down) in zip(_FIELDS, _power_tables(len(part) + 1), strict=True):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letter * up[: len(part)])))
+            h = h << np.uint64(31) | (total[end] - total[first]) % prime * down[first] % prime
+        h = mix(h)
+        for i in np.flatnonzero(end - first > PIECE):  # a sum over so long a word may not be exact
+            h[i] = int.from_bytes(hashlib.blake2b(part[first[i] : end[i]], digest_size=8).digest(), "little")
+        out.append(h)
+        owners.append(np.searchsorted(ends, first + lo, "right") - 1)
+        lo = hi
+    return np.concatenate(out), np.concatenate(owners)
+
+
 def offsets(lengths: Iterable[int]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.fromiter(lengths, dtype=np.int64))))

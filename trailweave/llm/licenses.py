@@ -19,16 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix, offsets
+from .common import word_hashes
 
 _BETWEEN = np.array([not (b >= 128 or 48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
-_BASE = constants(1, 41)[0]
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = constants(256, 43)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_CHUNK = 1 << 20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Phrases that are reported at every place, and their labels.
@@ -53,37 +46,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 2 * len(_powers[k])), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers
-
-
-def word_hashes(texts: list[bytes], between: np.ndarray = _BETWEEN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (A-Z lower-cased, split at bytes in `between`), and the text each belongs to."""
-    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = offsets(len(t) + 1 for t in texts)
-    out, owners = [], []
-    lo = 0
-    space = np.flatnonzero(between[_LOWER[buffer]])
-    while lo < len(buffer):  # pieces that end between words
-        k = np.searchsorted(space, min(lo + _CHUNK, len(buffer)) - 1)
-        hi = int(space[k]) + 1
-        part = _LOWER[buffer[lo:hi]]
-        inside = ~between[part]
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _power(len(part) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)])))
-        out.append(mix((total[end] - total[first]) * down[first]))
-        owners.append(np.searchsorted(ends, first + lo, "right") - 1)
-        lo = hi
-    return np.concatenate(out), np.concatenate(owners)
-
-
 def words(text: str) -> list[str]:
     return _WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
@@ -107,7 +69,7 @@ class RareIndex:
                 self.phrases.append(parts)
         self.base = [(words(p), label) for p, label in base.items()]
         vocabulary = sorted({w for t in [*self.texts, *(p for p, _ in self.base)] for w in t})
-        h = word_hashes([" ".join(vocabulary).encode()])[0]
+        h = word_hashes([" ".join(vocabulary).encode()], _BETWEEN)[0]
         order = np.argsort(h)
         self.hashes = h[order]
         code = {vocabulary[i]: k for k, i in enumerate(order)}
@@ -122,7 +84,7 @@ class RareIndex:
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of words by text; for all words their code (-1 if no licence word), and the text of each."""
-        h, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+        h, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts], _BETWEEN)
         k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.bincount(owner, minlength=len(texts)), np.where(self.hashes[k] == h, k, -1), owner
 

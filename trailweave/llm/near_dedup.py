@@ -25,33 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix, offsets, partitions, release, stage
+from .common import PIECE, constants, mix, offsets, partitions, release, stage, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
 _PLACE = constants(SHINGLE, 47)
-_CHUNK = 1 << 20
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
-class _Digests(dict):
-    """64 bits of a cryptographic digest by word, so that no words collide by construction."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_digests = _Digests()
-
-
 def words_of(text: str | None) -> Iterator[list[bytes]]:
     """The words of a text, A-Z lower-cased and split at ASCII white space, piece by piece."""
     raw, lo = (text or "").encode("utf-8", "surrogatepass"), 0
     while lo < len(raw):
-        cut = _BLANK.search(raw, lo + _CHUNK) if len(raw) > lo + _CHUNK else None
+        cut = _BLANK.search(raw, lo + PIECE) if len(raw) > lo + PIECE else None
         hi = cut.start() if cut else len(raw)
         yield raw[lo:hi].lower().split()
         lo = hi
@@ -59,20 +46,22 @@ def words_of(text: str | None) -> Iterator[list[bytes]]:
 
 def shingle_sets(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]]:
     """Sorted distinct 64-bit hashes of each text's shingles (fewer words than SHINGLE give one shingle, none an empty set), and a cryptographic digest of its words."""
-    sets, digests = [], []
+    if not texts:
+        return [], []
+    digests = []
     for text in texts:
-        parts, sha = [np.zeros(0, np.uint64)], hashlib.sha256()
-        for words in words_of(text):
-            sha.update(b" ".join(words) + b" ")
-            parts.append(np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words)))
-        w = np.concatenate(parts)
-        k = min(len(w), SHINGLE)
-        total = np.full(len(w) - k + 1 if k else 0, k, np.uint64)
-        for j in range(k):
-            total += w[j : j + len(total)] * _PLACE[j]
-        sets.append(np.unique(mix(total)))
+        sha = hashlib.sha256()
+        for part in words_of(text):
+            sha.update(b" ".join([*part, b""]))
         digests.append(sha.digest()[:16])
-    return sets, digests
+    words, owner = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts], _SPACE)
+    n = np.bincount(owner, minlength=len(texts))
+    total = np.full(max(len(words) - SHINGLE + 1, 0), SHINGLE, np.uint64)
+    for j in range(SHINGLE):
+        total += words[j : j + len(total)] * _PLACE[j]
+    total = mix(total)
+    short = lambda w: mix((w * _PLACE[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w)))
+    return [np.unique(total[e - k : e - SHINGLE + 1]) if k >= SHINGLE else short(words[e - k : e]) if k else np.zeros(0, np.uint64) for e, k in zip(np.cumsum(n), n, strict=True)], digests
 
 
 def _sketch(collections: int, width: int):
@@ -235,6 +224,12 @@ def enough_collections(similarity: float, width: int, missed: float = 2e-5) -> i
     return next(m for m in range(2, 1 << 16) if (1 - p) ** m + m * p * (1 - p) ** (m - 1) < missed)
 
 
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """A join with some rows by family: the members of a large family are dealt over `salts` tasks."""
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("node"), F.lit(salts))).join(spread, [*keys, "salt"], how).drop("salt")
+
+
 def _split_families(families: DataFrame, sizes: DataFrame, block: int, weight: int) -> tuple[DataFrame, DataFrame]:
     """(id, g): the groups in which links are looked for first; (node, component): the members of families that need more than one.
 
@@ -245,7 +240,8 @@ def _split_families(families: DataFrame, sizes: DataFrame, block: int, weight: i
     total = stage(sized.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")), "family-sizes")
     small = (F.col("docs") <= 2 * block) & (F.col("shingles") <= 2 * weight)
     blocks = F.when(small, 1).otherwise(F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / weight), F.lit(2)))
-    dealt = families.join(total, "component").select("node", "component", blocks.cast("int").alias("blocks"))
+    split = total.select("component", blocks.cast("int").alias("blocks")).where("blocks > 1")
+    dealt = _salted(families, split, ["component"], "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     large = dealt.where("blocks > 1")
     least = large.groupBy("component", "blocks", F.pmod(F.hash("node"), F.lit(4))).agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("node")).select("node", "component", "blocks")
     centers = least.union(large.where("node = component").select("node", "component", "blocks"))
@@ -271,12 +267,13 @@ def _split_rest(open_: DataFrame, block: int, weight: int) -> DataFrame:
     a, b = units.toDF("component", "ua", "na"), units.toDF("component", "ub", "nb")
     pairs = a.join(b, "component").where("ua < ub or (ua = ub and not ua.big)")
     pairs = stage(pairs, "unit-pairs")
-    node = open_.join(dealt, ["component", "part"]).select("component", F.col("node").alias("id"), "unit", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("p"))
+    one = open_.join(dealt.where("not unit.big"), ["component", "part"])
+    node = one.unionByName(_salted(open_, dealt.where("unit.big"), ["component", "part"])).select("component", "node", "unit", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("p"))
 
     def side(own: str, others: str, p: str, q: str) -> DataFrame:
-        met = node.join(pairs.withColumnRenamed(own, "unit"), ["component", "unit"])
+        met = _salted(node, pairs.withColumnRenamed(own, "unit"), ["component", "unit"])
         ua, ub = ("unit", "ub") if own == "ua" else ("ua", "unit")
-        return met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("id", F.xxhash64("component", ua, ub, p, q).alias("g"))
+        return met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(F.col("node").alias("id"), F.xxhash64("component", ua, ub, p, q).alias("g"))
 
     return side("ua", "nb", "p", "o").union(side("ub", "na", "o", "p")).distinct()
 
@@ -331,7 +328,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stage(connected_components(links), "components")
     parts = large.join(found.toDF("node", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     several = parts.groupBy("component").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("component")
-    open_ = stage(parts.join(several, "component").join(sizes, "node").select("node", "component", "part", "n"), "open-families")
+    open_ = stage(_salted(parts, several, ["component"]).join(sizes, "node").select("node", "component", "part", "n"), "open-families")
     if not open_.isEmpty():
         found = stage(connected_components(links.union(verified(_split_rest(open_, block, weight)))), "components")
 
