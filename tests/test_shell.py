@@ -73,6 +73,41 @@ def test_directories_are_carried_forward():
     assert [(e["cwd"], e["paths"]) for e in shell.events(messages)][1] == ("/app/src", ["/app/src/a.py"])
 
 
+@pytest.mark.parametrize(
+    ("texts", "want"),
+    [
+        (["Working Directory: /app/x."], "/app/x"),
+        (["working directory\n`/a` then Working Directory /b/../c,"], "/c"),
+        (["nothing", "Working Directory: /late"], "/late"),
+        (["root@box:/prompt# "], "/"),
+        ([None], "/"),
+    ],
+)
+def test_the_first_directory_is_the_task_prompts(texts, want):
+    assert shell.first_cwd([{"role": "user", "content": t} for t in texts]) == want
+    assert shell.first_cwd([{"role": "assistant", "content": "Working Directory: /no"}]) == "/"
+
+
+@pytest.mark.parametrize(
+    ("keys", "want"),
+    [
+        ("cat <<EOF \\\nx\nEOF\nmore\nls", ["cat <<EOF \\", "ls"]),  # what continues the line comes after the document
+        ("echo \"a\\\"b\nc\"\nls", ['echo "a\\"b', "ls"]),
+        ("cat <<EOF\nnever closed", ["cat <<EOF"]),
+        ("echo it\\'s\nls", ["echo it\\'s", "ls"]),
+        ("cat > 'a <<EOF\n'\nls", ["cat > 'a <<EOF", "ls"]),
+        ("", []),
+    ],
+)
+def test_quotes_and_documents(keys, want):
+    assert shell.split_keystrokes(keys) == want
+
+
+def test_kinds(spark):
+    got = made(spark, [("user", P), ("assistant", turn("ls -l > out\n", "echo a > b\n", "rm x\n", "pytest\n")), ("user", f"{P}ls -l > out\n{P}echo a > b\n{P}rm x\n{P}pytest\n")]).first()
+    assert [e.kind for e in got.events] == ["observation", "action", "action", "other"]
+
+
 def made(spark, messages):
     df = spark.createDataFrame([("A", "t", messages)], "teacher string, task string, messages array<struct<role:string,content:string>>")
     return shell.with_events(df)

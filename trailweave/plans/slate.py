@@ -7,12 +7,12 @@ rounded in the results only, never where ties are decided.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import shell
 from ..functions import text as T
 from ..operators import bootstrap, literature, overlap, pool, profiles, scores, selection, sequences, tokens
 from ..sources.readers import guard
@@ -383,8 +383,8 @@ def url_refs(spark, sf_dir):
 
 def _scrub_sql() -> str:
     out = "text"
-    for pattern, by in T.SCRUB:
-        to = by.replace("$1", "\\1")
+    for pattern, by in (*T.SCRUB, *T.LISTED):  # documents hold no installations, whose rule needs \\G
+        to = re.sub(r"\$(\d)", r"\\\1", by)
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return f"SELECT doc_id, {out} AS text FROM documents WHERE text IS NOT NULL"
 
@@ -543,41 +543,6 @@ def rank_surprisal(spark, sf_dir):
     return rounded(tokens.rank_surprisal(token_rows(spark, sf_dir)), "score").withColumn("den", F.round("den", 4))
 
 
-def authored(spark):
-    """A few small trajectories, since the tables hold no shell turns."""
-    say = lambda role, content: (role, content)
-    turn = lambda *keys: '{"analysis":"","plan":"","commands":[' + ",".join('{"keystrokes":"%s\\n","duration":1}' % k for k in keys) + "]}"  # noqa: E731, UP031
-    p = "root@box:/app# "
-    rows = [
-        ("A", "t1", [say("user", f"Task\n{p}"), say("assistant", turn("cat a.py", "sed -i s/x/y/ a.py")), say("user", f"{p}cat a.py\nx\n{p}sed -i s/x/y/ a.py\n{p}"), say("assistant", turn("pytest")), say("user", f"{p}pytest\n1 failed\n{p}"), say("assistant", turn("pytest -q")), say("user", f"{p}pytest -q\nERROR\n{p}")]),
-        ("B", "t1", [say("user", f"Task\n{p}"), say("assistant", "thinking</think>" + turn("touch new.txt")), say("user", f"{p}touch new.txt\n{p}"), say("assistant", "no json"), say("user", p)]),
-        ("B", "t2", [say("user", f"Task\n{p}"), say("assistant", turn("ls src", "echo hi > src/out")), say("user", f"{p}ls src\nb.py\n{p}echo hi > src/out\n{p}")]),
-    ]
-    return spark.createDataFrame(rows, "teacher string, task string, messages array<struct<role:string,content:string>>")
-
-
-@query()
-def shell_segments(spark, sf_dir):
-    e = shell.with_events(authored(spark)).select("teacher", "task", F.explode("events").alias("e"))
-    return e.select("teacher", "task", "e.turn", "e.pos", "e.line", "e.word", F.array_join("e.paths", ",").alias("paths"), "e.cwd", "e.kind", "e.output")
-
-
-@query()
-def tor_views(spark, sf_dir):
-    g = shell.grounding(shell.with_events(authored(spark)))
-    return g.drop("messages", "events", "egs_post", "egs_loop")
-
-
-@query()
-def egs(spark, sf_dir):
-    return shell.grounding(shell.with_events(authored(spark))).select("teacher", "task", "egs_post", "egs_loop")
-
-
-@query()
-def error_retry_traj(spark, sf_dir):
-    return shell.error_retry(shell.with_events(authored(spark))).drop("messages", "events")
-
-
 @query("SELECT event_id, value FROM events WHERE value IS NOT NULL")
 def guarded_scan(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value").where("value is not null")
@@ -732,21 +697,3 @@ def run_counts(spark, sf_dir):
 @query()
 def projected_vectors(spark, sf_dir):
     return tokens.projected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16, 42)
-
-
-@query()
-def trajectory_length(spark, sf_dir):
-    return shell.trajectory_length(authored(spark)).drop("messages")
-
-
-@query()
-def turn_audit(spark, sf_dir):
-    return shell.with_audit(authored(spark)).select("teacher", "task", "audit.*")
-
-
-@query()
-def student_segments(spark, sf_dir):
-    p = "root@box:/app# "
-    turn = '{"commands":[{"keystrokes":"%s\\n"}]}'
-    rows = [("a", 1, p, turn % "ls"), ("a", 2, f"{p}ls\nb.py\n", "no json"), ("a", 3, "Parsing error: send JSON", turn % "cat b.py"), ("a", 10, f"{p}cat b.py\nx\n", None), ("b", 1, p, "{")]
-    return shell.student_segments(spark.createDataFrame(rows, "trial string, episode int, prompt string, response string"))
