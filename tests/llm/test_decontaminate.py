@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.conftest import ROOT
 from tests.llm.helpers import AWKWARD, documents, prose, with_clashes
 from trailweave.llm import queries
 from trailweave.llm.decontaminate import PieceIndex, decontaminate, match_items, myers, normal
@@ -81,6 +84,50 @@ def test_hits(spark, case, block_chars):
     assert sorted((repr((g.doc_id, g.text)) for g in left)) == sorted(repr((i, t)) for i, t in rows if not want[i, t])
 
 
+def test_long_texts():
+    """A text of a megabyte, against one distance over the whole of it for every item."""
+    r = random.Random(12)
+    items = [(k, normal(prose(r, 40))) for k in range(5)]
+    text = prose(r, 60_000)
+    for k, edits in ((0, 0), (1, 5), (2, len(items[2][1]) // 10), (3, len(items[3][1]) // 3)):
+        at = r.randrange(len(text))
+        text = text[:at] + changed(r, items[k][1], edits) + text[at:]
+    text = normal(text * 4)
+    assert len(text) > 1_000_000
+    got = PieceIndex(items, 0.1).find(text)
+    want = set()
+    for k, item in items:
+        masks = {}
+        for i, c in enumerate(item):
+            masks[c] = masks.get(c, 0) | 1 << i
+        if myers(masks, len(item), text) <= len(item) // 10:
+            want.add(k)
+    assert set(got) == want >= {0, 1, 2}
+
+
+def test_an_index_takes_a_bounded_memory_for_each_character():
+    code = """
+import random, resource
+from trailweave.llm.decontaminate import PieceIndex
+r = random.Random(1)
+items = [(k, "".join(r.choice("abcdefghij ") for _ in range(250))) for k in range(4000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = PieceIndex(items, 0.1)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / sum(len(t) for _, t in items))
+"""
+    per_character = float(subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout)
+    assert per_character < 260
+
+
+def test_blocks_are_passes_of_their_own(spark, case):
+    """With several blocks no pass holds more than one index."""
+    rows, items = case
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = match_items(documents(spark, rows), table, block_chars=300)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == [*documents(spark, rows).columns, "hits"]
+
+
 def test_empty_tables(spark):
     docs, items = documents(spark, [(1, "x")]), spark.createDataFrame([], "item_id long, text string")
     assert match_items(docs, items).first().hits == []

@@ -83,6 +83,35 @@ def test_awkward_texts_and_und(spark):
     assert identify(documents(spark, []), model).collect() == []
 
 
+def test_letters_beyond_the_third_plane(spark):
+    """U+30000 and U+31350 are letters, U+E0100 is a mark."""
+    ext = "".join(chr(0x30000 + i % 40) for i in range(60))
+    model = CharModels(TRAIN | {"zz": [ext]})
+    rows = [(1, ext[5:30]), (2, "\U00031350"), (3, "\U000e0100"), (4, "banana")]
+    assert {g.id: g.lang_pred for g in identify(documents(spark, rows), model).collect()} == {1: "zz", 2: model.predict(["\U00031350"])["lang"][0], 3: "und", 4: "aa"}
+    assert model.predict(["\U00031350"])["lang"][0] != "und"
+
+
+def test_very_many_languages():
+    """Each of 300 languages keeps a model, and the tables are as large as the texts and not times the languages."""
+    r = np.random.default_rng(5)
+    alphabets = [[chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(300)]
+    texts = {f"l{k:03}": ["".join(r.choice(a, 200)) for _ in range(8)] for k, a in enumerate(alphabets)}
+    model = CharModels(texts)
+    assert len(model.languages) == 300
+    assert sum(x.value.size for x in (*model.grams, *model.contexts)) <= 2 * ORDER * sum(len(t) for ts in texts.values() for t in ts)
+    probes = ["".join(r.choice(a, 300)) for a in alphabets]
+    assert (model.predict(probes)["lang"] == model.languages).mean() > 0.95
+
+
+def test_a_rare_language_of_long_texts_is_learnt(spark):
+    rows = [(i, "banana bandana ananas " * 3, "aa") for i in range(400)] + [(1000 + i, "mississippi missing sip " * 9000, "bb") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(df)
+    assert model.languages == ["aa", "bb"]
+    assert model.predict(["missing mississippi"])["lang"][0] == "bb"
+
+
 def test_nothing_to_learn_from(spark):
     empty = documents(spark, [])
     assert [g.lang_pred for g in identify(documents(spark, [(1, "abc")]), learn(empty)).collect()] == ["und"]

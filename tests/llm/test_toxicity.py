@@ -46,6 +46,12 @@ def test_features_are_maxima_of_convolutions(model):
     assert len(want) == FILTERS * len(WIDTHS)
 
 
+def test_letters_beyond_the_third_plane_make_words():
+    ids, owner = next(words_of(["\U00030000\U00031350 x", "\U00031350"]))
+    assert owner.tolist() == [0, 0, 1]
+    assert len({tuple(x) for x in ids.tolist()}) == 3
+
+
 def test_neighbours_in_a_batch_do_not_leak(model, sample):
     texts = [*sample[0][:7], "", "vile", "scum " * 500]
     assert model.score(texts) == pytest.approx([model.score([t])[0] for t in texts], abs=1e-5)

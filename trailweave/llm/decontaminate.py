@@ -11,14 +11,18 @@ each node stays within its budget, which the same pigeonhole argument allows.
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -34,11 +38,11 @@ class _Node:
 
 def _grow(text: str, lo: int, hi: int, budget: int, parent: _Node | None, item: int, leaves: list[_Node]) -> None:
     node = _Node(lo, hi, budget, parent, item)
-    for i, c in enumerate(text[lo:hi]):
-        node.masks[c] = node.masks.get(c, 0) | 1 << i
-    if budget == 0:
+    if budget == 0:  # a leaf is looked up, no distance to it is worked out
         leaves.append(node)
         return
+    for i, c in enumerate(text[lo:hi]):
+        node.masks[c] = node.masks.get(c, 0) | 1 << i
     left = (budget - 1) // 2
     mid = lo + (hi - lo) * (left + 1) // (budget + 1)
     _grow(text, lo, mid, left, node, item, leaves)
@@ -126,36 +130,54 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator
         yield block
 
 
-def match_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", rate: float = 0.1, block_chars: int = 8_000_000) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
     """docs with a column `hits`: an array of (item, distance), sorted by item.
 
     Texts are compared in lower case with white space collapsed. An item is
     found where some stretch of the text is within floor(rate * length) edits
     of it; an item too short for one edit must occur exactly, an empty or null
-    one is never found, nor is anything in a null or empty text. Items are sent
-    to the executors in blocks of at most `block_chars` characters, so a large
-    benchmark takes more passes and no more memory. All columns of docs stay,
-    as do repeated rows; a column `hits` of docs is replaced. An empty table
-    gives an empty result, without items every array is empty.
+    one is never found, nor is anything in a null or empty text. All columns of
+    docs stay, as do repeated rows; a column `hits` of docs is replaced. An
+    empty table gives an empty result, without items every array is empty.
+
+    Items are sent to the executors in blocks of at most `block_chars`
+    characters, of which a worker holds one at a time, about 200 bytes a
+    character. One block is a narrow pass over docs. For more, docs are written
+    once with numbered rows; each block is a pass over the texts that writes
+    its hits alone, and the hits are joined to the rows in the end.
     """
-    out = docs.withColumn("hits", F.array().cast("array<struct<item:long,distance:int>>"))
-    schema, columns = out.schema, out.columns
     spark = docs.sparkSession
-    for block in _blocks(items, item_id, item_text, block_chars):
-        sent, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _indexes:  # one index is kept by each worker
-                _indexes.clear()
-                _indexes[key] = PieceIndex(sent.value, rate)
-            index = _indexes[key]
-            for b in batches:
-                texts, before = b.column(columns.index(text_col)).to_pylist(), b.column(columns.index("hits"))
-                hits = [x + [{"item": k, "distance": d} for k, d in index.find(normal(t)).items()] for t, x in zip(texts, before.to_pylist(), strict=True)]
-                yield b.set_column(columns.index("hits"), "hits", pa.array(hits, before.type))
-
-        out = out.mapInArrow(run, schema)
-    return out.withColumn("hits", F.array_sort("hits"))
+    kind = "array<struct<item:long,distance:int>>"
+    blocks = _blocks(items, item_id, item_text, block_chars)
+    block, following = next(blocks, None), next(blocks, None)
+    if following is None:
+        out = docs.withColumn("hits", F.array().cast(kind))
+        return out if block is None else out.mapInArrow(_matched(spark.sparkContext.broadcast(block), rate, out.columns.index(text_col), out.columns.index("hits")), out.schema)
+    row = f"row_{uuid.uuid4().hex}"
+    base = stage(docs.drop("hits").withColumn(row, F.monotonically_increasing_id()), "numbered")
+    narrow = base.select(row, text_col, F.array().cast(kind).alias("hits"))
+    found = []
+    for some in chain((block, following), blocks):
+        made = narrow.mapInArrow(_matched(spark.sparkContext.broadcast(some), rate, 1, 2), narrow.schema).where(F.size("hits") > 0)
+        found.append(stage(made.select(row, "hits"), "hits"))
+    hits = functools.reduce(DataFrame.union, found).groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # of one row, so no more than there are items
+    return base.join(hits, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind))).select(*docs.withColumn("hits", F.lit(0)).columns)
+
+
+def _matched(sent: Any, rate: float, text_at: int, hits_at: int) -> Callable:
+    """Fills the column of hits from the items of a block."""
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _indexes:  # one index is kept by each worker
+            _indexes.clear()
+            _indexes[key] = PieceIndex(sent.value, rate)
+        index = _indexes[key]
+        for b in batches:
+            hits = [[{"item": k, "distance": d} for k, d in sorted(index.find(normal(t)).items())] for t in b.column(text_at).to_pylist()]
+            yield b.set_column(hits_at, "hits", pa.array(hits, b.column(hits_at).type))
+
+    return run
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options: Any) -> DataFrame:

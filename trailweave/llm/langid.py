@@ -1,10 +1,10 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model of order 4 per language. The n-grams that any language has seen are
-kept once per order as a sorted array of 64-bit hashes with a row of log
-probabilities, a value for each language, worked out in full (interpolation
-included); contexts likewise with their back-off weights. Scoring is then one
-lookup per character, with back-off for the few that no language knows. The
+kept once per order as a sorted array of 64-bit hashes, each with the log
+probabilities (interpolation included) of the languages that have seen it;
+contexts likewise with their back-off weights. Each distinct n-gram of a piece
+of text is looked up once, from the shortest order on. The
 language of the lowest cross-entropy per character wins; a cross-entropy
 beyond what held-back training texts of that language show is rejected.
 """
@@ -30,12 +30,9 @@ _C = constants(ORDER, 11)
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its symbol (letters and marks stand for themselves, all else for a space), and whether it is a letter."""
-    kinds = [unicodedata.category(chr(i))[0] if not 0xD800 <= i < 0xE000 else "C" for i in range(0x30000)]
-    symbol, letter = np.full(0x110000, SPACE, np.uint32), np.zeros(0x110000, bool)
-    inside = np.array([k in "LM" for k in kinds])
-    symbol[:0x30000][inside] = np.flatnonzero(inside)
-    letter[:0x30000] = [k == "L" for k in kinds]
-    return symbol, letter
+    kinds = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), "S1")
+    letter = kinds == b"L"
+    return np.where(letter | (kinds == b"M"), np.arange(0x110000), SPACE).astype(np.uint32), letter
 
 
 def _symbols(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,70 +98,97 @@ class SortedHashes:
         return out
 
 
+class Sparse:
+    """For each hash of a sorted array, values of the languages that have one."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+        lang = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.lexsort((lang, flat))
+        distinct, first = np.unique(flat[order], return_index=True)
+        self.hashes = SortedHashes(distinct)
+        self.ends = np.append(first, len(flat))
+        self.lang = lang[order].astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *values])[order].astype(np.float32)
+
+    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row in h, language and value of every entry."""
+        k = self.hashes.find(h)
+        rows = np.flatnonzero(k >= 0)
+        lo = self.ends[k[rows]]
+        n = self.ends[k[rows] + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.lang[at], self.value[at]
+
+
 class CharModels:
-    """Interpolated Kneser-Ney models of all languages over common arrays."""
+    """Interpolated Kneser-Ney models of all languages over common arrays.
+
+    Each n-gram and context has values for the languages that have seen it and
+    no others, so the size is that of the texts, however many languages.
+    """
 
     def __init__(self, texts: dict[str, list[str]], discount: float = 0.75, alphabet: int = 1 << 16):
         self.languages = sorted(texts)
-        size = len(self.languages)
-        grams: list[list[dict[str, np.ndarray]]] = []
-        for lang in self.languages:
-            pieces = list(_symbols(texts[lang]))
-            s = np.concatenate([x for x, _, _ in pieces])
-            own = np.flatnonzero(np.concatenate([o for _, o, _ in pieces]) >= 0)
-            h = _hashes(s)
-            orders = []
-            for n in range(ORDER, 0, -1):
-                _, at, count = np.unique(h[n][own], return_index=True, return_counts=True)
-                at = own = own[at]  # each distinct n-gram counts once for the n-gram within it
-                orders.append({"gram": h[n][at], "inner": h[n - 1][at], "context": h[n - 1][at - 1], "count": count.astype(float)})
-            grams.append(orders[::-1])
-        self.grams, self.contexts, self.logp, self.logb = [], [], [], []
-        lower = np.full((1, size), 1 / alphabet)
+        own = [self._one(texts[lang], discount, alphabet) for lang in self.languages]
+        self.grams = [Sparse([m[n][0] for m in own], [m[n][1] for m in own]) for n in range(ORDER)]
+        self.contexts = [Sparse([m[n][2] for m in own], [m[n][3] for m in own]) for n in range(ORDER)]
+        self.base = np.full(len(own), -np.log(alphabet), np.float32)
+        self.limits, self.sharpness = np.full(len(own), np.inf), 10.0
+
+    @staticmethod
+    def _one(texts: list[str], discount: float, alphabet: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: a language's n-grams with their log probabilities, and its contexts with the logs of their back-off weights."""
+        pieces = list(_symbols(texts))
+        s = np.concatenate([x for x, _, _ in pieces])
+        own = np.flatnonzero(np.concatenate([o for _, o, _ in pieces]) >= 0)
+        h = _hashes(s)
+        counted = []
+        for n in range(ORDER, 0, -1):
+            _, at, count = np.unique(h[n][own], return_index=True, return_counts=True)
+            at = own = own[at]  # each distinct n-gram counts once for the n-gram within it
+            counted.append((h[n][at], h[n - 1][at], h[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64), count))
+        out, keys, lower = [], np.zeros(1, np.uint64), np.full(1, 1 / alphabet)
+        for n, (gram, inner, context, count) in enumerate(reversed(counted)):
+            contexts, c = np.unique(context, return_inverse=True)
+            total, kinds = np.bincount(c, count, len(contexts)), np.bincount(c, minlength=len(contexts))
+            back = discount * kinds / total
+            lower = np.maximum(count - discount, 0) / total[c] + back[c] * lower[np.searchsorted(keys, inner) if n else np.zeros(len(gram), np.int64)]
+            keys = gram
+            out.append((gram, np.log(lower), contexts, np.log(back)))
+        return out
+
+    def _logp(self, h: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Log probabilities of the symbols at `at` by language: from the shortest n-gram on, each order backs off or replaces."""
+        out = np.tile(self.base, (len(at), 1))
         for n in range(ORDER):
-            keys = np.unique(np.concatenate([g[n]["gram"] for g in grams])) if size else np.zeros(0, np.uint64)
-            contexts = np.unique(np.concatenate([g[n]["context"] for g in grams])) if size and n else np.zeros(1, np.uint64)
-            p, back = np.zeros((len(keys), size)), np.ones((len(contexts), size))
-            inner, context = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            for k, g in enumerate(grams):
-                at = np.searchsorted(keys, g[n]["gram"])
-                c = np.searchsorted(contexts, g[n]["context"]) if n else np.zeros(len(at), np.int64)
-                inner[at] = np.searchsorted(self.grams[-1].keys, g[n]["inner"]) if n else 0
-                context[at] = c
-                total, kinds = np.bincount(c, g[n]["count"], len(contexts)), np.bincount(c, minlength=len(contexts))
-                p[at, k] = np.maximum(g[n]["count"] - discount, 0) / total[c]
-                back[:, k] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1)
-            lower = p + back[context] * lower[inner]
-            self.grams.append(SortedHashes(keys))
-            self.contexts.append(SortedHashes(contexts))
-            self.logp.append(np.log(lower).astype(np.float32))
-            self.logb.append(np.log(np.maximum(back, 1e-12)).astype(np.float32))
-        self.base = np.full(size, -np.log(alphabet), np.float32)
-        self.limits, self.sharpness = np.full(size, np.inf), 10.0
-
-    def _logp(self, h: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
-        if n == 0:
-            return np.tile(self.base, (len(at), 1))
-        k = self.grams[n - 1].find(h[n][at])
-        out = self.logp[n - 1][k]
-        if len(lost := np.flatnonzero(k < 0)):
-            c = self.contexts[n - 1].find(h[n - 1][at[lost] - 1]) if n > 1 else np.zeros(len(lost), np.int64)
-            back = np.where(c[:, None] < 0, np.float32(0), self.logb[n - 1][c])
-            out[lost] = back + self._logp(h, at[lost], n - 1)
+            row, lang, back = self.contexts[n].entries(h[n][at - 1] if n else np.zeros(len(at), np.uint64))
+            out[row, lang] += back
+            row, lang, p = self.grams[n].entries(h[n + 1][at])
+            out[row, lang] = p
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character by text and language, and whether each text has a letter."""
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         lettered = np.zeros(len(texts), bool)
+        wide = max(1, (1 << 22) // max(len(self.languages), 1))  # rows at a time, so that there are about as many values at most
         for s, owner, has in _symbols(texts):
             lettered |= has
             at = np.flatnonzero(owner >= 0)
-            if len(at):
-                p, who = self._logp(_hashes(s), at, ORDER), owner[at]
-                cuts = np.flatnonzero(np.concatenate(([True], np.diff(who) != 0)))
-                np.add.at(total, who[cuts], np.add.reduceat(p, cuts, axis=0, dtype=np.float64))
-                np.add.at(count, who[cuts], np.diff(np.append(cuts, len(who))))
+            if not len(at):
+                continue
+            h, who = _hashes(s), owner[at]
+            # Each distinct n-gram is looked up once, and counts for a text as often as it occurs there.
+            distinct, first, place = np.unique(h[ORDER][at], return_index=True, return_inverse=True)
+            np.add.at(count, who, 1)
+            for lo in range(0, len(distinct), wide):
+                p = self._logp(h, at[first[lo : lo + wide]])
+                here = np.flatnonzero((place >= lo) & (place < lo + wide)) if len(distinct) > wide else np.arange(len(at))
+                for low in range(0, len(here), wide):
+                    some = here[low : low + wide]
+                    cuts = np.flatnonzero(np.diff(who[some], prepend=-1))
+                    np.add.at(total, who[some][cuts], np.add.reduceat(p[place[some] - lo], cuts, axis=0, dtype=np.float64))
         return -total / np.maximum(count, 1)[:, None], lettered
 
     def calibrate(self, texts: list[str], langs: list[str], quantile: float = 0.999) -> None:
@@ -190,25 +214,31 @@ class CharModels:
         return {"lang": np.where(lettered, np.array(self.languages, object)[best], "und"), "score": np.where(lettered, score, 0.0), "entropy": np.where(lettered, least, 0.0), "rejected": ~lettered | (least > self.limits[best])}
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, chars: int = 1_000_000, languages: int = 200, longest: int = 100_000) -> CharModels:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, chars: int = 1_000_000, total: int = 6_000_000, longest: int = 100_000) -> CharModels:
     """Models from a bounded sample of labelled rows.
 
-    Of each of the `languages` most frequent labels about `per_language` texts
-    of at most `longest` characters are taken by the hash of their id, up to
-    `chars` characters in all, and no more than about that is collected; every
-    fifth is held back for calibration.
+    Of every label about `per_language` texts are taken by the hash of their
+    id (at least about 20, or all there are), of each its first `longest`
+    characters or a tenth of `chars`, up to `chars` characters in all or, with
+    very many labels, an equal share of `total`; no more than about that, twice
+    for rare labels, is collected, besides a row for each label. Every fifth
+    text is held back for calibration.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= longest))
-    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("size")).orderBy(F.desc("n"), lang_col).limit(languages)
-    counts = {r[lang_col]: min(1.0, per_language / r["n"], 1.25 * chars / r["size"]) for r in sizes.collect()}
-    if not counts:
+    piece = F.substring(text_col, 1, longest)
+    rows = labelled.where(F.col(lang_col).isNotNull() & piece.rlike(r"\p{L}"))
+    sizes = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(piece)).alias("size")).collect()
+    if not sizes:
         return CharModels({})
-    share = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))[F.col(lang_col)]
+    chars = min(chars, max(total // len(sizes), 1000))
+    piece = F.substring(text_col, 1, min(longest, chars // 10))
+    shares = [(r[lang_col], min(1.0, max(20.0, min(float(per_language), 1.25 * chars * r["n"] / r["size"])) / r["n"])) for r in sizes]
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / (1 << 30)
-    sample = sorted((r.place, r.lang, r.text) for r in rows.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), share.alias("share")).where("place < share").collect())
+    share = labelled.sparkSession.createDataFrame(shares, "label string, share double")
+    drawn = rows.select(place.alias("place"), F.col(lang_col).alias("lang"), piece.alias("text")).join(F.broadcast(share), F.col("lang") == F.col("label")).where("place < share")
+    sample = sorted((r.place, r.lang, r.text) for r in drawn.select("place", "lang", "text").collect())
     counted: dict[str, list[str]] = {}
     back: list[tuple[str, str]] = []
-    used = dict.fromkeys(counts, 0)
+    used = dict.fromkeys((x for x, _ in shares), 0)
     for i, (_, lang, text) in enumerate(sample):
         if used[lang] < chars:
             used[lang] += len(text)

@@ -36,9 +36,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def _word_chars() -> np.ndarray:
-    out = np.zeros(0x110000, bool)
-    out[:0x30000] = [not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i))[0] in "LMN" for i in range(0x30000)]
-    return out
+    kinds = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), "S1")
+    return np.isin(kinds, [b"L", b"M", b"N"])
 
 
 def words_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
