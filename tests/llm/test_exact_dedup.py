@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, documents, prose, with_clashes
 from trailweave.llm import queries
-from trailweave.llm.exact_dedup import content_sort_dedup
+from trailweave.llm.exact_dedup import content_sort_dedup, drop_repeats
 
 
 def brute(rows, best):
@@ -62,3 +62,28 @@ def test_an_empty_table(spark):
 
 def test_query_matches_sql(spark, sf_dir, same_as_sql):
     same_as_sql(queries.op10_exact_dedup(spark, sf_dir), queries.SQL["op10_exact_dedup"])
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_rows_that_stay(spark, partitions):
+    r = random.Random(3)
+    texts = [f"{'same head ' * 8}{k % 7}" for k in range(60)] + ["hot"] * 150 + [str(r.random()) for _ in range(30)] + ["", None, "", "x" * 5000, "x" * 5000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "hot"), (None, "only here"), (None, "only here"), (3, texts[3])]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        docs = with_clashes(documents(spark, rows))
+        made = drop_repeats(docs)
+        got = made.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert made.columns == docs.columns
+    least = {}
+    for i, t in rows:
+        least[t or ""] = min(least.get(t or "", (True, 0)), (i is None, i or 0))
+    assert sorted((g.text or "", g.doc_id is None, g.doc_id or 0) for g in got) == sorted((t, *k) for t, k in least.items())
+    assert all(g.n_chars == len(g.text or "") for g in got)
+
+
+def test_no_rows_stay_of_none(spark):
+    assert drop_repeats(documents(spark, [])).collect() == []

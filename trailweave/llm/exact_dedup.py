@@ -11,6 +11,7 @@ two rows per partition.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,3 +115,60 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fix = F.broadcast(spark.createDataFrame(fixes, "pid int, edge int, size2 long, keep2 long, wins boolean"))
         runs = runs.join(fix, ["pid", "edge"], "left").withColumns({"kept": F.col("kept") & F.coalesce("wins", F.lit(True)), "keep": F.when(F.col("wins").isNull(), F.col("keep")).otherwise(F.col("keep2")), "size": F.coalesce("size2", "size")})
     return runs.select("id", "sha", "size", "keep", "kept")
+
+
+def _leaders(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows of a sorted partition whose text differs from that of the row before; the last two columns say which partition, and which of them are its first and last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, text, held, first = TaskContext.get().partitionId(), None, None, True
+
+        def marked(rows: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+            edge = np.zeros(rows.num_rows, np.int32)
+            edge[0] |= _FIRST * first
+            edge[-1] |= _LAST * last
+            n = rows.num_columns
+            return rows.set_column(n - 2, rows.schema.field(n - 2), pa.array(np.full(len(edge), pid, np.int32))).set_column(n - 1, rows.schema.field(n - 1), pa.array(edge))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = pc.fill_null(b.column(text_at), "")
+            new = np.ones(b.num_rows, bool)
+            new[0] = texts[0].as_py() != text
+            new[1:] = pc.not_equal(texts.slice(1), texts.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            text = texts[b.num_rows - 1].as_py()
+            if new.any():
+                if held is not None:
+                    yield marked(held, False)
+                    first = False
+                held = b.filter(pa.array(new))
+        if held is not None:
+            yield marked(held, True)
+
+    return run
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each text, that of the smallest id; all columns kept.
+
+    Rows are sorted whole, so texts move once. A null text counts as empty; a
+    row with a null id stays only where its text has no other, and rows that
+    repeat id and text count once. An empty table gives an empty result.
+    """
+    spark, tag = docs.sparkSession, f"_{uuid.uuid4().hex}"
+    head, sha, pid, edge = (f"{k}{tag}" for k in ("head", "sha", "pid", "edge"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    none = F.lit(0).cast("int")
+    keyed = docs.withColumns({head: F.substring(text, 1, 64), sha: F.sha2(text.cast("binary"), 256), pid: none, edge: none})
+    order = [F.col(head), F.col(sha), F.col(id_col).asc_nulls_last()]
+    dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop(head)
+    rows = stage(dealt.mapInArrow(_leaders(docs.columns.index(text_col)), dealt.schema), "leaders")
+
+    ends = sorted(rows.where(F.col(edge) > 0).select(pid, edge, sha).collect())  # at most two rows a partition
+    near = [(a[0], b[0]) for a, b in itertools.pairwise(ends) if a[0] != b[0] and a[2] == b[2]]
+    if near:
+        side = lambda which, p, t: rows.where(F.col(edge).bitwiseAND(which) > 0).select(F.col(pid).alias(p), text.alias(t))
+        again = spark.createDataFrame(near, "p int, q int").join(side(_LAST, "p", "a"), "p").join(side(_FIRST, "q", "b"), "q").where("a = b").select(F.col("q"))
+        rows = rows.join(F.broadcast(again), (F.col(pid) == F.col("q")) & (F.col(edge).bitwiseAND(_FIRST) > 0), "left_anti")
+    return rows.select(docs.columns)

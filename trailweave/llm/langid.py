@@ -181,7 +181,7 @@ class CharModels:
             h, who = _hashes(s), owner[at]
             # Each distinct n-gram is looked up once, and counts for a text as often as it occurs there.
             distinct, first, place = np.unique(h[ORDER][at], return_index=True, return_inverse=True)
-            np.add.at(count, who, 1)
+            count += np.bincount(who, minlength=len(texts))
             for lo in range(0, len(distinct), wide):
                 p = self._logp(h, at[first[lo : lo + wide]])
                 here = np.flatnonzero((place >= lo) & (place < lo + wide)) if len(distinct) > wide else np.arange(len(at))
