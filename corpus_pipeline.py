@@ -1,20 +1,19 @@
 """From raw documents to packed training sequences, in five stages.
 
-Every stage but the last returns the columns of documents. A row with a null id
-cannot be named by a decision on ids and stays in the stages 2 and 3; rows that
-repeat id and text count once from stage 2 on. Null texts count as empty, and
-an empty table runs through.
+Every stage but the last returns the columns of documents. Exact dedup keeps one
+row of each text, that of the smallest id (a null id stays only where there is
+no other); a row with a null id cannot be named by a decision on ids and stays
+in near-dedup. Null texts count as empty, and an empty table runs through.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import stage, table
 from trailweave.llm.decontaminate import decontaminate
-from trailweave.llm.exact_dedup import content_sort_dedup
+from trailweave.llm.exact_dedup import drop_repeats
 from trailweave.llm.near_dedup import minhash_dedup
 from trailweave.llm.packing import pack
 from trailweave.llm.toxicity import drop_toxic
@@ -31,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, content_sort_dedup(docs)).dropDuplicates(["doc_id", "text"])
+    return drop_repeats(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +42,8 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # read where it is used, so that a missing vocabulary takes no other query along
+
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
