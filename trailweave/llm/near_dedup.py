@@ -103,7 +103,7 @@ def _chunks(columns: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iter
             yield key, who, start, np.diff(np.append(start, len(key)))
 
 
-def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The values of documents, chunk by chunk: `met` where the chunk has a second document with it, `first` on one row of each value, the only one that has to be sent on."""
 
     def columns() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -117,7 +117,7 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(np.repeat(size > 1, size)), pa.array(first)], names=["key", "id", "met", "first"])
 
 
-def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Table keys are pairs of a document's values. Chunk by chunk: (null, a, b) links a document to the smallest one with a key of its own, (key, b, null) names that one to the other chunks."""
     left, right = constants(2, 67)
 
