@@ -8,7 +8,7 @@ import sys
 import pytest
 
 from tests.conftest import ROOT
-from trailweave.plans import slate, terminals  # noqa: F401
+from trailweave.plans import inventory, slate, terminals  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(slate.SQL))

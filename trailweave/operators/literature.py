@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import checkpointed
+from ..functions.order import checkpointed, positions
 
 
 def merge_candidates(rows: DataFrame, key: str, order: str, firsts: list[str], unions: list[str], least: list[str]) -> DataFrame:
@@ -22,18 +22,39 @@ def merge_candidates(rows: DataFrame, key: str, order: str, firsts: list[str], u
     )
 
 
-def citation_search(seeds: DataFrame, edges: DataFrame, hops: int, frontier: int | None = None) -> DataFrame:
-    """(node, hops) within a number of hops over undirected edges(a, b); a frontier may be capped by node order."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
+def citation_search(seeds: DataFrame, edges: DataFrame, hops: int, frontier: int | None = None, gate: DataFrame | None = None) -> DataFrame:
+    """(node, hops) within a number of hops over undirected edges(a, b).
+
+    From the second hop on only nodes of `gate`, where it is given, are followed
+    further, of these at most `frontier`: those that most links led to, then by
+    node. What is reached but not followed still counts as found.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     seen = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    front = seen
+    front = seen.select("node", F.lit(0).cast("long").alias("links"))
     for h in range(1, hops + 1):
-        grown = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = checkpointed((grown.orderBy("node").limit(frontier) if frontier else grown).withColumn("hops", F.lit(h)))  # each hop is worked out once
-        seen = seen.union(front)
+        if h > 1 and gate is not None:
+            front = front.join(gate.select("node"), "node", "left_semi")
+        if h > 1 and frontier:
+            front = front.orderBy(F.desc("links"), "node").limit(frontier)
+        grown = both.join(front.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("links"))
+        front = checkpointed(grown.join(seen, "node", "left_anti"))  # each hop is worked out once
+        seen = seen.union(front.select("node", F.lit(h)))
     return seen
 
 
+#: Statuses of a record in the order of an export; others come last.
+STATUSES = ("gold", "silver", "needs_review", "results_only", "reject")
+
+
+def in_status_order(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `place`, from 0, by status and then by an integer key that is their own; no task sorts all."""
+    status = F.coalesce(*(F.when(F.col("status") == s, i) for i, s in enumerate(STATUSES)), F.lit(9))
+    both = F.format_string("%d %020d", status, F.col(key))
+    placed = rows.withColumn("_order", both)
+    return placed.join(positions(placed, "_order").withColumnRenamed("idx", "place"), "_order").drop("_order")
+
+
 def rebuild_inverted(index: DataFrame, key: str = "id", inverted: str = "inverted") -> DataFrame:
     """Texts from maps of token to positions."""
     pairs = index.select(key, F.explode(inverted).alias("token", "places")).select(key, F.explode("places").alias("at"), "token")
