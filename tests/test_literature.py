@@ -20,7 +20,26 @@ def test_citation_search_by_hops(spark):
     seeds = spark.createDataFrame([(1,), (1,)], "node long")
     assert {r.node: r.hops for r in literature.citation_search(seeds, edges, 2).collect()} == {1: 0, 2: 1, 3: 2}
     wide = spark.createDataFrame([(1, n) for n in range(2, 9)], "a long, b long")
-    assert sorted(r.node for r in literature.citation_search(seeds, wide, 1, frontier=3).collect()) == [1, 2, 3, 4]
+    assert sorted(r.node for r in literature.citation_search(seeds, wide, 1, frontier=3).collect()) == list(range(1, 9))  # a cap bounds what is followed, not what is found
+
+
+def test_only_gated_nodes_are_followed_and_the_most_reached_first(spark):
+    """Seeds 1 and 2 reach 10 to 13; 12 is reached twice, 11 is not gated."""
+    edges = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 12), (2, 13), (10, 100), (11, 110), (12, 120), (13, 130), (120, 1200)], "a long, b long")
+    seeds, gate = spark.createDataFrame([(1,), (2,)], "node long"), spark.createDataFrame([(10,), (12,), (13,)], "node long")
+    found = lambda **kw: {r.node: r.hops for r in literature.citation_search(seeds, edges, **kw).collect()}
+    first = {1: 0, 2: 0, 10: 1, 11: 1, 12: 1, 13: 1}
+    assert found(hops=2, gate=gate) == first | {100: 2, 120: 2, 130: 2}
+    assert found(hops=2, gate=gate, frontier=1) == first | {120: 2}
+    assert found(hops=2, frontier=2) == first | {120: 2, 100: 2}
+    assert found(hops=3, gate=gate) == first | {100: 2, 120: 2, 130: 2}  # 120 is not gated
+
+
+def test_export_order(spark):
+    rows = [(1, "reject"), (2, "gold"), (3, None), (4, "silver"), (5, "gold"), (6, "odd"), (7, "needs_review"), (8, "results_only")]
+    got = literature.in_status_order(spark.createDataFrame(rows, "id long, status string"), "id").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == [2, 5, 4, 7, 8, 1, 3, 6]
+    assert literature.in_status_order(spark.createDataFrame([], "id long, status string"), "id").collect() == []
 
 
 def test_inverted_index_gives_the_text(spark):

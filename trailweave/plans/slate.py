@@ -230,10 +230,14 @@ JACCARD = f"""tw AS (SELECT doc_id AS train_id, string_split({NORM}, ' ') AS w F
     pairs AS (SELECT train_id, eval_id, count(*) / (any_value(a) + any_value(b) - count(*)) AS jaccard FROM tx JOIN ex USING (g) GROUP BY train_id, eval_id)"""
 
 
-@query(f"""WITH e AS (SELECT item_id, {NORM} AS k FROM benchmark), t AS (SELECT doc_id, {NORM} AS k FROM documents)
-    SELECT doc_id AS train_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS eval_ids FROM t JOIN e USING (k) GROUP BY doc_id""")
+@query(f"""WITH t AS (SELECT doc_id, {NORM} AS k FROM documents), e AS (SELECT k, min(doc_id) AS eval_id FROM t GROUP BY k HAVING count(*) > 1)
+    SELECT doc_id AS train_id, eval_id::VARCHAR AS eval_ids FROM t JOIN e USING (k) UNION ALL
+    SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) FROM t JOIN (SELECT item_id, {NORM} AS k FROM benchmark) USING (k) GROUP BY doc_id""")
 def overlap_exact(spark, sf_dir):
-    return overlap.exact_matches(*train_eval(spark, sf_dir))
+    """Documents against the first of each repeated text, with other punctuation around it, and against the benchmark, which no document equals as a whole."""
+    t, e = train_eval(spark, sf_dir)
+    first = t.groupBy(F.sha2(T.normal(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("k")).agg(F.min_by(F.concat(F.lit("... "), F.coalesce("text", F.lit("")), F.lit(" ?!")), "train_id").alias("text"), F.min("train_id").alias("eval_id"), F.count("*").alias("n"))
+    return overlap.exact_matches(t, first.where("n > 1").select("eval_id", "text")).union(overlap.exact_matches(t, e))
 
 
 @query(f"WITH {JACCARD} SELECT train_id, eval_id, round(jaccard, 6) AS jaccard FROM pairs ORDER BY pairs.jaccard DESC, train_id, eval_id LIMIT 20")
@@ -487,19 +491,23 @@ def token_matched_select(spark, sf_dir):
     return _assignment(spark, selection.matched(u, n, quota, total))
 
 
-@query("""WITH k AS (SELECT crc32(substr(coalesce(text, ''), 1, 12)) AS key, doc_id, lang, source FROM documents)
-    SELECT key, first(lang ORDER BY doc_id) AS lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(doc_id) AS hops FROM k GROUP BY key""".replace("crc32(substr(coalesce(text, ''), 1, 12))", "substr(coalesce(text, ''), 1, 12)"))
+@query("""SELECT md5(coalesce(text, '')) AS key, first(lang ORDER BY doc_id) FILTER (WHERE lang <> '') AS lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, min(doc_id) AS hops FROM documents GROUP BY md5(coalesce(text, ''))""")
 def candidate_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.substring(F.coalesce("text", F.lit("")), 1, 12).alias("key"), "doc_id", "lang", "source", F.col("doc_id").alias("hops"))
+    """Documents of one text as one candidate."""
+    d = table(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "doc_id", "lang", "source", F.col("doc_id").alias("hops"))
     return literature.merge_candidates(d, "key", "doc_id", ["lang"], ["source"], ["hops"]).select("key", "lang", F.array_join(F.array_sort("source"), ",").alias("sources"), "hops")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + (props->>'$.k')::BIGINT) % 1000 AS b FROM events WHERE value > 95), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    walk AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN both_ ON a = node WHERE hops < 3)
-    SELECT node, min(hops)::INTEGER AS hops FROM walk GROUP BY node""")
+@query("""WITH e AS (SELECT DISTINCT user_id AS a, 1000 + event_id % 5000 AS b FROM events WHERE user_id IS NOT NULL), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    h1 AS (SELECT b AS a, count(*) AS n FROM both_ WHERE a = 1 AND b <> 1 GROUP BY b),
+    f1 AS (SELECT a FROM h1 WHERE a % 3 <> 0 ORDER BY n DESC, a LIMIT 12), h2 AS (SELECT b AS a, count(*) AS n FROM both_ WHERE a IN (SELECT a FROM f1) AND b <> 1 AND b NOT IN (SELECT a FROM h1) GROUP BY b),
+    f2 AS (SELECT a FROM h2 WHERE a % 3 <> 0 ORDER BY n DESC, a LIMIT 12), h3 AS (SELECT b AS a, count(*) AS n FROM both_ WHERE a IN (SELECT a FROM f2) AND b <> 1 AND b NOT IN (SELECT a FROM h1) AND b NOT IN (SELECT a FROM h2) GROUP BY b)
+    SELECT 1::BIGINT AS node, 0 AS hops UNION ALL SELECT a, 1 FROM h1 UNION ALL SELECT a, 2 FROM h2 UNION ALL SELECT a, 3 FROM h3""")
 def citation_bfs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 95").select(F.col("user_id").alias("a"), ((F.col("user_id") * 7 + F.get_json_object("props", "$.k").cast("long")) % 1000).alias("b")).distinct()
-    return literature.citation_search(spark.createDataFrame([(1,)], "node long"), e, 3)
+    """Users and what they touched as papers and citations; a gate and a frontier of 12 bound what is followed, which is the search's own feature."""
+    e = table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").alias("a"), (1000 + F.col("event_id") % 5000).alias("b")).distinct()
+    gate = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().where("node % 3 <> 0")
+    return literature.citation_search(spark.createDataFrame([(1,)], "node long"), e, 3, 12, gate)
 
 
 @query("""SELECT label_pair, count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS agreement
