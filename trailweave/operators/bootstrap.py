@@ -24,8 +24,14 @@ def hashed_draws(tasks: DataFrame, reps: int) -> DataFrame:
     return grid.select("rep", (h % F.col("n")).alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("cnt"))
 
 
+#: What the generator-bound forms may hold on the driver; the hashed ones have no such bound.
+SEEDED_MOST = 10_000_000
+
+
 def seeded_draws(spark, n: int, reps: int, seed: int) -> DataFrame:
-    """Draws of Python's generator in replicate order, for parity with seeded runs."""
+    """Draws of Python's generator in replicate order, for parity with seeded runs; more than SEEDED_MOST are refused (`hashed_draws` has no bound)."""
+    if n * reps > SEEDED_MOST:
+        raise ValueError(f"{n} x {reps} seeded draws are too many for one generator, use hashed_draws")
     r = random.Random(seed)
     rows = [(rep, i, c) for rep in range(reps) for i, c in Counter(r.randrange(n) for _ in range(n)).items()]
     return spark.createDataFrame(rows, "rep int, idx int, cnt long")
@@ -51,13 +57,28 @@ def interval(means: DataFrame) -> DataFrame:
     return s.select("teacher", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def nested_orders(scores: DataFrame, sizes: list[int], seed: int) -> DataFrame:
-    """(n, ranking) on nested prefixes of one shuffled task order; sizes beyond the pool are clamped and merged."""
-    tasks = sorted(str(r[0]) for r in scores.select("task").distinct().toLocalIterator())
+def hashed_places(scores: DataFrame) -> DataFrame:
+    """(task, at): the tasks in the order of their MD5 digests, without a single sorting task."""
+    t = scores.select(F.col("task").cast("string").alias("task")).distinct().withColumn("_h", F.md5(F.col("task").cast("binary")))
+    return t.join(positions(t, "_h"), "_h").select("task", F.col("idx").alias("at"))
+
+
+def seeded_places(scores: DataFrame, seed: int) -> DataFrame:
+    """(task, at): the tasks as Python's generator shuffles them, for parity with seeded runs; more than SEEDED_MOST are refused."""
+    tasks = [str(r[0]) for r in scores.select("task").distinct().limit(SEEDED_MOST + 1).toLocalIterator()]
+    if len(tasks) > SEEDED_MOST:
+        raise ValueError("too many tasks for one generator, use hashed_places")
+    tasks.sort()
     random.Random(seed).shuffle(tasks)
+    return scores.sparkSession.createDataFrame([(t, i) for i, t in enumerate(tasks)] or [], "task string, at int")
+
+
+def nested_orders(scores: DataFrame, sizes: list[int], seed: int = 0, places: DataFrame | None = None) -> DataFrame:
+    """(n, ranking) on nested prefixes of one task order, a seeded shuffle by default; sizes beyond the pool are clamped and merged."""
     spark = scores.sparkSession
-    place = spark.createDataFrame([(t, i) for i, t in enumerate(tasks)] or [], "task string, at int")
-    grid = spark.createDataFrame([(n,) for n in sorted({min(n, len(tasks)) for n in sizes})], "n int")
+    place = seeded_places(scores, seed) if places is None else places
+    pool = place.count()
+    grid = spark.createDataFrame([(n,) for n in sorted({min(n, pool) for n in sizes})], "n int")
     j = scores.select(F.col("task").cast("string").alias("task"), "teacher", "score").join(place, "task").join(F.broadcast(grid), F.expr("at < n"))
     means = j.groupBy("n", "teacher").agg(F.avg("score").alias("m"))
     order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), "teacher"))), lambda s: s["teacher"]), " > ")

@@ -374,7 +374,20 @@ def title_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.title(F.col("html")).alias("title"))
 
 
-@query()
+def _html_sql() -> str:
+    """The reader's result by patterns, as far as the tags and entities of the pages go."""
+    nl, out = "' || chr(10) || '", "html"
+    steps = [
+        ("(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), ("(?is)<nav>.*?</nav>", nl * 2), ("(?s)<!--.*?-->", ""), ("<[^>]*$", ""), ("(?i)<h1[^>]*>", f"{nl * 2}# "),
+        ("(?i)</?(p|div|article|h1|br|footer)(\\s[^>]*)?>", nl), ("<[^>]*>", ""), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;?", "&"),
+        ("[ \\t\\r\\f\\v]+", " "), (" ?\\| ?", " | "), ("\\n ", nl), ("\\n{3,}", nl * 2), ("^\\s+|\\s+$", ""),
+    ]
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"SELECT page_id, {out} AS text FROM pages"
+
+
+@query(_html_sql())
 def html_to_text(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
@@ -465,6 +478,18 @@ def bootstrap_seeded(spark, sf_dir):
     return bootstrap.interval(bootstrap.replicate_means(g, bootstrap.seeded_draws(spark, g.select("task").distinct().count(), 200, 42)))
 
 
+@query(f"""WITH {GRID}, idx AS (SELECT task, row_number() OVER (ORDER BY md5(task::VARCHAR)) - 1 AS place FROM (SELECT DISTINCT task FROM grid)), k AS (SELECT count(*) AS k FROM idx),
+    ns AS (SELECT DISTINCT least(n, k) AS n FROM (SELECT unnest([5, 10, 20, 50, 100, 200]) AS n), k), m AS (SELECT ns.n, teacher, avg(score) AS m FROM grid JOIN idx USING (task) JOIN ns ON place < ns.n GROUP BY ALL),
+    o AS (SELECT n, string_agg(teacher, ' > ' ORDER BY m DESC, teacher) AS ranking FROM m GROUP BY n), last_ AS (SELECT arg_max(ranking, n) AS full_ FROM o)
+    SELECT n::INTEGER AS n, ranking, (SELECT min(n)::INTEGER FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b, last_ WHERE b.n >= a.n AND b.ranking <> full_)) AS smallest_stable_n FROM o""")
+def ablation_hashed(spark, sf_dir):
+    """Nested subsets in the order of the tasks' digests, which any engine can repeat."""
+    g = grid(spark, sf_dir)
+    orders = bootstrap.nested_orders(g, [5, 10, 20, 50, 100, 200], places=bootstrap.hashed_places(g))
+    full = orders.orderBy(F.desc("n")).first()
+    return orders.join(F.broadcast(bootstrap.smallest_stable(orders, full.ranking if full else "")))
+
+
 @query()
 def ablation_nested(spark, sf_dir):
     orders = bootstrap.nested_orders(grid(spark, sf_dir), [5, 10, 20, 50, 100, 200], 42)
