@@ -121,11 +121,32 @@ def format_chats(messages: DataFrame, schemas: Mapping[str, Mapping[str, Any]])
 
 
 #: What a request must hold in the query below.
-REPLY = {"reply": {"properties": {"n_chars": {"type": "integer", "minimum": 1}, "turn": {"type": "integer", "minimum": 0}}, "required": ["n_chars", "turn"]}}
+REPLY = {"reply": {"properties": {"n_chars": {"type": "integer", "minimum": 1}, "style": {"type": "string", "enum": ["plain", "terse"]}, "turn": {"type": "integer", "minimum": 0}}, "required": ["n_chars", "turn"]}}
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Plain turns as a tool log: a user's turn asks for a reply, the assistant's next turn answers it."""
-    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    call = F.struct(F.col("turn").cast("string").alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.length("text").alias("n_chars"), "turn")).alias("arguments"))
-    return conversations.select("conv_id", "turn", "role", "text", F.when(user, F.array(call)).alias("calls"), F.when(assistant, (F.col("turn") - 1).cast("string")).alias("call_id"))
+    """Plain turns as a tool log, in which every turn of a user or an assistant calls a tool and most answer one.
+
+    An assistant's turn answers its neighbour's call, and so does every other
+    turn of a user, which makes chains of up to four links. The neighbour is the
+    turn before or, in odd conversations, the one after, so that results stand
+    before their calls there. By the text's length some calls name no known
+    tool, and some arguments are no JSON, lack a field, or have one of another
+    type, out of range or not listed.
+    """
+    n, turn, role = F.length("text"), F.col("turn"), F.col("role")
+    spoken = role.isin("user", "assistant")
+    answers = (role == "assistant") | (role == "user") & (turn % 4).isin(2, 3)
+    size, at = F.concat(F.lit('{"n_chars":'), n.cast("string")), F.concat(F.lit(',"turn":'), turn.cast("string"), F.lit("}"))
+    styled = lambda style: F.concat(size, F.lit(f',"style":"{style}"'), at)
+    arguments = (
+        F.when(n % 11 == 0, F.lit('{"n_chars":'))
+        .when(n % 11 == 1, F.concat(F.lit('{"turn":'), turn.cast("string"), F.lit("}")))
+        .when(n % 11 == 2, F.concat(F.lit('{ "n_chars": "many"'), at))
+        .when(n % 11 == 3, styled("loud"))
+        .when(n % 11 == 4, F.concat(F.lit('{"n_chars":-'), n.cast("string"), at))
+        .otherwise(styled("plain"))
+    )
+    call = F.struct(turn.cast("string").alias("id"), F.when(n % 7 == 0, "erase").otherwise("reply").alias("name"), arguments.alias("arguments"))
+    neighbour = F.when(F.col("conv_id") % 2 == 0, turn - 1).otherwise(turn + 1)
+    return conversations.select("conv_id", "turn", "role", "text", F.when(spoken, F.array(call)).alias("calls"), F.when(answers, neighbour.cast("string")).alias("call_id"))

@@ -69,23 +69,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 SQL: dict[str, str] = {
     "op3_tool_call_linking": """
-        WITH calls AS (
-            SELECT conv_id, turn::VARCHAR AS call_id, min(turn) AS call_turn
-            FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY ALL
-        ), m AS (
-            SELECT *, CASE WHEN role = 'assistant' THEN (turn - 1)::VARCHAR END AS call_id FROM conversations
+        WITH RECURSIVE m AS (
+            SELECT conv_id, turn, role, text, length(text) AS n, role IN ('user', 'assistant') AS calls,
+                   CASE WHEN role = 'assistant' OR role = 'user' AND turn % 4 IN (2, 3) THEN CASE WHEN conv_id % 2 = 0 THEN turn - 1 ELSE turn + 1 END END AS answered,
+                   CASE WHEN length(text) % 7 = 0 THEN 'erase' ELSE 'reply' END AS tool
+            FROM conversations
+        ), walk AS (
+            SELECT conv_id, turn, turn AS top, 1 AS links FROM m
+            WHERE calls AND NOT EXISTS (SELECT 1 FROM m p WHERE p.calls AND p.conv_id = m.conv_id AND p.turn = m.answered)
+            UNION ALL
+            SELECT m.conv_id, m.turn, greatest(m.turn, w.top), w.links + 1 FROM m JOIN walk w ON m.conv_id = w.conv_id AND m.answered = w.turn WHERE m.calls
+        ), held AS (
+            SELECT m.*, w.top, w.links,
+                   CASE n % 11 WHEN 0 THEN '"{\\"n_chars\\":"' WHEN 1 THEN '{"turn":' || m.turn || '}' WHEN 2 THEN '{"n_chars":"many","turn":' || m.turn || '}'
+                        WHEN 3 THEN '{"n_chars":' || n || ',"style":"loud","turn":' || m.turn || '}' WHEN 4 THEN '{"n_chars":-' || n || ',"turn":' || m.turn || '}'
+                        ELSE '{"n_chars":' || n || ',"style":"plain","turn":' || m.turn || '}' END AS arguments,
+                   CASE WHEN tool = 'erase' THEN CASE WHEN n % 11 = 0 THEN ['not JSON', 'unknown tool'] ELSE ['unknown tool'] END
+                        ELSE CASE n % 11 WHEN 0 THEN ['not JSON'] WHEN 1 THEN ['n_chars: missing'] WHEN 2 THEN ['n_chars: not integer'] WHEN 3 THEN ['style: not listed'] WHEN 4 THEN ['n_chars: under 1'] ELSE []::VARCHAR[] END END AS wrong
+            FROM m LEFT JOIN walk w ON m.conv_id = w.conv_id AND m.answered = w.turn
         )
-        SELECT m.conv_id, turn, role, m.call_id,
-               m.call_id IS NOT NULL AND call_turn IS NULL AS orphan,
-               greatest(turn, call_turn) AS anchor,
-               CASE WHEN call_turn IS NULL THEN 0 ELSE 1 END AS depth,
-               CASE WHEN role = 'user' AND length(text) < 1 THEN turn::VARCHAR || ': n_chars: under 1' ELSE '' END AS errors,
-               CASE role
-                   WHEN 'user' THEN to_json({'content': text, 'role': role, 'tool_calls': [{'arguments': {'n_chars': length(text), 'turn': turn}, 'id': turn::VARCHAR, 'name': 'reply'}], 'turn': turn})
-                   WHEN 'assistant' THEN to_json({'content': text, 'role': role, 'tool_call_id': m.call_id, 'turn': turn})
-                   ELSE to_json({'content': text, 'role': role, 'turn': turn})
-               END::VARCHAR AS json
-        FROM m LEFT JOIN calls USING (conv_id, call_id)
+        SELECT conv_id, turn, role, answered::VARCHAR AS call_id, answered IS NOT NULL AND links IS NULL AS orphan, greatest(turn, top) AS anchor, coalesce(links, 0)::INTEGER AS depth,
+               CASE WHEN calls THEN array_to_string(list_transform(wrong, lambda x: turn || ': ' || x), '; ') ELSE '' END AS errors,
+               '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"' || CASE WHEN answered IS NOT NULL THEN ',"tool_call_id":"' || answered || '"' ELSE '' END
+                   || CASE WHEN calls THEN ',"tool_calls":[{"arguments":' || arguments || ',"id":"' || turn || '","name":"' || tool || '"}]' ELSE '' END || ',"turn":' || turn || '}' AS json
+        FROM held
     """,
     "op8_warc_derivatives": warc.oracle_sql(),
     "op10_exact_dedup": """
