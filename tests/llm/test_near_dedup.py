@@ -117,6 +117,20 @@ def test_links_are_confirmed_on_words(spark, monkeypatch):
     assert found == {(4, 13), (6, 14)}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_chunks_meet_across_batches(size):
+    """Runs that batches cut, against all rows at once."""
+    r = random.Random(size)
+    rows = sorted((r.randrange(30), r.randrange(1000), r.random() < 0.3) for _ in range(100))
+    table = pa.Table.from_pydict({"key": [k for k, _, _ in rows], "id": [i for _, i, _ in rows], "met": [m for *_, m in rows]})
+    often = {k for k in range(30) if sum(x[0] == k for x in rows) > 1}
+    got = pa.Table.from_batches(near_dedup._again(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+    assert sorted((x["key"], x["id"]) for x in got) == sorted((k, i) for k, i, m in rows if k in often and not m)
+    stars = pa.Table.from_batches(near_dedup._stars(iter(table.select(["key", "id"]).to_batches(max_chunksize=size)))).to_pylist()
+    least = {k: min(i for q, i, _ in rows if q == k) for k, _, _ in rows}
+    assert {(x["a"], x["b"]) for x in stars} == {(i, least[k]) for k, i, _ in rows if i != least[k]}
+
+
 def test_a_hot_value_sends_one_row_a_chunk():
     n = 5000
     keys = pa.array([[77, 1000 + i] for i in range(n)], pa.list_(pa.int64()))

@@ -17,6 +17,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Folders of staged tables, with the name of those in the catalog.
 _staged: dict[str, str] = {}
+ROW_GROUP = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +42,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: what follows reads committed files, so a lost
     executor costs the tasks that it ran and no earlier stage, and rows that
-    depend on the order of arrival are fixed once.
+    depend on the order of arrival are fixed once. Row groups are small, since
+    each task holds one while it writes.
     """
     spark = df.sparkSession
     path = posixpath.join(shared_dir(spark), f"staged-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return _kept(spark.read.schema(df.schema).parquet(path), path)
 
 

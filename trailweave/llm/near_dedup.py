@@ -117,6 +117,37 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(np.repeat(size > 1, size)), pa.array(first)], names=["key", "id", "met", "first"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first, regrouped so that no run of equal values is cut; a run has a row for each chunk at most."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
+        if cut:
+            yield [c[:cut] for c in held]
+            held = [c[cut:] for c in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, id, met) the rows whose key another chunk has, as far as their own chunk has not said so."""
+    for key, who, met in _runs(batches):
+        same = key[1:] == key[:-1]
+        keep = (np.concatenate(([False], same)) | np.concatenate((same, [False]))) & ~met.astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(key[keep])], names=["id", "key"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each table key, the smallest document of all chunks with that of each; once for a batch."""
+    for key, who in _runs(batches):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        least = np.repeat(who[start], np.diff(np.append(start, len(key))))
+        pairs = np.unique(np.stack([who, least], 1)[who != least], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Table keys are pairs of a document's values. Chunk by chunk: (null, a, b) links a document to the smallest one with a key of its own, (key, b, null) names that one to the other chunks."""
     left, right = constants(2, 67)
@@ -307,14 +338,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stage(known.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("m")).select("digest", "m.*"), "classes")
 
     value = stage(classes.select("id", "keys").mapInArrow(_met, "key long, id long, met boolean, first boolean"), "values")
-    sent = value.where("first").select("key", "id", "met")
-    again = sent.groupBy("key").agg(F.count("*").alias("chunks")).where("chunks > 1").select("key")
-    shared = value.where("met").select("id", "key").union(sent.where("not met").join(again, "key").select("id", "key"))
+    by_key = lambda rows, *order: rows.repartition(n, "key").sortWithinPartitions("key", *order)
+    again = by_key(value.where("first").select("key", "id", "met")).mapInArrow(_again, "id long, key long")
+    shared = value.where("met").select("id", "key").union(again)
     keyed = stage(shared.groupBy("id").agg(F.collect_list("key").alias("values")).where("size(values) > 1"), "shared-values")
     rows = stage(keyed.mapInArrow(_tables, "key long, a long, b long"), "tables")
-    named = rows.where("key is not null").select("key", "a")
-    stars = named.join(named.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("chunks")).where("chunks > 1").select("key", "b"), "key").where("a <> b").select("a", "b")
-    stars = rows.where("key is null").select("a", "b").union(stars).distinct()
+    across = by_key(rows.where("key is not null").select("key", "a"), "a").mapInArrow(_stars, "a long, b long")
+    stars = rows.where("key is null").select("a", "b").union(across).distinct()
     families = stage(connected_components(stage(stars, "candidates")), "families")
     release(value, keyed, rows)
 
