@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,19 @@ def drop_staged(spark: SparkSession) -> int:
     return sum(_drop(spark, path) for path in list(_staged))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving what its task has freed back to the system in the end; workers outlive tasks, and allocators keep freed memory."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other systems do without
+        if trim:
+            trim(0)
+
+    return trimmed
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -109,7 +124,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 _FIELDS = ((np.uint64(2147483647), np.uint64(1174562147)), (np.uint64(2147483629), np.uint64(1923704723)))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 

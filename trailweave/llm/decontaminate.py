@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 
 def normal(text: str | None) -> str:
@@ -152,13 +152,13 @@ def match_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", ite
     block, following = next(blocks, None), next(blocks, None)
     if following is None:
         out = docs.withColumn("hits", F.array().cast(kind))
-        return out if block is None else out.mapInArrow(_matched(spark.sparkContext.broadcast(block), rate, out.columns.index(text_col), out.columns.index("hits")), out.schema)
+        return out if block is None else out.mapInArrow(lean(_matched(spark.sparkContext.broadcast(block), rate, out.columns.index(text_col), out.columns.index("hits"))), out.schema)
     row = f"row_{uuid.uuid4().hex}"
     base = stage(docs.drop("hits").withColumn(row, F.monotonically_increasing_id()), "numbered")
     narrow = base.select(row, text_col, F.array().cast(kind).alias("hits"))
     found = []
     for some in chain((block, following), blocks):
-        made = narrow.mapInArrow(_matched(spark.sparkContext.broadcast(some), rate, 1, 2), narrow.schema).where(F.size("hits") > 0)
+        made = narrow.mapInArrow(lean(_matched(spark.sparkContext.broadcast(some), rate, 1, 2)), narrow.schema).where(F.size("hits") > 0)
         found.append(stage(made.select(row, "hits"), "hits"))
     hits = functools.reduce(DataFrame.union, found).groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # of one row, so no more than there are items
     return base.join(hits, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind))).select(*docs.withColumn("hits", F.lit(0)).columns)

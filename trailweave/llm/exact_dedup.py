@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import lean, partitions, stage
 
 _OUT = "id long, sha string, size long, keep long, kept boolean, edge int, pid int, border string"
 _FIRST, _LAST = 1, 2
@@ -94,7 +94,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = base.select("id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.substring("text", 1, 64).alias("head"))
     order = ["head", "sha", "id"]
     dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    runs = stage(dealt.select("id", "text", "sha").mapInArrow(_scan(keep == "max"), _OUT), "content-runs")
+    runs = stage(dealt.select("id", "text", "sha").mapInArrow(lean(_scan(keep == "max")), _OUT), "content-runs")
 
     ends = sorted(runs.where("border is not null").select("pid", "edge", "sha", "size", "keep").collect())  # at most two rows a partition
     near = [(a.pid, b.pid) for a, b in itertools.pairwise(ends) if a.pid != b.pid and a.sha == b.sha]
@@ -130,9 +130,7 @@ def _leaders(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             n = rows.num_columns
             return rows.set_column(n - 2, rows.schema.field(n - 2), pa.array(np.full(len(edge), pid, np.int32))).set_column(n - 1, rows.schema.field(n - 1), pa.array(edge))
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             texts = pc.fill_null(b.column(text_at), "")
             new = np.ones(b.num_rows, bool)
             new[0] = texts[0].as_py() != text
@@ -163,7 +161,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.withColumns({head: F.substring(text, 1, 64), sha: F.sha2(text.cast("binary"), 256), pid: none, edge: none})
     order = [F.col(head), F.col(sha), F.col(id_col).asc_nulls_last()]
     dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop(head)
-    rows = stage(dealt.mapInArrow(_leaders(docs.columns.index(text_col)), dealt.schema), "leaders")
+    rows = stage(dealt.mapInArrow(lean(_leaders(docs.columns.index(text_col))), dealt.schema), "leaders")
 
     ends = sorted(rows.where(F.col(edge) > 0).select(pid, edge, sha).collect())  # at most two rows a partition
     near = [(a[0], b[0]) for a, b in itertools.pairwise(ends) if a[0] != b[0] and a[2] == b[2]]

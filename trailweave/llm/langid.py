@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, fold, mix
+from .common import constants, fold, lean, mix
 
 ORDER, SPACE, CHUNK = 4, 32, 1 << 20
 _C = constants(ORDER, 11)
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
                 got = sent.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got["lang"], pa.string()), pa.array(got["score"]), pa.array(got["entropy"]), pa.array(got["rejected"])], names=["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def learn_and_identify(docs: DataFrame, held_out: Callable = lambda: fold("doc_id", 3) == 1) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import lean, word_hashes
 
 _BETWEEN = np.array([not (b >= 128 or 48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -167,7 +167,7 @@ def document_frequencies(docs: DataFrame, index: RareIndex, text_col: str = "tex
                 n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(df))), pa.array(np.append(n, df))], names=["w", "n"])
 
-    counts = {r.w: r.n for r in docs.select(F.col(text_col).cast("string")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.w: r.n for r in docs.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return counts.get(-1, 0), np.array([counts.get(w, 0) for w in range(len(index.hashes))])
 
 
@@ -196,4 +196,4 @@ def scan_licenses(docs: DataFrame, index: RareIndex | None = None, id_col: str =
                 got = zip(*sent.value.scan(part.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], names=["id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, constants, mix, offsets, partitions, release, stage, word_hashes
+from .common import PIECE, constants, lean, mix, offsets, partitions, release, stage, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -333,24 +333,24 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = partitions(spark)
     collections = collections or enough_collections(percent / 100, width)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = stage(base.mapInArrow(_sketch(collections, width), "id long, n long, digest binary, keys array<long>"), "sketches")
+    sketch = stage(base.mapInArrow(lean(_sketch(collections, width)), "id long, n long, digest binary, keys array<long>"), "sketches")
     known = sketch.where("id is not null and n > 0")
     classes = stage(known.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("m")).select("digest", "m.*"), "classes")
 
-    value = stage(classes.select("id", "keys").mapInArrow(_met, "key long, id long, met boolean, first boolean"), "values")
+    value = stage(classes.select("id", "keys").mapInArrow(lean(_met), "key long, id long, met boolean, first boolean"), "values")
     by_key = lambda rows, *order: rows.repartition(n, "key").sortWithinPartitions("key", *order)
-    again = by_key(value.where("first").select("key", "id", "met")).mapInArrow(_again, "id long, key long")
+    again = by_key(value.where("first").select("key", "id", "met")).mapInArrow(lean(_again), "id long, key long")
     shared = value.where("met").select("id", "key").union(again)
     keyed = stage(shared.groupBy("id").agg(F.collect_list("key").alias("values")).where("size(values) > 1"), "shared-values")
-    rows = stage(keyed.mapInArrow(_tables, "key long, a long, b long"), "tables")
-    across = by_key(rows.where("key is not null").select("key", "a"), "a").mapInArrow(_stars, "a long, b long")
+    rows = stage(keyed.mapInArrow(lean(_tables), "key long, a long, b long"), "tables")
+    across = by_key(rows.where("key is not null").select("key", "a"), "a").mapInArrow(lean(_stars), "a long, b long")
     stars = rows.where("key is null").select("a", "b").union(across).distinct()
     families = stage(connected_components(stage(stars, "candidates")), "families")
     release(value, keyed, rows)
 
     def verified(grouped: DataFrame) -> DataFrame:
         texts = stage(grouped, "groups").join(base, "id").select("g", "id", "text")
-        return stage(texts.repartition(n, "g").sortWithinPartitions("g", "id").mapInArrow(_verified(percent), "a long, b long"), "links")
+        return stage(texts.repartition(n, "g").sortWithinPartitions("g", "id").mapInArrow(lean(_verified(percent)), "a long, b long"), "links")
 
     sizes = classes.select(F.col("id").alias("node"), "n")
     grouped, large = _split_families(families, sizes, block, weight)

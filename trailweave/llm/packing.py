@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, rank long, pid int"
 
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = stage(base.mapInArrow(_cut(tokenizer, capacity, end), _PIECES), "pieces")
+    pieces = stage(base.mapInArrow(lean(_cut(tokenizer, capacity, end)), _PIECES), "pieces")
     per = pieces.groupBy("length", "pid").agg(F.count("*").alias("n"))
     before = per.select("length", "pid", (F.sum("n").over(Window.partitionBy("length").orderBy("pid")) - F.col("n")).alias("before"))
     counts = np.zeros(capacity + 1, np.int64)
@@ -171,4 +171,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         counts[r.length] = r.n
     places = spark.sparkContext.broadcast(_places(minimum_bin_slack(counts, capacity)))
     ranked = pieces.join(before, ["length", "pid"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_place(places), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(places)), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

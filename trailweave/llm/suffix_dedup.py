@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, mix, offsets, partitions, release, stage
+from .common import bucketed, lean, mix, offsets, partitions, release, stage
 from .suffix_sort import GRAM, PrefixHashes, digest, repeated
 
 SLAB, LONGEST = 1 << 20, 2048
@@ -229,7 +229,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = base.groupBy(F.xxhash64("sha").alias("k"), F.hash("sha").alias("k2"), "sha").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = bucketed(distinct.repartition(n, "k"), n, "k")
 
-    found = stage(texts.where(F.octet_length("text") >= length).select("k", "k2", "text").mapInArrow(_anchor(length), "k long, k2 int, s0 long, s1 long, m long, again long, d binary"), "stretches")
+    found = stage(texts.where(F.octet_length("text") >= length).select("k", "k2", "text").mapInArrow(lean(_anchor(length)), "k long, k2 int, s0 long, s1 long, m long, again long, d binary"), "stretches")
     twice = stage(found.groupBy("m").agg(F.sum("again").alias("n")).where("n > 1").select("m"), "anchors")
     known = stage(found.join(twice, "m"), "repeated-anchors")
     release(found, twice)
@@ -240,10 +240,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = kinds.join(per, "m").select("at.*", F.struct(F.xxhash64("m", F.pmod(F.hash("d"), "parts")).alias("g"), "m", "d", "parts", "at.s0", "at.s1").alias("w"))
     asked = stage(asked.groupBy("k", "k2").agg(F.collect_list("w").alias("wanted")), "asked")  # of one text, so no longer than that
     here = lambda other: (F.col("t.k") == F.col(f"{other}.k")) & (F.col("t.k2") - F.col(f"{other}.k2") == 0)
-    pieces = texts.alias("t").join(asked.alias("a"), here("a")).select("text", "wanted").mapInArrow(_fetch(length), "g long, m long, d binary, parts int, bytes binary")
-    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "m").mapInArrow(_sort_parts(length, max(n, -(-windows // bucket))), _MARKS), "marks")
+    pieces = texts.alias("t").join(asked.alias("a"), here("a")).select("text", "wanted").mapInArrow(lean(_fetch(length)), "g long, m long, d binary, parts int, bytes binary")
+    marks = stage(pieces.repartition(n, "g").sortWithinPartitions("g", "m").mapInArrow(lean(_sort_parts(length, max(n, -(-windows // bucket)))), _MARKS), "marks")
     open_ = marks.where("bucket is not null").select("bucket", "pm", "pd", "po", "ph", "pk")
-    across = open_.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_across, "m long, d binary, r0 int, r1 int")
+    across = open_.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_across), "m long, d binary, r0 int, r1 int")
     inside = stage(marks.where("bucket is null").select("m", "d", "r0", "r1").union(across), "inside")
     release(asked, per, marks)
 
@@ -252,6 +252,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = stage(whole.union(single).groupBy("k", "k2").agg(F.collect_list(F.struct("a", "e")).alias("spans")), "spans")
     release(known, kinds, inside)
     cut = texts.alias("t").join(spans.alias("s"), here("s"), "left").select("sha", "text", "copies", "spans")
-    result = stage(cut.mapInArrow(_cut(length), "sha string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "cut")
+    result = stage(cut.mapInArrow(lean(_cut(length)), "sha string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"), "cut")
     release(texts, spans)
     return rows.join(result, "sha").drop("sha")

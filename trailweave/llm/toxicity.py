@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, fold, mix
+from .common import constants, fold, lean, mix
 
-BUCKETS, DIM, WIDTHS, FILTERS, CHUNK = 1 << 16, 8, (1, 2, 3), 8, 1 << 20
+BUCKETS, DIM, WIDTHS, FILTERS, CHUNK = 1 << 16, 8, (1, 2, 3), 8, 1 << 18
 _BASE = constants(1, 23)[0]
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text_col: str
                 s = sent.value.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "id long, score double, predicted int")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, held_out: Callable = lambda: fold("doc_id", 5) == 0) -> DataFrame:
@@ -289,4 +289,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(lo, 1000)
                 yield part.filter(pa.array(sent.value.score(part.column(columns).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
