@@ -131,13 +131,44 @@ def test_chunks_meet_across_batches(size):
     assert {(x["a"], x["b"]) for x in stars} == {(i, least[k]) for k, i, _ in rows if i != least[k]}
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_hot_values_change_no_component(spark, rows, hot, monkeypatch):
+    """Chunks of a few rows with a low bound, against all pairs; the functions run here, so that the bound holds."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    some = [(i, t) for i, t in rows if i is not None and i >= 100]
+    ids, texts = [i for i, _ in some], [t for _, t in some]
+    sketch = next(near_dedup._sketch(35, 5)(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])])))
+    value = pa.Table.from_batches(near_dedup._met(iter([sketch.select(["id", "keys"])]), most=500)).to_pandas()
+    sent = value[value.sent].sort_values(["key", "id"])
+    again = pa.Table.from_batches(near_dedup._again(iter([pa.RecordBatch.from_pandas(sent[["key", "id", "met"]], preserve_index=False)]))).to_pandas()
+    shared = value[value.met][["id", "key"]]._append(again).groupby("id").key.agg(list)
+    batch = pa.RecordBatch.from_arrays([pa.array(shared.index.to_list()), pa.array(shared.to_list(), pa.list_(pa.int64()))], names=["id", "values"])
+    table = pa.Table.from_batches(near_dedup._tables(iter(batch.slice(k, 4) for k in range(0, batch.num_rows, 4)), most=2000)).to_pandas()
+    named = table[table.key.notna()].astype({"key": "int64", "a": "int64"}).sort_values(["key", "a"])
+    across = pa.Table.from_batches(near_dedup._stars(iter([pa.RecordBatch.from_pandas(named[["key", "a"]], preserve_index=False)]))).to_pandas()
+    edges = [(int(a), int(b)) for part in (table[table.key.isna()][["a", "b"]], across) for a, b in part.itertuples(index=False)]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    for i, _, c in brute(some, 80):
+        assert find(i) == find(c)  # what a link joins is in one family
+
+
 def test_a_hot_value_sends_one_row_a_chunk():
     n = 5000
     keys = pa.array([[77, 1000 + i] for i in range(n)], pa.list_(pa.int64()))
     batches = pa.RecordBatch.from_arrays([pa.array(range(n)), keys], names=["id", "keys"])
     out = pa.Table.from_batches(near_dedup._met(iter([batches.slice(i, 100) for i in range(0, n, 100)]), most=1000)).to_pylist()
     assert len(out) == 2 * n
-    assert sum(x["first"] for x in out if x["key"] == 77) == 10
+    assert sum(x["sent"] for x in out if x["key"] == 77) == 10
+    assert all(x["sent"] for x in out if x["key"] != 77)
     assert all(x["met"] == (x["key"] == 77) for x in out)
     rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[1, 2]] * n, pa.list_(pa.int64()))], names=["id", "values"])
     out = pa.Table.from_batches(near_dedup._tables(iter([rows]), most=500)).to_pylist()

@@ -10,7 +10,7 @@ directly or through others forms a block family; links inside it are verified
 on the full shingle sets, word by word. Large families are verified in blocks
 that share some centers, then, where that leaves several components, between
 these. A value or table key that very many documents have is settled chunk by
-chunk first, so that only one row a chunk is sent on.
+chunk first, so that only one row of it is sent on.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .components import connected_components
 
 SHINGLE = 5
 _PLACE = constants(SHINGLE, 47)
+#: Of a value or table key that more documents of a chunk have, the chunk sends one on.
+HOT = 64
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BLANK = re.compile(rb"[ \t-\r]")
 
@@ -104,7 +106,7 @@ def _chunks(columns: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iter
 
 
 def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The values of documents, chunk by chunk: `met` where the chunk has a second document with it, `first` on one row of each value, the only one that has to be sent on."""
+    """The values of documents, chunk by chunk: `met` where more than HOT documents of the chunk have it, `sent` on all others, and on one row of each such value."""
 
     def columns() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
@@ -112,13 +114,14 @@ def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.
             yield keys.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), np.diff(keys.offsets.to_numpy()))
 
     for key, who, start, size in _chunks(columns(), most):
-        first = np.zeros(len(key), bool)
-        first[start] = True
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(np.repeat(size > 1, size)), pa.array(first)], names=["key", "id", "met", "first"])
+        met = np.repeat(size > HOT, size)
+        sent = ~met
+        sent[start] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(who), pa.array(met), pa.array(sent)], names=["key", "id", "met", "sent"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by the first, regrouped so that no run of equal values is cut; a run has a row for each chunk at most."""
+    """Columns of batches sorted by the first, regrouped so that no run of equal values is cut; a run has HOT rows for each chunk at most."""
     held: list[np.ndarray] | None = None
     for b in batches:
         new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -149,7 +152,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Table keys are pairs of a document's values. Chunk by chunk: (null, a, b) links a document to the smallest one with a key of its own, (key, b, null) names that one to the other chunks."""
+    """Table keys are pairs of a document's values. (key, a, null) sends a document on to meet others; of a key that more than HOT documents of a chunk have only the smallest is, and (null, a, b) links the rest to it."""
     left, right = constants(2, 67)
 
     def columns() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -161,9 +164,12 @@ def _tables(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[
 
     for key, who, start, size in _chunks(columns(), most):
         least = np.repeat(who[start], size)
-        pairs = np.unique(np.stack([who, least], 1)[who != least], axis=0)
+        hot = np.repeat(size > HOT, size)
+        pairs = np.unique(np.stack([who, least], 1)[hot & (who != least)], axis=0)
+        sent = ~hot
+        sent[start] = True
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ((none(len(pairs)), pa.array(key[start])), (pa.array(pairs[:, 0]), pa.array(who[start])), (pa.array(pairs[:, 1]), none(len(start))))], names=["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in ((none(len(pairs)), pa.array(key[sent])), (pa.array(pairs[:, 0]), pa.array(who[sent])), (pa.array(pairs[:, 1]), none(int(sent.sum()))))], names=["key", "a", "b"])
 
 
 def _verified(percent: int):
@@ -337,9 +343,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = sketch.where("id is not null and n > 0")
     classes = stage(known.groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("m")).select("digest", "m.*"), "classes")
 
-    value = stage(classes.select("id", "keys").mapInArrow(lean(_met), "key long, id long, met boolean, first boolean"), "values")
+    value = stage(classes.select("id", "keys").mapInArrow(lean(_met), "key long, id long, met boolean, sent boolean"), "values")
     by_key = lambda rows, *order: rows.repartition(n, "key").sortWithinPartitions("key", *order)
-    again = by_key(value.where("first").select("key", "id", "met")).mapInArrow(lean(_again), "id long, key long")
+    again = by_key(value.where("sent").select("key", "id", "met")).mapInArrow(lean(_again), "id long, key long")
     shared = value.where("met").select("id", "key").union(again)
     keyed = stage(shared.groupBy("id").agg(F.collect_list("key").alias("values")).where("size(values) > 1"), "shared-values")
     rows = stage(keyed.mapInArrow(lean(_tables), "key long, a long, b long"), "tables")
