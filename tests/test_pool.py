@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import shell
 from trailweave.operators import literature, pool, profiles, scores, tokens
-from trailweave.plans import registry, slate
+from trailweave.plans import registry
 from trailweave.sources import readers
 
 SCHEMA = "teacher string, task string, trajectory_id string"
@@ -95,8 +95,23 @@ def test_profiles_keep_format_apart(spark):
     assert views["control_total_error_rate"] == 0.75
 
 
+def authored(spark):
+    """A few small trajectories."""
+    say = lambda role, content: (role, content)
+    turn = lambda *keys: '{"analysis":"","plan":"","commands":[' + ",".join('{"keystrokes":"%s\\n","duration":1}' % k for k in keys) + "]}"  # noqa: E731, UP031
+    p = "root@box:/app# "
+    rows = [
+        ("A", "t1", [say("user", f"Task\n{p}"), say("assistant", turn("cat a.py", "sed -i s/x/y/ a.py")), say("user", f"{p}cat a.py\nx\n{p}sed -i s/x/y/ a.py\n{p}"), say("assistant", turn("pytest")), say("user", f"{p}pytest\n1 failed\n{p}"), say("assistant", turn("pytest -q")), say("user", f"{p}pytest -q\nERROR\n{p}")]),
+        ("B", "t1", [say("user", f"Task\n{p}"), say("assistant", "thinking</think>" + turn("touch new.txt")), say("user", f"{p}touch new.txt\n{p}"), say("assistant", "no json"), say("user", p)]),
+        ("B", "t2", [say("user", f"Task\n{p}"), say("assistant", turn("ls src", "echo hi > src/out")), say("user", f"{p}ls src\nb.py\n{p}echo hi > src/out\n{p}")]),
+    ]
+    return spark.createDataFrame(rows, "teacher string, task string, messages array<struct<role:string,content:string>>")
+
+
 def test_student_segments(spark):
-    got = slate.student_segments(spark, "").collect()
+    p, turn = "root@box:/app# ", '{"commands":[{"keystrokes":"%s\\n"}]}'
+    rows = [("a", 1, p, turn % "ls"), ("a", 2, f"{p}ls\nb.py\n", "no json"), ("a", 3, "Parsing error: send JSON", turn % "cat b.py"), ("a", 10, f"{p}cat b.py\nx\n", None), ("b", 1, p, "{")]
+    got = shell.student_segments(spark.createDataFrame(rows, "trial string, episode int, prompt string, response string")).collect()
     assert sorted(((r.trial, r.episode, r.kind, r.output[:7]) for r in got), key=repr) == [("a", 0, "command", "b.py"), ("a", 1, "format", "Parsing"), ("a", 2, "command", "x"), ("b", 0, "format", "")]
     assert {r.trial: (r.episodes, r.format_errors, r.never_started) for r in got} == {"a": (3, 1, False), "b": (1, 1, True)}
 
@@ -165,7 +180,7 @@ def test_spans_and_projection(spark):
 
 
 def test_registry(spark):
-    t = {"trajectories": slate.authored(spark), "bench": spark.createDataFrame([("A", 1.5), ("B", 2.5)], "teacher string, score double")}
+    t = {"trajectories": authored(spark), "bench": spark.createDataFrame([("A", 1.5), ("B", 2.5)], "teacher string, score double")}
     assert {(r.teacher, r.task): r.score for r in registry.run("teacher_bench", t).collect()} == {("A", "t1"): 1.5, ("B", "t1"): 2.5, ("B", "t2"): 2.5}
     for name in ("traj_length", "tor", "egs_loop", "error_retry"):
         assert registry.run(name, t).count() == 3
