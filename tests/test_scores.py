@@ -96,6 +96,13 @@ def test_spearman_on_mid_ranks(spark, pairs):
         assert got is None
 
 
+def test_spearman_without_variance_is_null(spark):
+    rows = [(1, 1.0, 2.0), (1, 2.0, 2.0), (2, 1.0, 1.0), (2, 2.0, 3.0)]
+    assert {r.g: r.rho for r in scores.spearman(frame(spark, rows, "g int, x double, y double"), ["g"], "x", "y").collect()} == {1: None, 2: pytest.approx(1.0)}
+    level = frame(spark, [("a", 1, 1.0, 2.0), ("b", 1, 1.0, 3.0)], "teacher string, task int, x double, y double")
+    assert scores.centered_spearman(level, "x", "y").first().rho is None
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=4, max_size=4), st.permutations(["a", "b", "c", "d"]))
 def test_tau_b_by_brute_force(spark, values, order):

@@ -87,11 +87,16 @@ def mid_rank(by: Sequence[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; NULL without variance, where F.corr divides by zero and fails."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation in each group; NULL without variance or with fewer than two rows."""
     ranked = pairs.withColumns({"rx": mid_rank(by, x), "ry": mid_rank(by, y)})
     some = (F.count("*") > 1) & (F.var_pop("rx") > 0) & (F.var_pop("ry") > 0)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(some, F.corr("rx", "ry")).alias("rho"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(some, correlation("rx", "ry")).alias("rho"))
 
 
 def competition_ranks(means: DataFrame, value: str = "score") -> DataFrame:
@@ -181,7 +186,7 @@ def centered_spearman(scores: DataFrame, x: str, y: str, places: int = 9) -> Dat
     w = Window.partitionBy("task")
     c = scores.select(*(F.round(F.col(v) - F.avg(v).over(w), places).alias(v) for v in (x, y)))
     both = c.join(mid_ranks(c, x).withColumnRenamed("rank", "rx"), x).join(mid_ranks(c, y).withColumnRenamed("rank", "ry"), y)
-    return both.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    return both.agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"))
 
 
 def complete_tasks(rows: DataFrame, truncated: str, by: str = "teacher", task: str = "task") -> DataFrame:
