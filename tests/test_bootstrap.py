@@ -31,6 +31,15 @@ def test_seeded_draws_follow_the_generator(spark):
     assert got == {(rep, i): c for rep, draws in enumerate(want) for i, c in draws.items()}
 
 
+def test_hashed_draws_are_made_all_over_and_never_broadcast(spark):
+    tasks = spark.range(2000).selectExpr("id AS task", "'m' AS teacher", "id * 1.0D AS score")
+    draws = bootstrap.hashed_draws(tasks.select("task"), 200)
+    assert "Range (0, 400000" in draws._jdf.queryExecution().toString()  # of known length, where an exploded row has none
+    means = bootstrap.replicate_means(tasks, draws)
+    assert "ShuffledHashJoin" in means._jdf.queryExecution().executedPlan().toString()
+    assert means.count() == 200
+
+
 def test_replicate_means_and_bounds(spark, table):
     draws = bootstrap.seeded_draws(spark, 6, 50, 1)
     counts = {(x.rep, x.idx): x.cnt for x in draws.collect()}

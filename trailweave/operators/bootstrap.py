@@ -16,17 +16,25 @@ def indexed(scores: DataFrame) -> DataFrame:
     return scores.join(positions(scores, "task"), "task")
 
 
+def counted(slots: DataFrame) -> DataFrame:
+    """(rep, idx, cnt) of single draws, dealt by idx, which the join with the scores keeps."""
+    return slots.repartition("idx").groupBy("rep", "idx").agg(F.count("*").alias("cnt"))
+
+
 def hashed_draws(tasks: DataFrame, reps: int) -> DataFrame:
-    """Draws with replacement that any engine can repeat: slot k of a replicate takes md5(rep:k) modulo n."""
-    n = tasks.agg(F.countDistinct("task").alias("n"))
-    grid = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("n", "rep", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return grid.select("rep", (h % F.col("n")).alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("cnt"))
+    """Draws with replacement that any engine can repeat: slot k of a replicate takes md5(rep:k) modulo n.
 
+    The slots are a range of known length, so they are made all over the cluster and no plan takes them for a small side.
+    """
+    spark = tasks.sparkSession
+    n = tasks.select("task").where("task is not null").distinct().count()
+    parts = max(spark.sparkContext.defaultParallelism, n * reps // SLOTS_A_TASK)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.expr(f"id div {max(n, 1)}").cast("string"), (F.col("id") % max(n, 1)).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return counted(spark.range(0, n * reps, 1, parts).select(F.expr(f"id div {max(n, 1)}").cast("int").alias("rep"), (h % max(n, 1)).alias("idx")))
 
-#: What the generator-bound forms may hold on the driver; the hashed ones have no such bound.
-SEEDED_MOST = 10_000_000
 
+#: Slots that one task makes, and what the seeded shuffle may hold on the driver (`hashed_places` has no such bound).
+SLOTS_A_TASK, SEEDED_MOST = 1_000_000, 10_000_000
 
 def seeded_draws(spark, n: int, reps: int, seed: int) -> DataFrame:
     """Draws of Python's generator in replicate order, for parity with seeded runs; more than SEEDED_MOST are refused (`hashed_draws` has no bound)."""
@@ -39,7 +47,7 @@ def seeded_draws(spark, n: int, reps: int, seed: int) -> DataFrame:
 
 def replicate_means(scores: DataFrame, draws: DataFrame) -> DataFrame:
     """(rep, teacher, mean): scores weighted by how often their task was drawn."""
-    j = indexed(scores).select("idx", "teacher", "score").join(draws, "idx")
+    j = draws.join(indexed(scores).select("idx", "teacher", "score").hint("shuffle_hash"), "idx")  # the draws are many rows a task: they are neither broadcast nor sorted
     return j.groupBy("rep", "teacher").agg((F.sum(F.col("score") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
 
 
