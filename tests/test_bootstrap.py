@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from trailweave.operators import bootstrap
@@ -31,6 +32,25 @@ def test_seeded_draws_follow_the_generator(spark):
     assert got == {(rep, i): c for rep, draws in enumerate(want) for i, c in draws.items()}
 
 
+@pytest.mark.parametrize(("n", "reps", "block"), [(5, 4, 7), (6, 3, 1000), (64, 3, 50), (1, 2, 3)])
+def test_seeded_draws_follow_the_generator_across_blocks(spark, n, reps, block):
+    r = random.Random(7)
+    want = {(rep, i): c for rep in range(reps) for i, c in Counter(r.randrange(n) for _ in range(n)).items()}
+    assert {(x.rep, x.idx): x.cnt for x in bootstrap.seeded_draws(spark, n, reps, 7, block).collect()} == want
+
+
+def test_draws_of_two_words(spark):
+    r, n = random.Random(3), 5_000_000_001
+    rep, key, pos, skip, take = next(bootstrap._pieces(n, 1, 3, 500))
+    got = bootstrap._below(bootstrap._outputs(np.frombuffer(key, "uint32"), pos).random_raw(1000), n)
+    assert [int(x) for x in got[got < n][skip : skip + take]] == [r.randrange(n) for _ in range(take)]
+
+
+def test_more_draws_than_one_driver_holds_are_made(spark):
+    draws = bootstrap.seeded_draws(spark, 60_000, 200, 1)
+    assert draws.agg({"cnt": "sum"}).first()[0] == 12_000_000
+
+
 def test_hashed_draws_are_made_all_over_and_never_broadcast(spark):
     tasks = spark.range(2000).selectExpr("id AS task", "'m' AS teacher", "id * 1.0D AS score")
     draws = bootstrap.hashed_draws(tasks.select("task"), 200)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,14 +35,66 @@ def hashed_draws(tasks: DataFrame, reps: int) -> DataFrame:
 
 #: Slots that one task makes, and what the seeded shuffle may hold on the driver (`hashed_places` has no such bound).
 SLOTS_A_TASK, SEEDED_MOST = 1_000_000, 10_000_000
+#: Draws of the generator that are looked at together, whatever the pool.
+BLOCK = 262_144
 
-def seeded_draws(spark, n: int, reps: int, seed: int) -> DataFrame:
-    """Draws of Python's generator in replicate order, for parity with seeded runs; more than SEEDED_MOST are refused (`hashed_draws` has no bound)."""
-    if n * reps > SEEDED_MOST:
-        raise ValueError(f"{n} x {reps} seeded draws are too many for one generator, use hashed_draws")
-    r = random.Random(seed)
-    rows = [(rep, i, c) for rep in range(reps) for i, c in Counter(r.randrange(n) for _ in range(n)).items()]
-    return spark.createDataFrame(rows, "rep int, idx int, cnt long")
+
+def _outputs(key, pos: int):
+    """numpy's generator in a state of Python's, whose 32-bit outputs it repeats."""
+    import numpy as np
+
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, dtype="uint32"), "pos": pos}}
+    return bits
+
+
+def _below(raw, n: int):
+    """What randrange(n) makes of 32-bit outputs; those that it turns down are left in, as n or more."""
+    k = n.bit_length()
+    if k <= 32:
+        return raw >> (32 - k)
+    return raw[::2] | raw[1::2] >> (64 - k) << 32
+
+
+def _pieces(n: int, reps: int, seed: int, block: int) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(rep, key, pos, skip, take): where in the generator's output the draws of each replicate are, at most one block each. Holds one block."""
+    import numpy as np
+
+    *key, pos = random.Random(seed).getstate()[1]
+    bits, words = _outputs(key, pos), 1 if n.bit_length() <= 32 else 2
+    rep, left = 0, n
+    while rep < reps:
+        at, skip = bits.state["state"], 0
+        key, pos = at["key"].tobytes(), int(at["pos"])
+        rest = int(np.count_nonzero(_below(bits.random_raw(block * words), n) < n))
+        while rest and rep < reps:
+            take = min(rest, left)
+            yield rep, key, pos, skip, take
+            skip, rest, left = skip + take, rest - take, left - take
+            if not left:
+                rep, left = rep + 1, n
+
+
+def seeded_draws(spark, n: int, reps: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """Draws of Python's generator in replicate order, for parity with seeded runs.
+
+    The driver only runs through the generator's output, block by block, and
+    notes its state before each; the tasks make the draws from there.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def made(batches):
+        for batch in batches:
+            for x in batch.to_pylist():
+                got = _below(_outputs(np.frombuffer(x["key"], "uint32"), x["pos"]).random_raw(block * (1 if n.bit_length() <= 32 else 2)), n)
+                idx = got[got < n][x["skip"] : x["skip"] + x["take"]].astype("int64")
+                yield pa.RecordBatch.from_arrays([pa.array([x["rep"]] * len(idx), pa.int32()), pa.array(idx)], ["rep", "idx"])
+
+    pieces = list(_pieces(n, reps, seed, block)) if n else []
+    parts = max(1, min(len(pieces), max(spark.sparkContext.defaultParallelism, n * reps // SLOTS_A_TASK)))
+    rows = spark.createDataFrame(pieces, "rep int, key binary, pos int, skip int, take int").repartition(parts)
+    return counted(rows.mapInArrow(made, "rep int, idx long"))
 
 
 def replicate_means(scores: DataFrame, draws: DataFrame) -> DataFrame:
