@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,25 @@ def test_artifacts_and_links(spark):
     assert {r.teacher: r.dataset for r in literature.dedicated_links(teachers, sets).collect()} == {"T-Gamma": "o/gamma-runs", "Claude Opus 4.6": "o/opus46", "Other-X": None}
 
 
+def test_links_join_by_token_and_agree_with_brute_force(spark):
+    r = random.Random(5)
+    name = lambda n: "".join(r.choice("ab1") for _ in range(n))
+    teachers = [(p, "-".join(name(r.randint(2, 4)) for _ in range(r.randint(1, 3)))) for p in "pq" for _ in range(8)] + [("p", "no"), (None, "abc")]
+    sets = [(p, f"o/{name(r.randint(1, 6))}-{name(r.randint(0, 3))}") for p in "pq" for _ in range(150)] + [("p", None), (None, "o/abc")]
+    tokens = {t: {x for x in t.split("-") if len(x) >= 3 and re.search("[a-z]", x)} for _, t in teachers}
+    want = []
+    for p, t in teachers:
+        others = set().union(*(tokens[x] for q, x in teachers if q == p)) - tokens[t]
+        own = [s for q, s in sets if s and q == p and p and any(k in s[2:].replace("-", "") for k in tokens[t]) and not any(k in s[2:].replace("-", "") for k in others)]
+        want.append((p, t, min(own, default=None)))
+    made = literature.dedicated_links(spark.createDataFrame(teachers, "paper string, teacher string"), spark.createDataFrame(sets, "paper string, dataset string"))
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want))
+    assert any(x for _, _, x in want)
+    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins
+    assert all(any(k in x for k in ("token#", "begin#", "teacher#")) for x in joins), joins  # none by paper alone
+
+
 def test_signals_queue_and_export(spark):
     df = spark.createDataFrame([("trajectories from GPT and Claude; Qwen SFT",), ("nothing",), (None,), ("ablation with GPT: training training training",)], "t string")
     assert [r.v for r in df.select(literature.scan_verdict(F.col("t")).alias("v")).collect()] == ["pass", "fail_scan", "fail_retrieval", "pass"]

@@ -231,14 +231,26 @@ def key_tokens(name: Column) -> Column:
 
 
 def dedicated_links(teachers: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(paper, teacher, dataset): the first dataset by id whose name has a token of that teacher and none of the paper's other teachers; null without one."""
-    t = teachers.withColumn("mine", key_tokens(F.col("teacher")))
-    every = t.groupBy("paper").agg(F.array_distinct(F.flatten(F.collect_list("mine"))).alias("all"))  # the teachers of one paper
-    t = t.join(every, "paper").withColumn("others", F.array_except("all", "mine"))
+    """(paper, teacher, dataset): the first dataset by id whose name has a token of that teacher and none of the paper's other teachers; null without one.
+
+    Names meet tokens by equality of their pieces, so no name is held against
+    every teacher. A piece is cut only where three characters begin some token
+    and in lengths that those tokens have; there are 36 ** 3 such beginnings at
+    most, whatever the input.
+    """
+    t = teachers.select("paper", "teacher", key_tokens(F.col("teacher")).alias("mine")).distinct()
+    owned = t.select("paper", "teacher", "mine", F.explode("mine").alias("token"))
+    tokens = owned.groupBy("paper", "token").agg(F.count("*").alias("owners"))
+    begins = tokens.groupBy(F.substring("token", 1, 3).alias("begin")).agg(F.collect_set(F.length("token")).alias("lengths"))
     norm = F.regexp_replace(F.lower(F.substring_index("dataset", "/", -1)), "[^a-z0-9]+", "")
-    d = datasets.select("paper", "dataset", norm.alias("_n"))
-    inside = lambda column: F.exists(column, lambda k: F.contains(F.col("_n"), k))
-    hit = t.join(d, "paper").where(inside("mine") & ~inside("others")).groupBy("paper", "teacher").agg(F.min("dataset").alias("dataset"))
+    d = datasets.select("paper", "dataset", norm.alias("_n")).where("length(_n) >= 3")
+    at = d.select("*", F.explode(F.sequence(F.lit(1), F.length("_n") - 2)).alias("at")).withColumn("begin", F.expr("substring(_n, at, 3)"))
+    pieces = at.join(F.broadcast(begins), "begin").select("paper", "dataset", "_n", "at", F.explode("lengths").alias("length")).where("at + length <= length(_n) + 1")
+    found = pieces.select("paper", "dataset", F.expr("substring(_n, at, length)").alias("token")).join(tokens, ["paper", "token"])
+    # A name is a teacher's if all that it holds is that teacher's; names that hold the same are one, found by the token of fewest teachers.
+    per = found.groupBy("paper", "dataset").agg(F.array_sort(F.collect_set(F.struct("owners", "token"))).alias("held")).groupBy("paper", "held").agg(F.min("dataset").alias("dataset"))
+    rarest = per.select("paper", "dataset", F.transform("held", lambda h: h["token"]).alias("held"), F.col("held")[0]["token"].alias("token"))
+    hit = owned.join(rarest, ["paper", "token"]).where(F.size(F.array_except("held", "mine")) == 0).groupBy("paper", "teacher").agg(F.min("dataset").alias("dataset"))
     return teachers.select("paper", "teacher").join(hit, ["paper", "teacher"], "left")
 
 
