@@ -47,6 +47,17 @@ def test_inverted_index_gives_the_text(spark):
     assert literature.rebuild_inverted(df).first().text == "the cat the end"
 
 
+def test_index_and_text_are_made_row_by_row(spark):
+    words = [["b", "a", "b", "b"], [], None, ["x"], ["b", "a", "c", "a"], [str(i % 7) for i in range(40)]]
+    index = literature.inverted_index(spark.createDataFrame([(1 if i < 2 else i, w) for i, w in enumerate(words)], "id long, tokens array<string>"))
+    assert [r.inverted for r in index.collect()][:4] == [{"b": [0, 2, 3], "a": [1]}, {}, {}, {"x": [0]}]
+    texts = literature.rebuild_inverted(index)
+    assert sorted((r.id, r.text) for r in texts.collect()) == [(1, "b a b b"), (3, "x"), (4, "b a c a"), (5, " ".join(words[5]))]
+    assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(1, None), (2, {"a": None, "b": [0]}), (3, {"a": []}), (4, {})], "id long, inverted map<string,array<int>>")
+    assert [(r.id, r.text) for r in literature.rebuild_inverted(odd).collect()] == [(2, "b")]
+
+
 def test_gate_and_decisions(spark):
     df = spark.createDataFrame([("An Agent we TRAIN",), ("an agent",), (None,)], "t string")
     assert [r.g for r in df.select(literature.keyword_gate(F.col("t"), r"\bagent", "train").alias("g")).collect()] == [True, False, False]

@@ -5,9 +5,15 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 from ..functions.order import checkpointed, positions
 
 
@@ -55,10 +61,37 @@ def in_status_order(rows: DataFrame, key: str) -> DataFrame:
     return placed.join(positions(placed, "_order").withColumnRenamed("idx", "place"), "_order").drop("_order")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            key, tokens = whole.slice(start, rows).columns
+            flat, row = pc.list_flatten(tokens).dictionary_encode(), pc.list_parent_indices(tokens).to_numpy()
+            code = flat.indices.to_numpy()
+            order = np.lexsort((code, row))
+            r, c = row[order], code[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])][: len(r)])
+            at = (np.arange(len(row)) - np.searchsorted(row, row))[order]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(at, pa.int32()))
+            ends = np.cumsum(np.bincount(r[first], minlength=len(key)))
+            yield pa.RecordBatch.from_arrays([key, pa.MapArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), flat.dictionary.take(pa.array(c[first])), places)], ["id", "inverted"])
+
+
+def inverted_index(rows: DataFrame) -> DataFrame:
+    """(id, inverted): a map of token to positions from (id, tokens), each from its own row; empty without tokens."""
+    rows = rows.select("id", "tokens")
+    return rows.mapInArrow(_runs, f"id {rows.schema['id'].dataType.simpleString()}, inverted map<string,array<int>>")
+
+
 def rebuild_inverted(index: DataFrame, key: str = "id", inverted: str = "inverted") -> DataFrame:
-    """Texts from maps of token to positions."""
-    pairs = index.select(key, F.explode(inverted).alias("token", "places")).select(key, F.explode("places").alias("at"), "token")
-    return pairs.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda s: s["token"]), " ").alias("text"))
+    """Texts from maps of token to positions, each from its own row."""
+    some = index.where(F.exists(F.map_values(inverted), lambda v: F.size(v) > 0))
+    none = F.array().cast("array<int>")
+    pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(F.coalesce(e["value"], none), lambda p: F.struct(p.alias("at"), e["key"].alias("token")))))
+    return some.select(key, F.array_join(F.transform(F.sort_array(pairs), lambda x: x["token"]), " ").alias("text"))
 
 
 def keyword_gate(text: Column, *patterns: str) -> Column:

@@ -419,9 +419,8 @@ def json_props(spark, sf_dir):
 
 @query("SELECT doc_id AS id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE regexp_matches(text, '\\S')")
 def inverted_index_rebuild(spark, sf_dir):
-    w = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "token"))
-    index = w.groupBy("id", "token").agg(F.collect_list("at").alias("places")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("inverted"))
-    return literature.rebuild_inverted(index)
+    w = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("tokens"))
+    return literature.rebuild_inverted(literature.inverted_index(w))
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 0 OR doc_id % 5 < 2 THEN 'reject' WHEN doc_id % 3 = 0 THEN 'needs_review' WHEN doc_id % 4 = 0 THEN 'results_only'
